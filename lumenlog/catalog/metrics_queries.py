@@ -272,16 +272,18 @@ def _(spark, sf):
     )
 
 
-def percentile_sql(where: str = "duration_ms IS NOT NULL", by: str = "", value: str = "duration_ms", source: str = "wide_events", avg: bool = True) -> str:
+def percentile_sql(where: str = "duration_ms IS NOT NULL", by: str = "", value: str = "duration_ms", source: str = "wide_events") -> str:
     """Floor-rank percentiles; no rows when nothing matches."""
     cols = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else "HAVING count(*) > 0"
     part = f"PARTITION BY {by}" if by else ""
+    # Sums of doubles depend on their order; they are compared to six places.
+    avg = f"round(sum({value}) / count(*)::DOUBLE, 6)" if value != "duration_ms" else f"sum({value}) / count(*)::DOUBLE"
     pick = lambda p: f"max({value}) FILTER (k = floor({p}::DOUBLE * n)::BIGINT)"
     return f"""WITH r AS (SELECT {cols}{value}, row_number() OVER ({part} ORDER BY {value}) - 1 AS k, count(*) OVER ({part}) AS n
       FROM {source} WHERE {where})
     SELECT {cols}count(*) AS n, {pick(0.5)} AS p50, {pick(0.95)} AS p95, {pick(0.99)} AS p99,
-      sum({value}) / count(*)::DOUBLE AS avg_value, max({value}) AS max_value FROM r {group}"""
+      {avg} AS avg_value, max({value}) AS max_value FROM r {group}"""
 
 
 @query("e4_latency_percentile", percentile_sql(), W)
@@ -302,9 +304,8 @@ def _(spark, sf):
 
     by = ["l_returnflag", "l_linestatus"]
     li = fx.table(spark, sf, "lineitem").select(*by, "l_quantity")
-    return floor_rank_percentiles(li, "l_quantity", metrics.PERCENTILES, by).toDF(
-        *by, "n", "p50", "p95", "p99", "avg_value", "max_value"
-    )
+    out = floor_rank_percentiles(li, "l_quantity", metrics.PERCENTILES, by)
+    return out.withColumn("avg", F.round("avg", 6)).toDF(*by, "n", "p50", "p95", "p99", "avg_value", "max_value")
 
 
 RATE = "count(*) AS total, count(error_code) AS errors, count(error_code) * 100.0::DOUBLE / count(*) AS error_rate FROM wide_events"
@@ -476,7 +477,7 @@ def _(spark, sf):
 @query(
     "e17_usage_report",
     """SELECT intent AS template_type, CAST(created_at AS DATE) AS day, count(*) AS calls, sum(length(question) + length(answer))::BIGINT AS tokens,
-      round(sum((length(question) + length(answer)) * 0.002), 6) AS cost, avg(length(answer) * 3) AS avg_response_ms
+      round(sum((length(question) + length(answer)) * 0.002::DOUBLE), 6) AS cost, avg(length(answer) * 3) AS avg_response_ms
     FROM chat_history GROUP BY 1, 2""",
     ("chat_history",),
 )
@@ -498,9 +499,8 @@ def _(spark, sf):
     from lumenlog.plans.ranks import floor_rank_percentiles
 
     rows = fx.history(spark, sf).select("intent", "confidence")
-    return floor_rank_percentiles(rows, "confidence", metrics.PERCENTILES, ["intent"]).toDF(
-        "intent", "n", "p50", "p95", "p99", "avg_value", "max_value"
-    )
+    out = floor_rank_percentiles(rows, "confidence", metrics.PERCENTILES, ["intent"])
+    return out.withColumn("avg", F.round("avg", 6)).toDF("intent", "n", "p50", "p95", "p99", "avg_value", "max_value")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import events as ev
+from lumenlog.functions.text import let
 from lumenlog.operators.filters import pending_page
 
 # texts -> one vector per text
@@ -30,12 +31,21 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
         tokens(text),
         lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)),
     )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    def count(found):
+        # rows of one value = all rows - rows left when that value is removed
+        return F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
+            lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"),
+        )
+
+    def scale(counts):
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(
+            length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))
+        )
+
+    return let(let(slots, count), scale)
 
 
 def embed_rows(df: DataFrame, text: Column, embedder: Embedder | None = None, model: str = "hash-64", batch_size: int = 50) -> DataFrame:
