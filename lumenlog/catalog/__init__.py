@@ -5,7 +5,10 @@ from lumenlog.catalog.registry import ORACLES, QUERIES
 
 def load():
     from lumenlog.catalog import (  # noqa: F401
+        enrichment_queries,
         metrics_queries,
+        question_queries,
+        retrieval_queries,
     )
 
     return QUERIES, ORACLES
