@@ -9,6 +9,7 @@ def load():
         metrics_queries,
         question_queries,
         retrieval_queries,
+        session_queries,
     )
 
     return QUERIES, ORACLES
