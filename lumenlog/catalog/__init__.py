@@ -7,6 +7,7 @@ def load():
     from lumenlog.catalog import (  # noqa: F401
         enrichment_queries,
         metrics_queries,
+        pipeline_queries,
         question_queries,
         retrieval_queries,
         session_queries,

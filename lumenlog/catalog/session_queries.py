@@ -358,10 +358,15 @@ def _(spark, sf):
     return live.select(F.col("entryId").alias("event_id"))
 
 
-@query("h18_cache_invalidate", "SELECT event_id FROM event_embeddings WHERE service NOT IN (SELECT service FROM event_embeddings WHERE label = 3)", ("event_embeddings",))
+@query(
+    "h18_cache_invalidate",
+    "SELECT event_id FROM event_embeddings WHERE NOT (service = 'orders' AND label IN (2, 3))",
+    ("event_embeddings",),
+)
 def _(spark, sf):
-    e = fx.embedded(spark, sf).filter("label = 3").select(F.col("service").alias("cacheKey"))
-    return result_cache.invalidate(_entries(spark, sf), e).select(F.col("entryId").alias("event_id"))
+    keyed = fx.embedded(spark, sf).withColumn("cacheKey", F.concat_ws("-", "service", "label"))
+    stale = keyed.filter("service = 'orders' AND label IN (2, 3)").select("cacheKey")
+    return result_cache.invalidate(keyed, stale).select(F.col("eventId").alias("event_id"))
 
 
 @query(
