@@ -7,6 +7,8 @@ the turns with :func:`lumenlog.operators.sessions.pair_turns`.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,10 +130,13 @@ def _bases(names: list[str]) -> list[str]:
     return found
 
 
+# The driver tables never change, so their lazy plans are built once per session.
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=256)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = _closure([name])
     ctes = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in _bases([name])]

@@ -37,14 +37,13 @@ STRUCTURED = f"""trim(text) || chr(10) || chr(10) || concat_ws(', ', CASE WHEN {
 
 
 def meta_args():
-    """Metadata columns of a question, read from its own text."""
-    t = F.col("text")
-    return {
-        "service": qn.mentioned_service(t),
-        "route": F.lit(None).cast("string"),
-        "error_code": qn.mentioned_code(t),
-        "has_error": qn.mentions_error(t),
-    }
+    """Metadata columns added by ``with_metadata``."""
+    return {n: F.col(c) for n, c in (("service", "service"), ("route", "route"), ("error_code", "errorCode"), ("has_error", "hasError"))}
+
+
+def asked(spark, sf):
+    """The query log with the metadata read from each text."""
+    return qn.with_metadata(fx.questions(spark, sf))
 
 
 INTENT = _case(LOW, dict(qn.STRATEGIES), "'SEMANTIC'")
@@ -69,7 +68,7 @@ def _(spark, sf):
 def _(spark, sf):
     m = meta_args()
     hint = qn.outcome_hint(F.col("text"), m["has_error"], m["error_code"])
-    return fx.questions(spark, sf).select("query_id", hint.alias("outcome"))
+    return asked(spark, sf).select("query_id", hint.alias("outcome"))
 
 
 @query("g4_role_hint", f"SELECT query_id, {ROLE} AS user_role FROM query_log", Q)
@@ -107,7 +106,7 @@ def _(spark, sf):
 
 @query("g8_structured_text", f"SELECT query_id, {STRUCTURED} AS structured FROM query_log", Q)
 def _(spark, sf):
-    return fx.questions(spark, sf).select("query_id", qn.structured_text(F.col("text"), **meta_args()).alias("structured"))
+    return asked(spark, sf).select("query_id", qn.structured_text(F.col("text"), **meta_args()).alias("structured"))
 
 
 @query(
@@ -120,7 +119,7 @@ def _(spark, sf):
     # An error code without hasError differs from the error-focused text never:
     # both count as failing, so the duplicate is dropped.
     vs = qn.variations(F.col("text"), **meta_args())
-    return fx.questions(spark, sf).select("query_id", F.posexplode(vs).alias("variation_no", "variation")).withColumn(
+    return asked(spark, sf).select("query_id", F.posexplode(vs).alias("variation_no", "variation")).withColumn(
         "variation_no", F.col("variation_no").cast("bigint")
     )
 
@@ -178,7 +177,7 @@ def _(spark, sf):
 @query("g13_entities", f"SELECT query_id, {HAS_ERROR} AS has_error, {CODE} AS error_code, {SERVICE} AS service FROM query_log", Q)
 def _(spark, sf):
     m = meta_args()
-    return fx.questions(spark, sf).select(
+    return asked(spark, sf).select(
         "query_id", m["has_error"].alias("has_error"), m["error_code"].alias("error_code"), m["service"].alias("service")
     )
 
@@ -218,7 +217,7 @@ def _(spark, sf):
         none.cast("string").alias("route"), none.cast("string").alias("errorCode"), none.cast("boolean").alias("hasError"),
     )
     merged = qn.merge_metadata(extracted, initial, F.col("query_id") % 7 == 0)
-    return fx.questions(spark, sf).withColumn("m", merged).select(
+    return asked(spark, sf).withColumn("m", merged).select(
         "query_id", F.col("m.templateId").alias("template_id"), F.col("m.topN").alias("top_n"), "m.service",
         F.col("m.startTime").alias("start_time"), F.col("m.errorCode").alias("error_code"), F.col("m.hasError").alias("has_error"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenlog.catalog import fixtures as fx
 from lumenlog.catalog import sqltext as q
 from lumenlog.catalog.metrics_queries import _top_flat, top_sql
-from lumenlog.catalog.question_queries import STRUCTURED, meta_args
+from lumenlog.catalog.question_queries import STRUCTURED, asked, meta_args
 from lumenlog.catalog.registry import query
 from lumenlog.functions import events as ev
 from lumenlog.functions import questions as qn
@@ -166,11 +166,19 @@ VECTOR = f"""WITH {q.DUAL_VIEW}, t AS (SELECT event_id, unnest({TOK.format('dual
   l AS (SELECT event_id, sqrt(sum(n * n)) AS len FROM c GROUP BY 1)"""
 
 
-@query("f8_hashed_embedding", VECTOR + " SELECT event_id, slot, round(n / len, 4) AS weight FROM c JOIN l USING (event_id)", ("wide_events",))
+@query(
+    "f8_hashed_embedding",
+    VECTOR + " SELECT event_id, string_agg(slot::VARCHAR || ':' || round(n / len * 10000)::BIGINT::VARCHAR, ' ' ORDER BY slot) AS weights FROM c JOIN l USING (event_id) GROUP BY 1",
+    ("wide_events",),
+)
 def _(spark, sf):
     out = embedding.embed_events(fx.events(spark, sf), F.lit("2024-02-01").cast("timestamp"))
-    parts = out.select(F.col("eventId").alias("event_id"), F.posexplode("embedding").alias("slot", "x")).filter("x > 0")
-    return parts.select("event_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("x").cast("double"), 4).alias("weight"))
+
+    def cell(x, i):
+        weight = F.round(x.cast("double") * 10_000).cast("bigint")
+        return F.when(x > 0, F.concat(i.cast("string"), F.lit(":"), weight.cast("string")))
+
+    return out.select(F.col("eventId").alias("event_id"), F.array_join(F.transform("embedding", cell), " ").alias("weights"))
 
 
 @query(
@@ -250,11 +258,11 @@ def _(spark, sf):
 # Each logged question is paired with the event of the same id.
 def _pairs(spark, sf):
     docs = fx.events(spark, sf).select("eventId", ev.dual_layer_summary(**ev.event_args()).alias("document"))
-    asked = fx.questions(spark, sf).select(
+    pairs = asked(spark, sf).select(
         F.col("query_id").alias("eventId"), qn.structured_text(F.col("text"), **meta_args()).alias("query")
     )
     model = F.when(F.col("eventId") % 9 == 0, F.lit("other")).otherwise("hash-64")
-    return docs.join(asked, "eventId").withColumn("docModel", F.lit("hash-64")).withColumn("queryModel", model)
+    return docs.join(pairs, "eventId").withColumn("docModel", F.lit("hash-64")).withColumn("queryModel", model)
 
 
 LAST = "string_split({0}, chr(10) || chr(10))[-1]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlog.catalog import fixtures as fx
-from lumenlog.catalog.question_queries import CODE, HAS_ERROR, SERVICE, START, meta_args
+from lumenlog.catalog.question_queries import CODE, HAS_ERROR, SERVICE, START, asked, meta_args
 from lumenlog.catalog.registry import query
 from lumenlog.catalog.retrieval_queries import label_queries
 from lumenlog.functions import questions as qn
@@ -286,7 +286,7 @@ def _keyed(spark, sf):
     m = meta_args()
     start = qn.time_range(F.col("text"), F.col("asked_at"))["startTime"]
     key = result_cache.cache_key(m["service"], m["route"], m["error_code"], m["has_error"], start, F.lit(None).cast("timestamp"))
-    return fx.questions(spark, sf).withColumn("cacheKey", key).withColumn("startTime", start)
+    return asked(spark, sf).withColumn("cacheKey", key).withColumn("startTime", start)
 
 
 @query("h15_cache_key", f"SELECT query_id, {KEY} AS cache_key FROM query_log", ("query_log",))
@@ -336,10 +336,9 @@ def _(spark, sf):
     ("query_log",),
 )
 def _(spark, sf):
-    m = meta_args()
     results = _keyed(spark, sf).select(
-        "query_id", m["service"].alias("service"), m["route"].alias("route"), m["error_code"].alias("errorCode"),
-        m["has_error"].alias("hasError"), "startTime", F.lit(None).cast("timestamp").alias("endTime"),
+        "query_id", "service", "route", "errorCode", "hasError", "startTime",
+        F.lit(None).cast("timestamp").alias("endTime"),
         F.lit(None).cast("array<float>").alias("embedding"),
         F.when(F.col("query_id") % 4 == 0, F.array()).otherwise(F.array(F.lit("hit"))).alias("vectorResults"),
     )

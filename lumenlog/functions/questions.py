@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.events import lookup
@@ -107,9 +108,16 @@ EVENT_BUCKETS = {
 
 
 def contains_any(text: Column, words: list[str], word_boundary: bool = False) -> Column:
-    """One regular expression over all words; ``text`` is already lower-cased."""
-    body = "|".join(re.escape(w) for w in words)
-    return F.rlike(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({body})(?![\p{{L}}\p{{N}}])" if word_boundary else body))
+    """Any of ``words`` in ``text``, which is already lower-cased.
+
+    Plain substring searches are several times cheaper than one regular
+    expression; a word that holds another word of the list is never needed.
+    """
+    if word_boundary:
+        body = "|".join(re.escape(w) for w in words)
+        return F.rlike(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({body})(?![\p{{L}}\p{{N}}])"))
+    needed = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in needed])
 
 
 def first_match(text: Column, table: dict[str, list[str]], default: Column, word_boundary: bool = False) -> Column:
@@ -172,8 +180,11 @@ def route_hint(text: Column, route: Column) -> Column:
 
 
 def structured_text(text: Column, service: Column, route: Column, error_code: Column, has_error: Column) -> Column:
-    """Question, blank line, known parts in summary order."""
-    outcome = outcome_hint(text, has_error, error_code)
+    """Question, blank line, known parts in summary order.
+
+    The metadata arguments are best columns of the input, not expressions: they
+    are used several times.
+    """
     code = F.nullif(error_code, F.lit(""))
     failing = F.coalesce(has_error, F.lit(False)) | code.isNotNull()
 
@@ -182,7 +193,7 @@ def structured_text(text: Column, service: Column, route: Column, error_code: Co
 
     parts = F.concat_ws(
         ", ",
-        F.when(outcome != "ANY", part("Outcome", outcome)),
+        part("Outcome", F.nullif(outcome_hint(text, has_error, error_code), F.lit("ANY"))),
         part("Service", normalize_service(service)),
         part("Route", route_hint(text, route)),
         F.when(failing, part("Error", F.coalesce(code, F.lit("ANY")))),
@@ -193,6 +204,13 @@ def structured_text(text: Column, service: Column, route: Column, error_code: Co
     return F.concat(F.trim(text), F.lit("\n\n"), parts)
 
 
+def with_metadata(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the metadata its question text states: service, route, errorCode, hasError."""
+    t = F.col(text)
+    found = df.withColumns({"service": mentioned_service(t), "route": _null(), "errorCode": mentioned_code(t)})
+    return found.withColumn("hasError", contains_any(F.lower(t), ERROR_WORDS) | F.col("errorCode").isNotNull())
+
+
 def variations(text: Column, service: Column, route: Column, error_code: Column, has_error: Column) -> Column:
     """Texts to search with: primary, error-focused if different, service, raw."""
     primary = structured_text(text, service, route, error_code, has_error)

@@ -35,18 +35,22 @@ def field_match(df: DataFrame, document: str, query: str, compat: bool = False)
     def entries(col):
         return tx.field_entries(F.col(col) if compat else tx.without_narrative(F.col(col)))
 
-    # Materialised as columns so that each text is parsed once.
-    parsed = df.withColumn("_d", entries(document)).withColumn("_q", entries(query))
+    # Each text is parsed once and each value looked up once: they are columns first.
+    parsed = df.withColumns({"_d": entries(document), "_q": entries(query)})
+    names = {f: f if compat else f.lower() for f in FIELDS}
+    parsed = parsed.withColumns(
+        {f"{side}_{f}": tx.field_value(F.col(side), name) for f, name in names.items() for side in ("_d", "_q")}
+    )
 
     def one(field, always):
-        name = field if compat else field.lower()
-        d, q = tx.field_value(F.col("_d"), name), tx.field_value(F.col("_q"), name)
+        d, q = F.col(f"_d_{field}"), F.col(f"_q_{field}")
         same = d.eqNullSafe(q) | F.coalesce(q.isin(always), F.lit(False))
         return F.struct(
             F.coalesce(d, F.lit("")).alias("document"), F.coalesce(q, F.lit("")).alias("query"), same.alias("match")
         ).alias(field)
 
-    return parsed.withColumn("fields", F.struct(*[one(f, v) for f, v in FIELDS.items()])).drop("_d", "_q")
+    fields = F.struct(*[one(f, v) for f, v in FIELDS.items()]).alias("fields")
+    return parsed.select(*df.columns, fields)
 
 
 def same_order(document: Column, query: Column, compat: bool = False) -> Column:

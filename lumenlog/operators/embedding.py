@@ -2,50 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import events as ev
-from lumenlog.functions.text import let
 from lumenlog.operators.filters import pending_page
 
 # texts -> one vector per text
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+NOT_A_WORD = "[^a-z0-9가-힣]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased alphanumeric words (ASCII and Hangul)."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9가-힣]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), NOT_A_WORD), lambda t: t != "")
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Reproducible bag-of-words vector, L2-normalised.
 
-    Word ``w`` adds 1 to slot ``int(md5(w)[:8], 16) mod dim``. Pure column
-    expressions: the same text gives the same vector on every engine.
+    Word ``w`` (as in :func:`tokens`) adds 1 to slot ``int(md5(w)[:8], 16) mod dim``.
+    Each Arrow batch is split, coded and counted by whole columns, and hashes its
+    distinct words once.
     """
-    slots = F.transform(
-        tokens(text),
-        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)),
-    )
-
-    def count(found):
-        # rows of one value = all rows - rows left when that value is removed
-        return F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
-            lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"),
-        )
-
-    def scale(counts):
-        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-        return let(
-            length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))
-        )
 
-    return let(let(slots, count), scale)
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        words = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), NOT_A_WORD)
+        row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        # The empty word stands for a separator at an end of the text.
+        slots = np.array([_slot(w, dim) if w else -1 for w in coded.dictionary.to_pylist()], dtype="int64")
+        slot = slots[coded.indices.to_numpy()] if len(slots) else np.zeros(0, dtype="int64")
+        cells = row[slot >= 0] * dim + slot[slot >= 0]
+        counts = np.bincount(cells, minlength=len(words) * dim).reshape(-1, dim).astype("float64")
+        size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, size, out=np.zeros_like(counts), where=size > 0).astype("float32")
+        offsets = np.arange(0, (len(words) + 1) * dim, dim, dtype="int32")
+        return pa.ListArray.from_arrays(offsets, unit.ravel())
+
+    return vectors(text)
+
+
+def _slot(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
 
 
 def embed_rows(df: DataFrame, text: Column, embedder: Embedder | None = None, model: str = "hash-64", batch_size: int = 50) -> DataFrame:

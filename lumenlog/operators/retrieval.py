@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenlog.functions import vectors as vx
 from lumenlog.operators.embedding import tokens
@@ -20,97 +21,123 @@ MAX_LOCAL_QUERIES = 2048
 SHARD_ROWS = 50_000
 SCORE_DIGITS = 12
 
-HITS = T.StructType(
+HITS = "queryId bigint, tier int, eventId bigint, score double"
+HITS_ARROW = pa.schema([("queryId", pa.int64()), ("tier", pa.int32()), ("eventId", pa.int64()), ("score", pa.float64())])
+QUERIES_ARROW = pa.schema(
     [
-        T.StructField("queryId", T.LongType()),
-        T.StructField("tier", T.IntegerType()),
-        T.StructField("eventId", T.LongType()),
-        T.StructField("score", T.DoubleType()),
+        ("queryId", pa.int64()),
+        ("embedding", pa.list_(pa.float64())),
+        ("service", pa.string()),
+        ("startTime", pa.int64()),
+        ("endTime", pa.int64()),
     ]
 )
-QUERY_COLS = ["queryId", "embedding", "service", "startTime", "endTime"]
 
 
-def _micros(ts: pd.Series) -> np.ndarray:
-    """Epoch microseconds; NaT becomes the smallest integer."""
-    return ts.astype("datetime64[us]").to_numpy().astype("int64")
+def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` smallest keys, ties by id."""
+    if len(key) > 4 * k:
+        cut = np.partition(key, k - 1)[k - 1]
+        keep = np.flatnonzero(key <= cut)
+        return keep[np.lexsort((ids[keep], key[keep]))[:k]]
+    return np.lexsort((ids, key))[:k]
+
+
+def _one(column):
+    """A contiguous array of a table column."""
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths with -1 for null, start offsets, flat values) of a list column."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()[:-1]
+    return lengths, offsets, column.values.to_numpy(zero_copy_only=False)
+
+
+def _unit_rows(start: np.ndarray, dim: int, flat: np.ndarray) -> np.ndarray:
+    """Normalised vectors of equal length as a matrix; zero vectors stay zero."""
+    m = flat[start[:, None] + np.arange(dim)].astype("float64")
+    size = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
 class _Probe:
     """A bounded block of query vectors with their filters, ready to score batches."""
 
-    def __init__(self, queries: pd.DataFrame, tiers: int):
+    def __init__(self, queries: pa.Table, tiers: int):
         self.ids = queries["queryId"].to_numpy()
-        self.dims = queries["embedding"].map(len).to_numpy()
-        self.unit = {d: _unit(queries["embedding"][self.dims == d]) for d in set(self.dims)}
-        self.service = queries["service"].to_numpy(dtype=object)
-        self.start = queries["startTime"].to_numpy()
-        self.end = queries["endTime"].to_numpy()
+        self.service = queries["service"].to_pylist()
+        self.start = queries["startTime"].to_pylist()
+        self.end = queries["endTime"].to_pylist()
         self.tiers = tiers
+        lengths, offsets, flat = _vectors(_one(queries["embedding"]))
+        self.groups = {}
+        for dim in set(lengths[lengths > 0].tolist()):
+            rows = np.flatnonzero(lengths == dim)
+            self.groups[dim] = (rows, _unit_rows(offsets[rows], dim, flat))
 
-    def top(self, batch: pd.DataFrame, k: int) -> pd.DataFrame:
+    def top(self, batch: pa.Table | pa.RecordBatch, k: int) -> pa.Table:
         """Best ``k`` rows of the batch per query and tier."""
-        out = []
-        sizes = batch["embedding"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-        ids = batch["eventId"].to_numpy()
-        service = batch["service"].to_numpy(dtype=object)
-        at = _micros(batch["timestamp"])
-        present = sizes >= 0
-        scores = np.zeros((len(self.ids), len(batch)))
-        for dim in set(sizes[present]) & set(self.dims):
-            rows, cols = self.dims == dim, sizes == dim
-            scores[np.ix_(rows, cols)] = self.unit[dim] @ _unit(batch["embedding"][cols]).T
-        scores = np.round(scores, SCORE_DIGITS)
-        for q in range(len(self.ids)):
-            timed = present.copy()
+        lengths, offsets, flat = _vectors(_one(batch["embedding"]))
+        ids = _one(batch["eventId"]).to_numpy(zero_copy_only=False)
+        at = _one(batch["timestamp"]).cast(pa.int64()).fill_null(-(2**62)).to_numpy(zero_copy_only=False)
+        scores = np.zeros((len(self.ids), len(ids)))
+        for dim, (rows, unit) in self.groups.items():
+            cols = np.flatnonzero(lengths == dim)
+            if len(cols):
+                scores[np.ix_(rows, cols)] = unit @ _unit_rows(offsets[cols], dim, flat).T
+        scores = -np.round(scores, SCORE_DIGITS)
+        names = _one(batch["service"])
+        wanted = {s for s in self.service if s is not None}
+        by_service = {s: pc.equal(names, s).fill_null(False).to_numpy(zero_copy_only=False) for s in wanted}
+        found: list[tuple] = []
+        for q, qid in enumerate(self.ids):
+            mask = lengths >= 0
             if self.start[q] is not None:
-                timed &= at >= self.start[q]
+                mask = mask & (at >= self.start[q])
             if self.end[q] is not None:
-                timed &= at <= self.end[q]
-            masks = [timed & (service == self.service[q])] if self.service[q] is not None else [timed]
-            if self.tiers == 2 and self.service[q] is not None:
-                masks.append(timed)
-            for tier, mask in enumerate(masks):
-                idx = np.flatnonzero(mask)
-                if len(idx) == 0:
-                    continue
-                best = idx[np.lexsort((ids[idx], -scores[q, idx]))[:k]]
-                out.append(
-                    pd.DataFrame(
-                        {"queryId": self.ids[q], "tier": np.int32(tier), "eventId": ids[best], "score": scores[q, best]}
-                    )
-                )
-        return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in HITS.fields})
-
-
-def _unit(col: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype="float64") for v in col])
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    every = pd.concat(parts).sort_values(["score", "eventId"], ascending=[False, True])
-    return every.groupby(["queryId", "tier"], sort=False).head(k)
+                mask = mask & (at <= self.end[q])
+            service = self.service[q]
+            masks = [mask if service is None else mask & by_service[service]]
+            if self.tiers == 2 and service is not None:
+                masks.append(mask)
+            for tier, m in enumerate(masks):
+                idx = np.flatnonzero(m)
+                best = idx[_best(scores[q, idx], ids[idx], k)]
+                n = len(best)
+                found.append((np.full(n, qid), np.full(n, tier, "int32"), ids[best], -scores[q, best]))
+        if not found:
+            return HITS_ARROW.empty_table()
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=HITS_ARROW)
+
+
+def _keep_best(parts: list[pa.Table], k: int) -> pa.Table:
+    """Best ``k`` rows per query and tier of several partial results."""
+    every = pa.concat_tables(parts).sort_by(
+        [("queryId", "ascending"), ("tier", "ascending"), ("score", "descending"), ("eventId", "ascending")]
+    )
+    q, t = every["queryId"].to_numpy(), every["tier"].to_numpy()
+    if not len(q):
+        return every
+    first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (t[1:] != t[:-1])])
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return every.filter(pa.array(place < k))
 
 
 def _query_frame(queries: DataFrame) -> DataFrame:
     have = set(queries.columns)
-    return queries.select(
-        "queryId",
-        "embedding",
-        *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ["service"]],
-        *[
-            (F.unix_micros(c) if c in have else F.lit(None).cast("bigint")).alias(c)
-            for c in ("startTime", "endTime")
-        ],
-    )
 
+    def time(name):
+        return (F.unix_micros(name) if name in have else F.lit(None).cast("bigint")).alias(name)
 
-def _as_object(pdf: pd.DataFrame) -> pd.DataFrame:
-    for c in ("service", "startTime", "endTime"):
-        pdf[c] = pd.Series([None if pd.isna(v) else v for v in pdf[c]], dtype=object, index=pdf.index)
-    return pdf
+    return queries.select(
+        F.col("queryId").cast("bigint"),
+        F.col("embedding").cast("array<double>"),
+        (F.col("service") if "service" in have else F.lit(None)).cast("string").alias("service"),
+        time("startTime"),
+        time("endTime"),
+    )
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, relax_service: bool = False) -> DataFrame:
@@ -129,42 +156,44 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, relax_service: bool =
     slim = vectors.select("eventId", "embedding", "service", "timestamp")
     asked = _query_frame(queries)
     head = asked.limit(MAX_LOCAL_QUERIES + 1).collect()
-    if len(head) <= MAX_LOCAL_QUERIES:
-        local = _as_object(pd.DataFrame([r.asDict() for r in head], columns=QUERY_COLS))
-        shared = vectors.sparkSession.sparkContext.broadcast(local)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if len(shared.value) == 0:
-                return
-            probe = _Probe(shared.value, tiers)
-            kept: pd.DataFrame | None = None
-            for batch in batches:
-                if len(batch):
-                    found = probe.top(batch, k)
-                    kept = found if kept is None else _best([kept, found], k)
-            if kept is not None and len(kept):
-                yield kept
-
-        partial = slim.mapInPandas(scan, HITS)
-    else:
-        partial = _sharded(asked, slim, k, tiers)
-    return _final(partial, k)
+    if len(head) > MAX_LOCAL_QUERIES:
+        return _final(_sharded(asked, slim, k, tiers), k)
+    local = pa.Table.from_pylist([r.asDict() for r in head], QUERIES_ARROW)
+    shared = vectors.sparkSession.sparkContext.broadcast(local)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not shared.value.num_rows:
+            return
+        probe = _Probe(shared.value, tiers)
+        kept = HITS_ARROW.empty_table()
+        for batch in batches:
+            if batch.num_rows:
+                kept = _keep_best([kept, probe.top(batch, k)], k)
+        yield from kept.to_batches()
+
+    return _final(slim.mapInArrow(scan, HITS), k)
 
 
 def _sharded(asked: DataFrame, slim: DataFrame, k: int, tiers: int) -> DataFrame:
     """Query blocks against vector shards; every pair of a block and a shard is one group."""
     shards = max(1, -(-slim.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // MAX_LOCAL_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = slim.withColumn("shard", F.pmod(F.xxhash64("eventId"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("queryId"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
 
-    def meet(vecs: pd.DataFrame, ques: pd.DataFrame) -> pd.DataFrame:
-        if vecs.empty or ques.empty:
-            return pd.DataFrame({f.name: [] for f in HITS.fields})
-        return _Probe(_as_object(ques.reset_index(drop=True)), tiers).top(vecs, k)
+    def part(key, n):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = slim.withColumn("shard", part("eventId", shards)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", part("queryId", blocks)).withColumn("shard", every(shards))
+
+    def meet(vecs: pa.Table, ques: pa.Table) -> pa.Table:
+        if not vecs.num_rows or not ques.num_rows:
+            return HITS_ARROW.empty_table()
+        return _Probe(ques, tiers).top(vecs, k)
 
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(meet, HITS)
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, HITS)
 
 
 def _final(partial: DataFrame, k: int) -> DataFrame:
@@ -212,27 +241,25 @@ def ann_top_k(queries: DataFrame, signed: DataFrame, k: int, dim: int, bits: int
     sigs = np.packbits(np.array([r["embedding"] for r in head], dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
     shared = signed.sparkSession.sparkContext.broadcast((ids, sigs))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qsigs = shared.value
-        kept: pd.DataFrame | None = None
+        best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = np.frombuffer(b"".join(batch["signature"]), dtype="uint8").reshape(len(batch), -1)
-            event = batch["eventId"].to_numpy()
-            found = []
-            for qid, sig in zip(qids, qsigs):
-                far = np.bitwise_count(rows ^ sig).sum(axis=1, dtype="int64")
-                best = np.lexsort((event, far))[:wanted]
-                found.append(pd.DataFrame({"queryId": qid, "eventId": event[best], "far": far[best]}))
-            if kept is not None:
-                found.append(kept)
-            every = pd.concat(found).sort_values(["far", "eventId"])
-            kept = every.groupby("queryId", sort=False).head(wanted)
-        if kept is not None:
-            yield kept
-
-    near = signed.select("eventId", "signature").mapInPandas(scan, "queryId bigint, eventId bigint, far bigint")
+            rows = np.frombuffer(b"".join(batch["signature"].to_pylist()), dtype="uint8").reshape(batch.num_rows, -1)
+            event = batch["eventId"].to_numpy(zero_copy_only=False)
+            for q, sig in enumerate(qsigs):
+                far = np.concatenate([best[q][0], np.bitwise_count(rows ^ sig).sum(axis=1, dtype="int64")])
+                ids = np.concatenate([best[q][1], event])
+                keep = _best(far, ids, wanted)
+                best[q] = (far[keep], ids[keep])
+        for qid, (far, found) in zip(qids, best):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), qid)), pa.array(found), pa.array(far)], ["queryId", "eventId", "far"]
+            )
+
+    near = signed.select("eventId", "signature").mapInArrow(scan, "queryId bigint, eventId bigint, far bigint")
     candidates = first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted).select("queryId", "eventId")
     q = queries.select("queryId", F.col("embedding").alias("_q"))
     scored = (
