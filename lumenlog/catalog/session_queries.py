@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lumenlog.catalog import fixtures as fx
 from lumenlog.catalog.question_queries import CODE, HAS_ERROR, SERVICE, START, asked, meta_args
 from lumenlog.catalog.registry import query
-from lumenlog.catalog.retrieval_queries import label_queries
+from lumenlog.catalog.retrieval_queries import SCORES, _ranked, label_queries
+from lumenlog.catalog.sqltext import ROLE
 from lumenlog.functions import questions as qn
 from lumenlog.operators import grounding, metrics, result_cache, retrieval, sessions
 
@@ -157,15 +158,35 @@ def _(spark, sf):
 
 
 # --- grounding ------------------------------------------------------------------
-@query("h10_context_documents")
+NL = "chr(10)"
+EVENT_JSON = f"""'{{' || {NL} || '  "eventId": ' || event_id || ',' || {NL} || '  "requestId": "' || request_id || '",' || {NL} || '  "timestamp": "'
+  || strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '",' || {NL} || '  "service": "' || service || '",' || {NL} || '  "route": "' || route || '"'
+  || coalesce(',' || {NL} || '  "user": {{' || {NL} || '    "id": "' || user_id || '",' || {NL} || '    "role": "' || {ROLE} || '"' || {NL} || '  }}', '')
+  || coalesce(',' || {NL} || '  "error": {{' || {NL} || '    "code": "' || error_code || '",' || {NL} || '    "message": "' || error_message || '"' || {NL} || '  }}', '')
+  || coalesce(',' || {NL} || '  "performance": {{' || {NL} || '    "durationMs": ' || duration_ms || {NL} || '  }}', '') || {NL} || '}}'"""
+
+
+@query(
+    "h10_context_documents",
+    f"""WITH {SCORES}, h AS ({_ranked('s', 5)})
+    SELECT query_id, string_agg('[Document ' || rank || ']' || {NL} || {EVENT_JSON}, {NL} || {NL} ORDER BY rank) AS context_text FROM h JOIN wide_events USING (event_id) GROUP BY 1""",
+    ("event_embeddings",),
+)
 def _(spark, sf):
     hits = retrieval.top_k(label_queries(spark, sf), fx.embedded(spark, sf), 5)
-    return grounding.context_documents(retrieval.ground(hits, fx.events(spark, sf)))
+    return grounding.context_documents(retrieval.ground(hits, fx.events(spark, sf))).toDF("query_id", "context_text")
 
 
-@query("h10_aggregation_context")
+@query(
+    "h10_aggregation_context",
+    f"""SELECT '[Aggregation Results]' || {NL} || '[' || {NL} || string_agg('  {{' || {NL} || '    "service": "' || service || '",' || {NL} || '    "count": ' || n || ',' || {NL}
+      || '    "topErrorCodes": []' || {NL} || '  }}', ',' || {NL} ORDER BY n DESC, service) || {NL} || ']' AS context_text
+    FROM (SELECT service, count(*) AS n FROM wide_events WHERE error_code IS NOT NULL GROUP BY 1)""",
+    ("wide_events",),
+)
 def _(spark, sf):
-    return grounding.aggregation_context(metrics.top_error_codes(fx.events(spark, sf)))
+    by_service = metrics.error_by_service(fx.events(spark, sf))
+    return grounding.aggregation_context(by_service, -F.col("count"), F.col("service")).toDF("context_text")
 
 
 # Model outputs are rendered from every chat row: with and without confidence, fenced and bare verdicts.

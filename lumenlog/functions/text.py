@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space removed by trimming: ASCII, no-break space, BOM, line and paragraph separators.
 WHITESPACE = " \t\n\r\x0b\x0c ﻿  "
@@ -123,3 +124,35 @@ def field_map(text: Column) -> Column:
 def field_order(text: Column) -> Column:
     """Sequence of the field names."""
     return F.filter(F.transform(field_entries(text), lambda e: e["name"]), lambda n: n != "")
+
+
+def pretty_json(value: Column, dtype: T.DataType, level: int = 0) -> Column:
+    """JSON text indented by two spaces, ``"key": value``; null fields are left out.
+
+    The layout follows the column type, so it is settled when the plan is built.
+    """
+    pad, close = "  " * (level + 1), "  " * level
+
+    def block(open_, body, shut):
+        filled = F.concat(F.lit(open_ + "\n"), body, F.lit("\n" + close + shut))
+        return F.when(value.isNotNull(), F.when(body == "", open_ + shut).otherwise(filled))
+
+    if isinstance(dtype, T.StructType):
+        fields = [
+            F.concat(F.lit(f'{pad}"{f.name}": '), pretty_json(value[f.name], f.dataType, level + 1)) for f in dtype.fields
+        ]
+        return block("{", F.concat_ws(",\n", *fields), "}")
+    if isinstance(dtype, T.ArrayType):
+        def item(v):
+            return F.concat(F.lit(pad), F.coalesce(pretty_json(v, dtype.elementType, level + 1), F.lit("null")))
+
+        return block("[", F.array_join(F.transform(value, item), ",\n"), "]")
+    if isinstance(dtype, T.TimestampType):
+        return F.date_format(value, "'\"'yyyy-MM-dd'T'HH:mm:ss.SSS'Z\"'")
+    if isinstance(dtype, T.StringType):
+        listed = F.to_json(F.array(value))
+        return F.when(value.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlog.functions import events as ev
 from lumenlog.operators.filters import pending_page
@@ -66,7 +67,7 @@ def embed_rows(df: DataFrame, text: Column, embedder: Embedder | None = None, mo
     base = df.withColumn("summary", text).withColumn("model", F.lit(model))
     if embedder is None:
         return base.withColumn("embedding", hashed_vector(F.col("summary")))
-    schema = base.schema.add("embedding", "array<float>")
+    schema = T.StructType([*base.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lumenlog.functions.text import pretty_json
 
 # --- fixed values -------------------------------------------------------------
 REJECTED_ANSWER = "Not enough evidence to provide a reliable answer."
@@ -127,8 +130,8 @@ def default_answers(questions: DataFrame, hits: DataFrame, history_counts: DataF
 
 def context_documents(grounded: DataFrame, label: str = "Document") -> DataFrame:
     """Prompt context per query: numbered JSON of its (at most n) grounded events."""
-    payload = [c for c in grounded.columns if c not in ("queryId", "rank")]
-    body = F.to_json(F.struct(*payload), {"pretty": "true"})
+    payload = grounded.drop("queryId", "rank").schema
+    body = pretty_json(F.struct(*payload.names), payload)
     text = F.concat(F.lit(f"[{label} "), F.col("rank").cast("string"), F.lit("]\n"), body)
     listed = F.sort_array(F.collect_list(F.struct("rank", text.alias("text"))))
     return grounded.groupBy("queryId").agg(
@@ -136,7 +139,14 @@ def context_documents(grounded: DataFrame, label: str = "Document") -> DataFrame
     )
 
 
-def aggregation_context(metric: DataFrame) -> DataFrame:
-    """Prompt context of a metric result (a bounded top-n table)."""
-    rows = F.to_json(F.collect_list(F.struct(*metric.columns)), {"pretty": "true"})
-    return metric.agg(F.concat(F.lit("[Aggregation Results]\n"), rows).alias("contextText"))
+def aggregation_context(metric: DataFrame, *order: Column) -> DataFrame:
+    """Prompt context of a metric result, a bounded top-n table, its rows sorted by ``order``."""
+    keyed = F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)], F.struct(*metric.columns).alias("row"))
+    rows = F.transform(F.sort_array(F.collect_list(keyed)), lambda e: e["row"])
+    text = pretty_json(F.col("rows"), T.ArrayType(metric.schema))
+    return metric.agg(rows.alias("rows")).select(F.concat(F.lit("[Aggregation Results]\n"), text).alias("contextText"))
+
+
+def joined_context(*parts: Column) -> Column:
+    """Context sections separated by blank lines; empty ones left out."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")

@@ -186,9 +186,9 @@ def summariser_lines(history: DataFrame) -> DataFrame:
     """Numbered Q/A text of every turn for the summariser, one row per turn.
 
     A session may be of any length, so its lines stay rows; their order is
-    ``position``. Numbering counts per (session, day) first.
+    ``position``. Numbering counts per (session, hour) first.
     """
-    placed = history.withColumn("_b", time_bucket(F.col("createdAt"), 86_400))
+    placed = history.withColumn("_b", time_bucket(F.col("createdAt"), 3600))
     inner = Window.partitionBy("sessionId", "_b").orderBy("createdAt", "turn")
     sizes = placed.groupBy("sessionId", "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("sessionId").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

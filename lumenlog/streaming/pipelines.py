@@ -151,16 +151,19 @@ def embed_incrementally(
     """Embed new events as they arrive; the checkpoint takes the place of the high-water mark.
 
     Rows already in the table (a replayed source, a late duplicate) are dropped by
-    an anti-join on the event id, batches of the run at hand excepted.
+    an anti-join on the event id. A copy of an event has the event's time, so only
+    the batch's own time span of the table is read.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = embed_events(batch.dropDuplicates(["eventId"]), now, embedder)
+        rows = batch.dropDuplicates(["eventId"])
         if batch_id > 0:
-            seen = spark.read.schema("eventId bigint, batch_id bigint").parquet(table).filter(F.col("batch_id") < batch_id)
+            low, high = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
+            table_rows = spark.read.schema("eventId bigint, timestamp timestamp, batch_id bigint").parquet(table)
+            seen = table_rows.filter((F.col("batch_id") < batch_id) & F.col("timestamp").between(low, high))
             rows = rows.join(seen.select("eventId"), "eventId", "left_anti")
-        rows.write.mode("overwrite").parquet(_batch_dir(table, batch_id))
+        embed_events(rows, now, embedder).write.mode("overwrite").parquet(_batch_dir(table, batch_id))
 
     return _writer(events.filter("_summary <> ''"), checkpoint, trigger).foreachBatch(save).start()
 
