@@ -184,12 +184,17 @@ def _(spark, sf):
 
 
 # --- streams ---------------------------------------------------------------------------
-def _stream(spark, df, files=1):
-    """``df`` written as ``files`` files and read back as a stream, one file per batch."""
+def _stream(spark, df, batches=1):
+    """``df`` written to files and read back as a stream of ``batches`` micro-batches.
+
+    Every batch holds an equal share of the files, whose number follows the
+    cluster, so that no task writes or reads more than its part.
+    """
     path = fresh_path(spark, "stream-source")
-    parts = df.coalesce(1) if files == 1 else df.repartition(files)
-    parts.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_batch = -(-tasks // batches)
+    df.repartition(per_batch * batches).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def _run(start, *args, **kwargs):

@@ -121,11 +121,6 @@ def field_map(text: Column) -> Column:
     return let(field_entries(text), build)
 
 
-def field_order(text: Column) -> Column:
-    """Sequence of the field names."""
-    return F.filter(F.transform(field_entries(text), lambda e: e["name"]), lambda n: n != "")
-
-
 def pretty_json(value: Column, dtype: T.DataType, level: int = 0) -> Column:
     """JSON text indented by two spaces, ``"key": value``; null fields are left out.
 

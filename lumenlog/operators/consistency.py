@@ -25,18 +25,17 @@ ADVICE_GOOD = "✅ Format consistency looks good!"
 # --- end of fixed values ------------------------------------------------------------
 
 
-def field_match(df: DataFrame, document: str, query: str, compat: bool = False) -> DataFrame:
-    """Adds ``fields``: per field {document, query, match}.
+def _entries(text: Column, compat: bool) -> Column:
+    return tx.field_entries(text if compat else tx.without_narrative(text))
+
+
+def _names(entries: Column) -> Column:
+    return F.filter(F.transform(entries, lambda e: e["name"]), lambda n: n != "")
 
-    Names are compared without case and the narrative is removed first. With
-    ``compat`` names that contain capitals are never found (and so always match)
-    and the narrative stays glued to the first name.
-    """
-    def entries(col):
-        return tx.field_entries(F.col(col) if compat else tx.without_narrative(F.col(col)))
 
-    # Each text is parsed once and each value looked up once: they are columns first.
-    parsed = df.withColumns({"_d": entries(document), "_q": entries(query)})
+def _compare(df: DataFrame, document: str, query: str, compat: bool) -> DataFrame:
+    """Adds ``fields`` and ``fieldOrderMatch``. Each text is parsed once and each value looked up once."""
+    parsed = df.withColumns({"_d": _entries(F.col(document), compat), "_q": _entries(F.col(query), compat)})
     names = {f: f if compat else f.lower() for f in FIELDS}
     parsed = parsed.withColumns(
         {f"{side}_{f}": tx.field_value(F.col(side), name) for f, name in names.items() for side in ("_d", "_q")}
@@ -49,24 +48,33 @@ def field_match(df: DataFrame, document: str, query: str, compat: bool = False)
             F.coalesce(d, F.lit("")).alias("document"), F.coalesce(q, F.lit("")).alias("query"), same.alias("match")
         ).alias(field)
 
-    fields = F.struct(*[one(f, v) for f, v in FIELDS.items()]).alias("fields")
-    return parsed.select(*df.columns, fields)
+    return parsed.select(
+        *df.columns,
+        F.struct(*[one(f, v) for f, v in FIELDS.items()]).alias("fields"),
+        (_names(F.col("_d")) == _names(F.col("_q"))).alias("fieldOrderMatch"),
+    )
+
+
+def field_match(df: DataFrame, document: str, query: str, compat: bool = False) -> DataFrame:
+    """Adds ``fields``: per field {document, query, match}.
+
+    Names are compared without case and the narrative is removed first. With
+    ``compat`` names that contain capitals are never found (and so always match)
+    and the narrative stays glued to the first name.
+    """
+    return _compare(df, document, query, compat).drop("fieldOrderMatch")
 
 
 def same_order(document: Column, query: Column, compat: bool = False) -> Column:
-    if not compat:
-        document, query = tx.without_narrative(document), tx.without_narrative(query)
-    return tx.field_order(document) == tx.field_order(query)
+    return _names(_entries(document, compat)) == _names(_entries(query, compat))
 
 
 def consistency_report(
     pairs: DataFrame, document: str, query: str, document_model: str, query_model: str, compat: bool = False
 ) -> DataFrame:
     """Per pair: model match, field order, field matches and recommendations."""
-    df = field_match(pairs, document, query, compat)
-    df = df.withColumn("fieldOrderMatch", same_order(F.col(document), F.col(query), compat)).withColumn(
-        "modelMatch", F.col(document_model).eqNullSafe(F.col(query_model))
-    )
+    df = _compare(pairs, document, query, compat)
+    df = df.withColumn("modelMatch", F.col(document_model).eqNullSafe(F.col(query_model)))
     wrong = F.array_compact(
         F.array(
             *[
