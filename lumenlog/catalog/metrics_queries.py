@@ -476,7 +476,7 @@ def _(spark, sf):
 
 @query(
     "e17_usage_report",
-    """SELECT intent AS template_type, CAST(created_at AS DATE) AS day, count(*) AS calls, sum(length(question) + length(answer))::BIGINT AS tokens,
+    """SELECT intent AS template_type, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, sum(length(question) + length(answer))::BIGINT AS tokens,
       round(sum((length(question) + length(answer)) * 0.002::DOUBLE), 6) AS cost, avg(length(answer) * 3) AS avg_response_ms
     FROM chat_history GROUP BY 1, 2""",
     ("chat_history",),
@@ -485,7 +485,7 @@ def _(spark, sf):
     tokens = (F.length("question") + F.length("answer")).cast("bigint")
     usage = fx.history(spark, sf).select(
         F.col("intent").alias("templateType"),
-        F.to_date("createdAt").alias("day"),
+        F.date_format("createdAt", "yyyy-MM-dd").alias("day"),
         tokens.alias("tokens"),
         (tokens * F.lit(0.002)).alias("cost"),
         (F.length("answer") * 3).alias("responseTimeMs"),
@@ -510,14 +510,14 @@ def _(spark, sf):
     l AS (SELECT *, error_rate - lag(error_rate) OVER (ORDER BY day) AS rate_change FROM d),
     c AS (SELECT CAST(event_ts AS DATE) AS day, error_code, count(*) AS code_errors FROM wide_events WHERE error_code IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY code_errors DESC, error_code) AS k FROM c)
-    SELECT l.day, total, errors, error_rate, rate_change, k AS issue_rank, error_code, code_errors
+    SELECT l.day::VARCHAR AS day, total, errors, error_rate, rate_change, k AS issue_rank, error_code, code_errors
     FROM l LEFT JOIN (SELECT * FROM r WHERE k <= 3) r ON r.day = l.day""",
     W,
 )
 def _(spark, sf):
     return incidents.daily_briefing(fx.events(spark, sf)).toDF(
         "day", "total", "errors", "error_rate", "rate_change", "issue_rank", "error_code", "code_errors"
-    ).withColumn("issue_rank", F.col("issue_rank").cast("bigint"))
+    ).withColumns({"issue_rank": F.col("issue_rank").cast("bigint"), "day": F.col("day").cast("string")})
 
 
 @query(

@@ -64,13 +64,13 @@ def _(spark, sf):
     return _flat(src.read_json_lines(spark, path))
 
 
-@query("a2_event_table", f"SELECT request_id, event_ts, CAST(event_ts AS DATE) AS event_date, {q.SUMMARY} AS summary FROM wide_events WHERE event_id % 60 <> 7", W)
+@query("a2_event_table", f"SELECT request_id, event_ts, strftime(event_ts, '%Y-%m-%d') AS event_date, {q.SUMMARY} AS summary FROM wide_events WHERE event_id % 60 <> 7", W)
 def _(spark, sf):
     path, bad = fresh_path(spark, "events"), fresh_path(spark, "rejected")
     spoiled = _stored(spark, sf).withColumn("service", F.when(F.col("eventId") % 60 == 7, F.lit("")).otherwise(F.col("service")))
     src.append_events(spoiled, path, bad)
     return spark.read.parquet(path).select(
-        F.col("requestId").alias("request_id"), F.col("timestamp").alias("event_ts"), "event_date", F.col("_summary").alias("summary")
+        F.col("requestId").alias("request_id"), F.col("timestamp").alias("event_ts"), F.col("event_date").cast("string"), F.col("_summary").alias("summary")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlog.functions import events as ev
+from lumenlog.functions.text import let
 
 # --- fixed values -------------------------------------------------------------
 HTTP_CODES = {
@@ -193,6 +194,53 @@ def clip_string(value: Column, max_length: int = 200) -> Column:
     ).otherwise(value)
 
 
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _bounded_json(value: Column, max_depth: int, max_length: int, depth: int = 0) -> Column:
+    """JSON text of a variant: strings cut, lists to 10 items, objects to 20 keys, depth limited."""
+    def quoted(text):
+        listed = F.to_json(F.array(text))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    kind, items = _kind(value), value.cast("array<variant>")
+    if depth >= max_depth:
+        array = F.concat(F.lit('"[Array('), F.size(items).cast("string"), F.lit(')]"'))
+        obj = F.lit('"[Object]"')
+    else:
+        def below(v):
+            return _bounded_json(v, max_depth, max_length, depth + 1)
+
+        entries = F.slice(F.map_entries(value.cast("map<string,variant>")), 1, 20)
+        array = F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, 10), below), ","), F.lit("]"))
+        pairs = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), below(e["value"])))
+        obj = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return (
+        F.when(kind == "STRING", quoted(clip_string(value.cast("string"), max_length)))
+        .when(F.startswith(kind, F.lit("ARRAY")), array)
+        .when(F.startswith(kind, F.lit("OBJECT")), obj)
+        .otherwise(F.coalesce(value.cast("string"), F.lit("null")))
+    )
+
+
+def sanitized_json(value: Column, max_depth: int = 2, max_length: int = 200) -> Column:
+    """Bounded text of a variant: a string is cut, an object or list is bounded JSON, null is null."""
+    kind = _kind(value)
+    return (
+        F.when(kind == "STRING", clip_string(value.cast("string"), max_length))
+        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), _bounded_json(value, max_depth, max_length))
+        .otherwise(value.cast("string"))
+    )
+
+
+def _variant_path(parsed: Column, path: str) -> Column:
+    """Variant at a dotted path of a variant."""
+    if not path:
+        return parsed
+    return F.try_variant_get(parsed, "$" + "".join(f"['{p}']" for p in path.split(".")), "variant")
+
+
 def _present_map(values: dict[str, Column]) -> Column:
     pairs = [part for key, value in values.items() for part in (F.lit(key), value)]
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
@@ -203,6 +251,7 @@ def request_meta(
     redact: Sequence[str] = (),
     replacement: str = REDACTED,
     max_length: int = 200,
+    max_depth: int = 2,
     sources: dict[str, Column] | None = None,
 ) -> Column:
     """Allow-listed request values as a map keyed by the last path segment.
@@ -211,19 +260,40 @@ def request_meta(
     the output. Where two paths share a key the later one wins.
     """
     rules = [*DEFAULT_REDACT_PATHS, *redact]
-    out: dict[str, Column] = {}
-    for path in paths:
-        value = request_value(path, sources)
-        shown = F.when(value.isNotNull(), replacement) if is_redacted(path, rules) else clip_string(value, max_length)
-        key = path.rsplit(".", 1)[-1]
-        out[key] = F.coalesce(shown, out[key]) if key in out else shown
-    return _present_map(out)
+    known = [p for p in paths if p.partition(".")[0] in SOURCES]
+    if not known:
+        return F.create_map().cast("map<string,string>")
+
+    def collect(parsed):
+        out: dict[str, Column] = {}
+        for path in known:
+            source, _, rest = path.partition(".")
+            value = _variant_path(parsed[source], rest)
+            if is_redacted(path, rules):
+                shown = let(value, lambda v: F.when(v.isNotNull() & (_kind(v) != "VOID"), replacement))
+            else:
+                shown = let(value, lambda v: sanitized_json(v, max_depth, max_length))
+            key = path.rsplit(".", 1)[-1]
+            out[key] = F.coalesce(shown, out[key]) if key in out else shown
+        return _present_map(out)
+
+    # Every source is parsed once and every value looked up once.
+    used = sorted({p.partition(".")[0] for p in known})
+    return let(F.struct(*[F.try_parse_json((sources or {}).get(s, F.col(s))).alias(s) for s in used]), collect)
+
+
+def response_meta(
+    response: Column, paths: Sequence[str], succeeded: Column, max_length: int = 200, max_depth: int = 2
+) -> Column:
+    """Response values of successful requests, keyed ``response_`` plus the path with underscores."""
 
+    def collect(parsed):
+        def bounded(path):
+            return let(_variant_path(parsed, path), lambda v: sanitized_json(v, max_depth, max_length))
 
-def response_meta(response: Column, paths: Sequence[str], succeeded: Column, max_length: int = 200) -> Column:
-    """Response values of successful requests, keyed ``response_`` plus the path with underscores."""
-    values = {f"response_{p.replace('.', '_')}": clip_string(json_path(response, p), max_length) for p in paths}
-    return F.when(succeeded, _present_map(values))
+        return _present_map({f"response_{p.replace('.', '_')}": bounded(p) for p in paths})
+
+    return F.when(succeeded, let(F.try_parse_json(response), collect))
 
 
 def redact_map(bag: Column, redact: Sequence[str] = (), replacement: str = REDACTED) -> Column:

@@ -125,9 +125,9 @@ def status_table(spark) -> DataFrame:
 
 
 def with_status(df: DataFrame, code: Column, statuses: DataFrame) -> DataFrame:
-    """Status columns of ``code``; the dimension is a fixed list of 14 rows.
+    """Status columns of ``code``; a code outside the dimension is an error of unknown step.
 
-    A code outside it counts as an error of unknown step.
+    The dimension of :func:`status_table` is a local list, which Spark broadcasts.
     """
     dim = statuses.select(
         F.col("code").alias("_status"),
@@ -135,7 +135,7 @@ def with_status(df: DataFrame, code: Column, statuses: DataFrame) -> DataFrame:
         F.col("severity").alias("_severity"),
         F.col("service").alias("statusService"),
     )
-    joined = df.withColumn("_code", code).join(F.broadcast(dim), F.col("_code") == F.col("_status"), "left")
+    joined = df.withColumn("_code", code).join(dim, F.col("_code") == F.col("_status"), "left")
     severity = F.when(F.col("_code").isNotNull(), F.coalesce("_severity", F.lit("ERROR")))
     return (
         joined.withColumn("severity", severity)
@@ -149,7 +149,7 @@ def with_status(df: DataFrame, code: Column, statuses: DataFrame) -> DataFrame:
 def unknown_statuses(df: DataFrame, code: Column, statuses: DataFrame) -> DataFrame:
     """Codes missing from the dimension, with their counts."""
     seen = df.select(code.alias("code")).filter("code is not null").groupBy("code").agg(F.count("*").alias("n"))
-    return seen.join(F.broadcast(statuses.select("code")), "code", "left_anti")
+    return seen.join(statuses.select("code"), "code", "left_anti")
 
 
 def failure_http_status(code: Column) -> Column:

@@ -7,13 +7,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.session import materialize
+
 
 def assign_clusters(embedded: DataFrame, k: int = 20, seed: int = 7, max_iter: int = 20) -> DataFrame:
     """Cosine k-means over the embeddings; zero vectors have no direction and are left out.
 
-    Training aggregates k centres per task, so nothing but the centres moves.
+    Training aggregates k centres per task, so nothing but the centres moves. The
+    input is written once, because every iteration reads it again.
     """
-    nonzero = embedded.filter(F.exists("embedding", lambda x: x != 0))
+    nonzero = materialize(embedded.filter(F.exists("embedding", lambda x: x != 0)), "cluster-input")
     rows = nonzero.withColumn("_vec", array_to_vector("embedding"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine", featuresCol="_vec", predictionCol="cluster").fit(rows)
     return model.transform(rows).drop("_vec")

@@ -12,6 +12,7 @@ from lumenlog.operators.filters import QueryMetadata, match
 from lumenlog.plans.ranks import first_n_per_group, floor_rank_percentiles
 
 DEFAULT_TOP_N = 5
+MAX_BROADCAST_CODES = 10_000
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
@@ -29,8 +30,8 @@ def _errors(df: DataFrame, params: MetricParams) -> DataFrame:
 def top_error_codes(df: DataFrame, params: MetricParams = MetricParams(), examples: int = 3) -> DataFrame:
     """Most frequent codes with their earliest examples.
 
-    At most ``top_n`` codes survive the first aggregation, so that side is safe to
-    broadcast; examples are ranked before they are collected.
+    At most ``top_n`` codes survive the first aggregation; up to ``MAX_BROADCAST_CODES``
+    that side is broadcast. Examples are ranked before they are collected.
     """
     rows = _errors(df, params)
     top = (
@@ -48,7 +49,8 @@ def top_error_codes(df: DataFrame, params: MetricParams = MetricParams(), exampl
         F.col("error.message").alias("errorMessage"),
     )
     t = top.select(F.col("errorCode").alias("_code"), "count")
-    hits = slim.join(F.broadcast(t), F.col("errorCode").eqNullSafe(F.col("_code"))).drop("_code")
+    small = F.broadcast(t) if params.top_n <= MAX_BROADCAST_CODES else t
+    hits = slim.join(small, F.col("errorCode").eqNullSafe(F.col("_code"))).drop("_code")
     ranked = first_n_per_group(hits, ["errorCode"], [F.col("timestamp"), F.col("requestId")], examples)
     fields = ["rank", "requestId", "timestamp", "service", "route", "errorMessage"]
     return ranked.groupBy("errorCode", "count").agg(

@@ -107,13 +107,15 @@ def reason_counts(df: DataFrame, policy: SamplingPolicy) -> DataFrame:
     return decide(df, policy).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def hint_rate(hint: Column, base: float, factors: dict[str, float] | None = None) -> Column:
+# Multiples of the normal rate; a critical route is always kept.
+HINT_FACTORS = {"important": 10.0, "normal": 1.0, "low": 0.1}
+
+
+def hint_rate(hint: Column, base: float, factors: dict[str, float] = HINT_FACTORS) -> Column:
     """Per-row normal rate from a route's sampling hint, never above 1."""
-    factors = factors or {"critical": 1.0 / base if base else 0.0, "important": 10.0, "normal": 1.0, "low": 0.1}
-    rate = None
+    rate = F.when(hint == "critical", F.lit(1.0))
     for name, factor in factors.items():
-        value = F.lit(1.0) if name == "critical" else F.lit(min(1.0, base * factor))
-        rate = (F.when if rate is None else rate.when)(hint == name, value)
+        rate = rate.when(hint == name, F.lit(min(1.0, base * factor)))
     return rate.otherwise(F.lit(float(base)))
 
 

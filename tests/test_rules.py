@@ -112,6 +112,22 @@ def test_request_meta(spark):
     assert m == {"b": "w", "pin": "****"}
 
 
+def test_request_meta_bounds_nested_values(spark):
+    import json
+
+    body = {
+        "user": {"name": "n" * 201, "tags": [1, [2, 3]], "deep": {"x": {"y": 1}, "l": [1, 2, 3]}},
+        "list": list(range(12)), "flag": True, "ratio": 1.5, "text": '{"not":"parsed"}', "none": None,
+    }
+    df = spark.createDataFrame([(json.dumps(body), "{}", "{}", "{bad")], "body string, params string, query string, headers string")
+    m = df.select(nz.request_meta(["body.user", "body.list", "body.flag", "body.ratio", "body.text", "body.none", "headers.a"])).first()[0]
+    user = json.loads(m["user"])
+    assert user["name"] == "n" * 200 + "..." and user["tags"] == [1, "[Array(2)]"]
+    assert user["deep"] == {"l": "[Array(3)]", "x": "[Object]"}
+    assert json.loads(m["list"]) == list(range(10))
+    assert (m["flag"], m["ratio"], m["text"]) == ("true", "1.5", '{"not":"parsed"}') and set(m) == {"user", "list", "flag", "ratio", "text"}
+
+
 def test_sanitize(spark):
     df = spark.createDataFrame([(("s" * 201, list("abcdefghijkl"), {str(i): i for i in range(25)}, ([1, 2],)),)], "v struct<s:string,a:array<string>,m:map<string,int>,n:struct<x:array<int>>>")
     v = df.select(nz.sanitize(F.col("v"), df.schema["v"].dataType)).first()[0]
