@@ -23,12 +23,13 @@ def _id():
 @query(
     "b1_assemble",
     """SELECT request_id, event_ts, CASE WHEN error_code LIKE 'GATEWAY%' THEN 'paymentGateway' ELSE service END AS service,
-      route, user_id, error_code, duration_ms FROM wide_events""",
+      route, user_id, error_code, coalesce(duration_ms, -1) AS duration_ms FROM wide_events""",
     W,
 )
 def _(spark, sf):
     frags = fx.view(spark, sf, "fragments").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    return assembly.assemble(frags, ["service", "route", "user_id", "error_code", "duration_ms"])
+    out = assembly.assemble(frags, ["service", "route", "user_id", "error_code", "duration_ms"])
+    return out.withColumn("duration_ms", F.coalesce("duration_ms", F.lit(-1)))
 
 
 # Each fragment carries one bag; every service writes "owner", the last one wins.
@@ -60,7 +61,7 @@ def _(spark, sf):
 
 @query(
     "b2_project_event",
-    f"""SELECT request_id, event_ts, service, route, user_id, {q.ROLE} AS user_role, error_code, error_message, duration_ms,
+    f"""SELECT request_id, event_ts, service, route, user_id, {q.ROLE} AS user_role, error_code, error_message, coalesce(duration_ms, -1) AS duration_ms,
       user_id IS NULL AS no_user, error_code IS NULL AS no_error, duration_ms IS NULL AS no_performance FROM wide_events""",
     W,
 )
@@ -75,7 +76,7 @@ def _(spark, sf):
         F.col("user.role").alias("user_role"),
         F.col("error.code").alias("error_code"),
         F.col("error.message").alias("error_message"),
-        F.col("performance.durationMs").alias("duration_ms"),
+        F.coalesce("performance.durationMs", F.lit(-1)).alias("duration_ms"),
         F.col("user").isNull().alias("no_user"),
         F.col("error").isNull().alias("no_error"),
         F.col("performance").isNull().alias("no_performance"),
@@ -351,11 +352,12 @@ def _(spark, sf):
     return once.toDF("request_id", "event_ts", "service")
 
 
-@query("b19_duration", "SELECT request_id, duration_ms AS derived_ms FROM wide_events", W)
+@query("b19_duration", "SELECT request_id, coalesce(duration_ms, -1) AS derived_ms FROM wide_events", W)
 def _(spark, sf):
     end = F.timestamp_millis(F.unix_millis("timestamp") + F.col("performance.durationMs"))
     e = fx.events(spark, sf).withColumn("endedAt", end)
-    return e.select(_id(), assembly.duration_ms(F.col("timestamp"), F.col("endedAt")).alias("derived_ms"))
+    took = assembly.duration_ms(F.col("timestamp"), F.col("endedAt"))
+    return e.select(_id(), F.coalesce(took, F.lit(-1)).alias("derived_ms"))
 
 
 @query(

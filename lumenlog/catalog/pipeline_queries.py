@@ -15,7 +15,7 @@ from lumenlog.sources import events as src
 from lumenlog.streaming import pipelines
 
 W = ("wide_events",)
-FLAT = f"SELECT request_id, event_ts, service, route, user_id, {q.ROLE} AS user_role, error_code, duration_ms FROM wide_events"
+FLAT = f"SELECT request_id, event_ts, service, route, user_id, {q.ROLE} AS user_role, error_code, coalesce(duration_ms, -1) AS duration_ms FROM wide_events"
 NOW = "2024-02-05 00:00:00"
 
 
@@ -32,7 +32,7 @@ def _flat(df):
         F.col("user.id").alias("user_id"),
         F.col("user.role").alias("user_role"),
         F.col("error.code").alias("error_code"),
-        F.col("performance.durationMs").alias("duration_ms"),
+        F.coalesce("performance.durationMs", F.lit(-1)).alias("duration_ms"),
     )
 
 
@@ -290,7 +290,7 @@ def _(spark, sf):
 
 @query(
     "i5_stream_metrics",
-    f"""SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors, max(duration_ms) AS max_ms FROM wide_events
+    f"""SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors, coalesce(max(duration_ms), -1) AS max_ms FROM wide_events
     WHERE date_trunc('hour', event_ts) + INTERVAL 1 HOUR <= {CLOSED.format('event_ts', 'wide_events')} GROUP BY 1, 2""",
     W,
 )
@@ -299,7 +299,7 @@ def _(spark, sf):
     events = _stream(spark, fx.events(spark, sf)).withWatermark("timestamp", "10 minutes")
     _run(pipelines.to_table, incidents.tumbling_metrics(events, "1 hour"), path, fresh_path(spark, "cp"))
     return spark.read.parquet(path).select(
-        F.col("windowStart").alias("window_start"), "service", "total", "errors", F.col("maxMs").alias("max_ms")
+        F.col("windowStart").alias("window_start"), "service", "total", "errors", F.coalesce("maxMs", F.lit(-1)).alias("max_ms")
     )
 
 

@@ -340,13 +340,13 @@ def _lookups(spark, sf):
 
 @query(
     "h16_cache_lookup",
-    f"WITH {LOOKUP} SELECT query_id, entry_id, coalesce(live, FALSE) AS live, CASE WHEN live THEN round(sim, 6) END AS similarity, coalesce(live AND sim >= 0.95, FALSE) AS hit FROM j",
+    f"WITH {LOOKUP} SELECT query_id, coalesce(entry_id, -1) AS entry_id, coalesce(live, FALSE) AS live, CASE WHEN live THEN round(sim, 6) END AS similarity, coalesce(live AND sim >= 0.95, FALSE) AS hit FROM j",
     ("event_embeddings",),
 )
 def _(spark, sf):
     out = result_cache.lookup(_lookups(spark, sf), _entries(spark, sf))
     return out.select(
-        F.col("queryId").alias("query_id"), F.col("entryId").alias("entry_id"), "live", F.round("similarity", 6).alias("similarity"), "hit"
+        F.col("queryId").alias("query_id"), F.coalesce("entryId", F.lit(-1)).alias("entry_id"), "live", F.round("similarity", 6).alias("similarity"), "hit"
     )
 
 

@@ -66,6 +66,8 @@ def compare(df, con, sql):
             fam = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
             if s in fam and fam[s] != t:
                 bad.append((d[0], s, t))
+            if s in ("bigint", "int", "boolean") and any(r[df.columns.index(d[0])] is None for r in got):
+                bad.append((d[0], "nullable", s))
         return f"ok n={len(a)}" + (f" TYPES {bad}" if bad else "")
     a2, b2 = rows(df.columns, got, 6), rows(cols, want, 6)
     if a2 == b2:
