@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,9 @@ DEFAULT_CONF = {
 }
 
 
+ARCHIVE = "lumenlog-package.zip"
+
+
 def build_session(master: str | None = None, app: str = "lumenlog", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,15 +37,37 @@ def build_session(master: str | None = None, app: str = "lumenlog", **conf: str)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must be able to import them.
+    """
+    sc = spark.sparkContext
+    if any(name.endswith(ARCHIVE) for name in sc.listFiles):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lumenlog-ship-"), ARCHIVE)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a
-    local test session) is a temporary folder made and written back, so later
-    calls in the same session agree.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the master is local (a test session) is a temporary folder made and written
+    back, so later calls in the same session agree. A cluster without the setting
+    is refused: a folder of one machine would silently hold a part of the rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lumenlog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
