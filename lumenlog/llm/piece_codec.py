@@ -82,19 +82,21 @@ class BatchCodec:
         self.by_word &= not any("\n" in p for p, _, _ in m.pieces)
         self.feed = feed[0] if feed else None
         self.tok = build_tokenizer(m)
-        if self.by_word:
+        if self.by_word:  # texts and words reach the model with their markers set here
             from tokenizers import decoders, normalizers, pre_tokenizers
 
-            self.words = build_tokenizer(m)
-            self.words.normalizer = normalizers.Sequence([])
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([])
-            self.words.decoder = decoders.Sequence([decoders.Replace(pm.SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
+            self.tok.normalizer = normalizers.Sequence([])
+            self.tok.pre_tokenizer = pre_tokenizers.Sequence([])
+            self.tok.decoder = decoders.Sequence([decoders.Replace(pm.SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
 
     def whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
         """ids (the library's), parity and round trip of whole texts."""
-        ids = [e.ids if t else [] for e, t in zip(self.tok.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
+        ready = [pm.SPACE + t.replace(" ", pm.SPACE) for t in texts] if self.by_word else texts
+        ids = [e.ids if t else [] for e, t in zip(self.tok.encode_batch_fast(ready, add_special_tokens=False), texts, strict=True)]
         wanted = self.library.encode(texts, num_threads=self.threads)
         back = self.tok.decode_batch(wanted, skip_special_tokens=False)
+        if self.by_word:
+            back = [b.removeprefix(" ") for b in back]
         plain = [t.replace(pm.SPACE, " ") if self.plain else self.library.decode(w) for t, w in zip(texts, wanted, strict=True)]
         return wanted, [a == b for a, b in zip(ids, wanted, strict=True)], [a == b for a, b in zip(back, plain, strict=True)]
 
@@ -119,7 +121,7 @@ class BatchCodec:
         coded = pa.array([w for x in split for w in x], pa.string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         packed = ["" if w == "\n" else w.replace(" ", pm.SPACE) for w in distinct]
-        got, got_sizes = self._lines(packed, lambda x: [e.ids for e in self.words.encode_batch_fast(x, add_special_tokens=False)])
+        got, got_sizes = self._lines(packed, lambda x: [e.ids for e in self.tok.encode_batch_fast(x, add_special_tokens=False)])
         flat, sizes = self._lines(packed, lambda x: self.library.encode(x, num_threads=self.threads))
         ends = np.cumsum(sizes)
         ok = sizes == got_sizes
@@ -133,7 +135,7 @@ class BatchCodec:
         ends = np.cumsum(sizes)
         listed = flat.tolist()
         word_ids = [listed[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        decoded = self.words.decode_batch(word_ids, skip_special_tokens=False)
+        decoded = self.tok.decode_batch(word_ids, skip_special_tokens=False)
         back = np.array([a == b for a, b in zip(decoded, distinct, strict=True)], dtype=bool)
         lengths = sizes
         table = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int32()))
