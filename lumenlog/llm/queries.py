@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import chat_windows, decontamination, language_id, line_dedup, piece_codec, secret_scan, token_counts
+from lumenlog.llm import chat_windows, decontamination, language_id, line_dedup, piece_codec, posting_ann, secret_scan, token_counts
 from lumenlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
