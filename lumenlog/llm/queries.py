@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import chat_windows, decontamination, language_id, line_dedup, page_text, piece_codec, posting_ann, secret_scan, token_counts
+from lumenlog.llm import chat_windows, decontamination, language_id, line_dedup, near_dups, page_text, piece_codec, posting_ann, secret_scan, token_counts
 from lumenlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_main_text(table(spark, sf_dir, "pages"))
