@@ -9,7 +9,8 @@ share it form the suffix array's interval of longest common prefix m or more, wh
 A run counts when its lines have ``min_words`` words or more. Of every line the shortest such run that
 starts there and the shortest that ends there are looked up: a line lies in some counting run that
 occurs earlier exactly when one of these does, so maximal runs are covered whole. The first occurrence
-(by document id, then place) stays; the lines of later ones go. No line's content is lost: the first
+(by document id, then place) stays; the lines of later ones go. Occurrences may overlap: of one line repeated
+many times in sequence, the first is left. No line's content is lost: the first
 occurrence of a line is in no later copy.
 
 Only lines that occur twice or more take part; a document is cut into segments at the others.

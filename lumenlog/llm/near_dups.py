@@ -353,6 +353,9 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__key")).distinct()
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     left = keyed.join(gone, keyed["__th"].eqNullSafe(gone["__key"]) & keyed["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-    if not marked.where("kept AND n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        left = left.where("__th IS NULL OR doc_id IS NULL").unionAll(left.where("__th IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "__th"]))
+    twice = stored(marked.where("kept AND n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1"), "repeated-rows")
+    if not twice.isEmpty():
+        twice = twice.select(F.col("doc_id").alias("__id"), F.col("th").alias("__key"))
+        same = left["__th"].eqNullSafe(twice["__key"]) & left["doc_id"].eqNullSafe(twice["__id"])
+        left = left.join(twice, same, "left_anti").unionAll(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__th"]))
     return left.select(*docs.columns)
