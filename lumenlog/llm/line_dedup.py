@@ -49,8 +49,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(lines: DataFrame) -> DataFrame:
-    """Lines that occur at least twice. Counts are summed before the shuffle; a hot line is one row of the counts."""
-    counts = lines.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c")
+    """Lines that occur at least twice. Counts are summed before the shuffle; a hot line is one row of the counts.
+
+    The counts are stored, so that both sides of the join are plain shuffles whose hot partitions Spark can split.
+    """
+    counts = stored(lines.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c"), "line-counts")
     # identical document rows have the same key and are one document here
     return lines.join(counts, ["h", "c"], "left_semi").dropDuplicates(["doc_id", "th", "p"])
 
@@ -123,6 +126,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     runs = stored(_runs(_repeated(lines), min_words), "runs")
     key = ["side", "m", "a", "b", "check"]
     first = runs.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("first")).where("n > 1").drop("n")
+    first = stored(first, "first-runs")
     later = runs.join(first, key).where(~F.struct("doc_id", "th", "p").eqNullSafe(F.col("first")))
     return (
         later.select("doc_id", "th", F.explode("covers").alias("i"))

@@ -121,9 +121,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    """Members of nodes with two classes and more, with the node's size."""
+    """Members of nodes with two classes and more, with the node's size.
+
+    Sizes are summed before their shuffle and stored: the join then has plain shuffles on both sides, whose hot
+    partitions Spark can split.
+    """
     sizes = nodes.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    return nodes.join(sizes, "key")
+    return nodes.join(stored(sizes, "node-sizes"), "key")
 
 
 def _fits() -> Column:
@@ -338,7 +342,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     )
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "root").select("cls", "component_id")
+    of_class = stored(named.join(stored(least, "least-ids"), "root").select("cls", "component_id"), "components")
     component = F.coalesce("component_id", "doc_id")
     return (
         sigs.select("doc_id", "th", "n_shingles", "cls")
