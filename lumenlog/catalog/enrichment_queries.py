@@ -342,13 +342,20 @@ def _(spark, sf):
 
 
 # Every third event is finalised a second time, later and from another service.
-@query("b18_finalize_once", "SELECT request_id, event_ts, service FROM wide_events", W)
+# Events without a request id are no copies of each other.
+@query(
+    "b18_finalize_once",
+    "SELECT request_id, event_ts, service FROM wide_events UNION ALL SELECT NULL, event_ts, service FROM wide_events WHERE event_id < 20 UNION ALL SELECT NULL, event_ts, service FROM wide_events WHERE event_id < 5",
+    W,
+)
 def _(spark, sf):
     e = fx.events(spark, sf).select("requestId", "timestamp", "service")
     again = e.filter(F.pmod(F.xxhash64("requestId"), F.lit(3)) == 0).select(
         "requestId", (F.col("timestamp") + F.expr("INTERVAL 5 SECONDS")).alias("timestamp"), F.lit("copy").alias("service")
     )
-    once = assembly.finalize_once(again.unionByName(e), ["timestamp", "service"])
+    early = fx.events(spark, sf).withColumn("requestId", F.lit(None).cast("string"))
+    lost = [early.filter(F.col("eventId") < n).select("requestId", "timestamp", "service") for n in (20, 5)]
+    once = assembly.finalize_once(again.unionByName(e).unionByName(lost[0]).unionByName(lost[1]), ["timestamp", "service"])
     return once.toDF("request_id", "event_ts", "service")
 
 

@@ -183,7 +183,18 @@ def _(spark, sf):
 
 
 TEMPLATE = _case(LOW, qn.TEMPLATE_RULES, "'TOP_ERROR_CODES'")
-TOPN = r"coalesce(nullif(regexp_extract(lower(text), 'top\s+(\d{1,6})', 1), '')::BIGINT, 5)"
+TOPN = r"coalesce(nullif(TRY_CAST(regexp_extract(lower(text), 'top\s+(\d+)', 1) AS BIGINT), 0), 5)"
+
+
+# Numbers of seven and of twenty-one digits; the latter is none.
+LONG_TOPN = "SELECT query_id, text || CASE query_id % 3 WHEN 0 THEN ' top 1000000' WHEN 1 THEN ' top 999999999999999999999' ELSE '' END AS text FROM query_log"
+
+
+@query("g14_long_numbers", f"SELECT query_id, {TOPN} AS top_n FROM ({LONG_TOPN})", Q)
+def _(spark, sf):
+    n = F.col("query_id") % 3
+    text = F.concat("text", F.when(n == 0, " top 1000000").when(n == 1, " top 999999999999999999999").otherwise(""))
+    return fx.questions(spark, sf).select("query_id", qn.top_n(text).alias("top_n"))
 
 
 @query("g14_metric_routing", f"SELECT query_id, {TEMPLATE} AS template_id, {TOPN} AS top_n FROM query_log", Q)

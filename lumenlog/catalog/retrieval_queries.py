@@ -13,7 +13,7 @@ from lumenlog.functions import events as ev
 from lumenlog.functions import questions as qn
 from lumenlog.functions import text as tx
 from lumenlog.functions import vectors as vx
-from lumenlog.operators import chunks, consistency, embedding, incidents, retrieval
+from lumenlog.operators import chunks, clusters, consistency, embedding, incidents, retrieval
 from lumenlog.operators.filters import QueryMetadata, grounding_postfilter
 
 E = ("event_embeddings",)
@@ -82,10 +82,34 @@ def _(spark, sf):
     return _names(retrieval.top_k(queries, fx.embedded(spark, sf), 5))
 
 
-@query("f3_ann_top_k")
+# Every vector asks, in blocks far smaller than their number.
+@query(
+    "f2_every_vector_asks",
+    f"""WITH s AS (SELECT a.event_id AS query_id, b.event_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score
+      FROM event_embeddings a, event_embeddings b)
+    SELECT query_id, event_id, round(score, 6) AS score, rank FROM ({_ranked('s', 3)})""",
+    E,
+)
+def _(spark, sf):
+    e = fx.embedded(spark, sf)
+    return _names(retrieval.top_k(e.select(F.col("eventId").alias("queryId"), "embedding"), e, 3, block_queries=100))
+
+
+# Approximate: every returned score is exact, and of the five nearest of a query at least four are found.
+@query("f3_ann_top_k", f"WITH {CENTROIDS} SELECT label::BIGINT AS query_id, 5::BIGINT AS hits, TRUE AS scores_exact, TRUE AS recall_ok FROM cent", E)
 def _(spark, sf):
-    signed = retrieval.signatures(fx.embedded(spark, sf), 64)
-    return _names(retrieval.ann_top_k(label_queries(spark, sf), signed, 5, 64))
+    e, asked = fx.embedded(spark, sf), label_queries(spark, sf)
+    found = retrieval.ann_top_k(asked, retrieval.signatures(e, 64), 5, 64, block_queries=4)
+    best = retrieval.top_k(asked, e, 5).select("queryId", "eventId", F.lit(True).alias("near"))
+    true = asked.select("queryId", F.col("embedding").alias("q"))
+    return (
+        found.join(best, ["queryId", "eventId"], "left")
+        .join(true, "queryId")
+        .join(e.select("eventId", "embedding"), "eventId")
+        .withColumn("exact", F.abs(F.col("score") - vx.cosine(F.col("q"), F.col("embedding"))) < 1e-9)
+        .groupBy(F.col("queryId").alias("query_id"))
+        .agg(F.count("*").alias("hits"), F.bool_and("exact").alias("scores_exact"), (F.count("near") >= 4).alias("recall_ok"))
+    )
 
 
 FALLBACK = f"""{SCORES}, svc AS (SELECT *, {SERVICE_OF_LABEL} AS wanted FROM s), strict AS (SELECT * FROM svc WHERE wanted IS NULL OR service = wanted),
@@ -352,10 +376,28 @@ def _(spark, sf):
     return _top_flat(incidents.quantify_hits(fx.events(spark, sf), hits))
 
 
-@query("f18_kmeans_clusters")
+def _incident_rows(spark, sf):
+    return fx.embedded(spark, sf).join(fx.events(spark, sf).select("eventId", "error"), "eventId")
+
+
+# k-means has no SQL form; whatever the clusters are, they part the events without loss.
+@query(
+    "f18_kmeans_clusters",
+    """SELECT count(*) AS events, count(error_code) AS errors, min(w.event_ts) AS started, max(w.event_ts) AS ended, TRUE AS clusters_ok, TRUE AS severities_ok
+    FROM event_embeddings e JOIN wide_events w USING (event_id)""",
+    ("wide_events", "event_embeddings"),
+)
 def _(spark, sf):
-    from lumenlog.operators.clusters import cluster_incidents
+    c = clusters.cluster_incidents(_incident_rows(spark, sf), k=8)
+    severe = F.when(F.col("errors") * 2 > F.col("events"), "ERROR").when(F.col("errors") > 0, "WARN").otherwise("NORMAL")
+    return c.agg(
+        F.sum("events").alias("events"), F.sum("errors").alias("errors"), F.min("startTime").alias("started"), F.max("lastTime").alias("ended"),
+        (F.count("*").between(2, 8) & (F.countDistinct("incidentId") == F.count("*"))).alias("clusters_ok"), F.bool_and(F.col("severity") == severe).alias("severities_ok"),
+    )
+
 
-    emb = fx.embedded(spark, sf)
-    ev_ = fx.events(spark, sf).select("eventId", "error")
-    return cluster_incidents(emb.join(ev_, "eventId"), k=8)
+# Every request of the clustered events is traced, in one incident each.
+@query("f18_related_traces", "SELECT request_id, 1::BIGINT AS incidents FROM event_embeddings", E)
+def _(spark, sf):
+    traces = clusters.related_traces(clusters.assign_clusters(_incident_rows(spark, sf), k=8))
+    return traces.groupBy(F.col("requestId").alias("request_id")).agg(F.count("*").alias("incidents"))

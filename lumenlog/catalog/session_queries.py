@@ -46,11 +46,13 @@ def _(spark, sf):
 
 @query(
     "h3_turn_pairing",
-    "SELECT conv_id, turn, question, answer FROM chat_turns WHERE role = 'user' AND next_role = 'assistant'",
+    "SELECT coalesce(nullif(conv_id, 3), -1) AS conv_id, turn, question, answer FROM chat_turns WHERE role = 'user' AND next_role = 'assistant'",
     ("chat_turns",),
 )
 def _(spark, sf):
-    return sessions.pair_turns(fx.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    # one conversation has lost its key
+    turns = fx.table(spark, sf, "conversations").withColumn("conv_id", F.nullif("conv_id", F.lit(3)))
+    return sessions.pair_turns(turns, "conv_id", "turn", "role", "text").withColumn("conv_id", F.coalesce("conv_id", F.lit(-1)))
 
 
 RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, turn DESC) AS age, count(*) OVER (PARTITION BY session_id) AS total FROM chat_history)"

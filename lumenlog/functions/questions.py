@@ -286,8 +286,8 @@ def metric_template(text: Column) -> Column:
 
 
 def top_n(text: Column, default: int = 5) -> Column:
-    digits = F.nullif(F.regexp_extract(F.lower(text), r"top\s+(\d{1,6})", 1), F.lit(""))
-    n = digits.cast("bigint")
+    digits = F.regexp_extract(F.lower(text), r"top\s+(\d+)", 1)
+    n = digits.try_cast("bigint")  # null for no number and for one that is too long
     return F.when(n > 0, n).otherwise(F.lit(default).cast("bigint"))
 
 

@@ -75,9 +75,10 @@ def exclude_routes(df: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def finalize_once(df: DataFrame, order: Sequence[str], key: str = "requestId") -> DataFrame:
-    """First row per request, whole row kept; copies fold inside the map tasks."""
-    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return first.select("_row.*")
+    """First row per request, whole row kept; copies fold inside the map tasks. Rows without a key are no copies: all stay."""
+    keyed = df.filter(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*").unionByName(df.filter(F.col(key).isNull()))
 
 
 def duration_ms(started: Column, ended: Column) -> Column:

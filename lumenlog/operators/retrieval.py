@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlog.functions import vectors as vx
 from lumenlog.operators.embedding import tokens
 from lumenlog.plans.ranks import first_n_per_group
 
-# Most query vectors one task holds; 2048 vectors of 512 doubles are 8 MB.
-MAX_LOCAL_QUERIES = 2048
-# Vectors per shard where more queries than that are asked at once.
-SHARD_ROWS = 50_000
+# Query vectors of a block, which travels to every task: 2048 vectors of 512 doubles are 8 MB.
+BLOCK_QUERIES = 2048
+# Vectors scored at once: with a block of queries 32 MB of scores.
+SCORED_ROWS = 2048
 SCORE_DIGITS = 12
 
 HITS = "queryId bigint, tier int, eventId bigint, score double"
@@ -87,7 +88,7 @@ class _Probe:
             cols = np.flatnonzero(lengths == dim)
             if len(cols):
                 scores[np.ix_(rows, cols)] = unit @ _unit_rows(offsets[cols], dim, flat).T
-        scores = -np.round(scores, SCORE_DIGITS)
+        np.negative(np.round(scores, SCORE_DIGITS, out=scores), out=scores)
         names = _one(batch["service"])
         wanted = {s for s in self.service if s is not None}
         by_service = {s: pc.equal(names, s).fill_null(False).to_numpy(zero_copy_only=False) for s in wanted}
@@ -140,7 +141,9 @@ def _query_frame(queries: DataFrame) -> DataFrame:
     )
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, relax_service: bool = False) -> DataFrame:
+def top_k(
+    queries: DataFrame, vectors: DataFrame, k: int, relax_service: bool = False, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """Exact cosine top-k per query: ``queryId, eventId, score, rank``.
 
     ``queries``: queryId, embedding and optional service, startTime, endTime, which
@@ -148,52 +151,45 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, relax_service: bool =
     With ``relax_service`` a query whose service filter leaves nothing is answered
     without it (its time range stays).
 
-    Up to ``MAX_LOCAL_QUERIES`` queries travel to the tasks and the vectors are read
-    once, unshuffled; each task returns k rows per query. More queries are blocked
-    and the vectors sharded, and block meets shard in bounded groups.
+    Queries are answered in blocks of about ``block_queries``. A block travels to the
+    tasks, the vectors are read once per block, unshuffled, and each task returns k
+    rows per query. A query's answer does not depend on the block it is in. The
+    blocks are read when the plan is built; streams ask through ``foreachBatch``.
     """
     tiers = 2 if relax_service else 1
     slim = vectors.select("eventId", "embedding", "service", "timestamp")
-    asked = _query_frame(queries)
-    head = asked.limit(MAX_LOCAL_QUERIES + 1).collect()
-    if len(head) > MAX_LOCAL_QUERIES:
-        return _final(_sharded(asked, slim, k, tiers), k)
-    local = pa.Table.from_pylist([r.asDict() for r in head], QUERIES_ARROW)
-    shared = vectors.sparkSession.sparkContext.broadcast(local)
+    parts = [
+        slim.mapInArrow(_scan(_shared(vectors, block), tiers, k), HITS)
+        for block in _query_blocks(_query_frame(queries), block_queries)
+    ]
+    return _final(reduce(DataFrame.unionAll, parts), k)
+
+
+def _query_blocks(queries: DataFrame, block_queries: int) -> Iterator[list]:
+    """Rows of the queries in blocks of about the given size, by a hash of their id."""
+    blocks = max(1, -(-queries.count() // block_queries))
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("queryId"), F.lit(blocks)) == b)
+        yield part.collect()
+
+
+def _shared(vectors: DataFrame, block: list):
+    local = pa.Table.from_pylist([r.asDict() for r in block], QUERIES_ARROW)
+    return vectors.sparkSession.sparkContext.broadcast(local)
 
+
+def _scan(shared, tiers: int, k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not shared.value.num_rows:
             return
         probe = _Probe(shared.value, tiers)
         kept = HITS_ARROW.empty_table()
         for batch in batches:
-            if batch.num_rows:
-                kept = _keep_best([kept, probe.top(batch, k)], k)
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                kept = _keep_best([kept, probe.top(batch.slice(start, SCORED_ROWS), k)], k)
         yield from kept.to_batches()
 
-    return _final(slim.mapInArrow(scan, HITS), k)
-
-
-def _sharded(asked: DataFrame, slim: DataFrame, k: int, tiers: int) -> DataFrame:
-    """Query blocks against vector shards; every pair of a block and a shard is one group."""
-    shards = max(1, -(-slim.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // MAX_LOCAL_QUERIES))
-
-    def part(key, n):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = slim.withColumn("shard", part("eventId", shards)).withColumn("block", every(blocks))
-    right = asked.withColumn("block", part("queryId", blocks)).withColumn("shard", every(shards))
-
-    def meet(vecs: pa.Table, ques: pa.Table) -> pa.Table:
-        if not vecs.num_rows or not ques.num_rows:
-            return HITS_ARROW.empty_table()
-        return _Probe(ques, tiers).top(vecs, k)
-
-    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, HITS)
+    return scan
 
 
 def _final(partial: DataFrame, k: int) -> DataFrame:
@@ -215,60 +211,89 @@ def signatures(vectors: DataFrame, dim: int, bits: int = 256, seed: int = 7) ->
     Stored beside the vectors it lets a search read ``bits / 8`` bytes a row
     instead of the embedding.
     """
-    @F.pandas_udf("binary")
-    def sign_bits(col: pd.Series) -> pd.Series:
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = hyperplanes(dim, bits, seed)
-        m = np.stack([np.asarray(v, dtype="float64") for v in col]) @ planes
-        packed = np.packbits(m > 0, axis=1)
-        return pd.Series([row.tobytes() for row in packed])
+        width = -(-bits // 8)
+        for batch in batches:
+            lengths, offsets, flat = _vectors(batch["embedding"])
+            rows = np.flatnonzero(lengths == dim)
+            signs = np.full(batch.num_rows, None, dtype=object)
+            if len(rows):
+                packed = np.packbits(_unit_rows(offsets[rows], dim, flat) @ planes > 0, axis=1).tobytes()
+                signs[rows] = [packed[i : i + width] for i in range(0, len(packed), width)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(signs, pa.binary())], names=[*batch.schema.names, "signature"]
+            )
 
-    return vectors.withColumn("signature", sign_bits("embedding"))
+    source = vectors.drop("signature")
+    return source.mapInArrow(sign, T.StructType([*source.schema.fields, T.StructField("signature", T.BinaryType())]))
 
 
-def ann_top_k(queries: DataFrame, signed: DataFrame, k: int, dim: int, bits: int = 256, seed: int = 7, factor: int = 10) -> DataFrame:
+def ann_top_k(
+    queries: DataFrame,
+    signed: DataFrame,
+    k: int,
+    dim: int,
+    bits: int = 256,
+    seed: int = 7,
+    factor: int = 10,
+    block_queries: int = BLOCK_QUERIES,
+) -> DataFrame:
     """Approximate top-k: ``factor * k`` candidates by signature distance, then exact scores.
 
     The first pass reads ids and signatures only; embeddings are fetched for the
-    candidates. Queries must fit one task (``MAX_LOCAL_QUERIES``), else the exact
-    search answers.
+    candidates. Queries go in blocks as in :func:`top_k`. Vectors and queries that
+    are null or of another length than ``dim`` take no part.
     """
-    head = queries.select("queryId", "embedding").limit(MAX_LOCAL_QUERIES + 1).collect()
-    if len(head) > MAX_LOCAL_QUERIES:
-        return top_k(queries, signed, k)
     wanted = factor * k
     planes = hyperplanes(dim, bits, seed)
-    ids = np.array([r["queryId"] for r in head], dtype="int64")
-    sigs = np.packbits(np.array([r["embedding"] for r in head], dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
-    shared = signed.sparkSession.sparkContext.broadcast((ids, sigs))
+    asked = queries.filter(F.size("embedding") == dim).select("queryId", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = signed.filter(F.col("signature").isNotNull()).select("eventId", "signature")
+    parts = []
+    for block in _query_blocks(asked, block_queries):
+        ids = np.array([r["queryId"] for r in block], dtype="int64")
+        packed = np.packbits(np.array([r["embedding"] for r in block], dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
+        shared = signed.sparkSession.sparkContext.broadcast((ids, packed))
+        parts.append(rows.mapInArrow(_near(shared, wanted), "queryId bigint, eventId bigint, far bigint"))
+    near = reduce(DataFrame.unionAll, parts)
+    candidates = first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted).select("queryId", "eventId")
+    q = asked.select("queryId", F.col("embedding").alias("_q"))
+    scored = (
+        candidates.join(signed.select("eventId", "embedding"), "eventId")
+        .join(q, "queryId")
+        .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("embedding")), SCORE_DIGITS).alias("score"))
+    )
+    out = first_n_per_group(scored, ["queryId"], [F.desc("score"), F.col("eventId")], k)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _near(shared, wanted: int):
+    """Per task the ``wanted`` signatures nearest to each query of a block, distances of 32 queries at once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qsigs = shared.value
         best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(batch["signature"].to_pylist()), dtype="uint8").reshape(batch.num_rows, -1)
-            event = batch["eventId"].to_numpy(zero_copy_only=False)
-            for q, sig in enumerate(qsigs):
-                far = np.concatenate([best[q][0], np.bitwise_count(rows ^ sig).sum(axis=1, dtype="int64")])
-                ids = np.concatenate([best[q][1], event])
-                keep = _best(far, ids, wanted)
-                best[q] = (far[keep], ids[keep])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCORED_ROWS):
+                batch = whole.slice(start, SCORED_ROWS)
+                bits = pa.concat_arrays([batch["signature"]])
+                first, last = bits.offset, bits.offset + len(bits)
+                ends = np.frombuffer(bits.buffers()[1], dtype="int32")[first : last + 1]
+                rows = np.frombuffer(bits.buffers()[2], dtype="uint8")[ends[0] : ends[-1]].reshape(len(bits), -1)
+                event = batch["eventId"].to_numpy(zero_copy_only=False)
+                for q in range(0, len(qids), 32):
+                    far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
+                    for i, d in enumerate(far, q):
+                        d, ids = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], event])
+                        keep = _best(d, ids, wanted)
+                        best[i] = (d[keep], ids[keep])
         for qid, (far, found) in zip(qids, best):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(found), qid)), pa.array(found), pa.array(far)], ["queryId", "eventId", "far"]
             )
 
-    near = signed.select("eventId", "signature").mapInArrow(scan, "queryId bigint, eventId bigint, far bigint")
-    candidates = first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted).select("queryId", "eventId")
-    q = queries.select("queryId", F.col("embedding").alias("_q"))
-    scored = (
-        candidates.join(signed.select("eventId", "embedding"), "eventId")
-        .join(q, "queryId")
-        .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("embedding")), SCORE_DIGITS).alias("score"))
-    )
-    out = first_n_per_group(scored, ["queryId"], [F.desc("score"), F.col("eventId")], k)
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+    return scan
 
 
 # --- rerank and grounding -----------------------------------------------------------

@@ -119,14 +119,17 @@ def hint_rate(hint: Column, base: float, factors: dict[str, float] = HINT_FACTOR
     return rate.otherwise(F.lit(float(base)))
 
 
+RATE_SALTS = 32
+
+
 def adaptive_rates(
     df: DataFrame, bucket_seconds: int, spike_factor: float, normal_rate: float, spike_rate: float
 ) -> DataFrame:
-    """Rate per time bucket: lowered where the volume exceeds ``spike_factor`` times the mean.
+    """Rate per time bucket: lowered where the volume exceeds ``spike_factor`` times the mean. Rows without a time are in no bucket.
 
     Two aggregations; the second runs over one row per bucket.
     """
-    volume = df.groupBy(time_bucket(F.col("timestamp"), bucket_seconds).alias("bucket")).agg(
+    volume = df.filter(F.col("timestamp").isNotNull()).groupBy(time_bucket(F.col("timestamp"), bucket_seconds).alias("bucket")).agg(
         F.count("*").alias("volume")
     )
     mean = volume.agg((F.sum("volume") / F.count("*")).alias("mean")).scalar()
@@ -146,10 +149,19 @@ def decide_adaptive(
     spike_factor: float = 2.0,
     spike_rate: float = 0.001,
 ) -> DataFrame:
-    """Sampling decision with a load-dependent normal rate."""
+    """Sampling decision with a load-dependent normal rate; events without a time take the normal one.
+
+    A spike puts most rows into one bucket, so each bucket's rate is repeated for a few salts and
+    the rows of a bucket are spread over them by request id.
+    """
     rates = adaptive_rates(df, bucket_seconds, spike_factor, policy.normal_rate, spike_rate)
-    placed = df.withColumn("bucket", time_bucket(F.col("timestamp"), bucket_seconds))
-    return decide(placed.join(rates.select("bucket", "rate"), "bucket"), policy, F.col("rate"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(RATE_SALTS - 1))).alias("_salt")
+    placed = df.withColumn("bucket", time_bucket(F.col("timestamp"), bucket_seconds)).withColumn(
+        "_salt", F.pmod(F.xxhash64("requestId"), F.lit(RATE_SALTS)).cast("int")
+    )
+    rated = placed.join(rates.select("bucket", "rate", salts), ["bucket", "_salt"], "left").drop("_salt")
+    rated = rated.withColumn("rate", F.coalesce("rate", F.lit(float(policy.normal_rate))))
+    return decide(rated, policy, F.col("rate"))
 
 
 def embedding_selection(policy_rate: float = 0.1) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.plans.ranks import first_n_per_group
-from lumenlog.plans.timelines import activity_segments, merge_segments, time_bucket, with_next
+from lumenlog.plans.timelines import activity_segments, join_same, merge_segments, time_bucket, with_next
 
 SESSION_TTL_SECONDS = 1800
 MAX_TURNS = 10
@@ -194,8 +194,7 @@ def summariser_lines(history: DataFrame) -> DataFrame:
     upto = Window.partitionBy("sessionId").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("sessionId", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_offset"))
     numbered = (
-        placed.withColumn("_no", F.row_number().over(inner))
-        .join(offsets, ["sessionId", "_b"])
+        join_same(placed.withColumn("_no", F.row_number().over(inner)), offsets, ["sessionId", "_b"])
         .withColumn("position", F.col("_no") + F.col("_offset"))
     )
     no = F.col("position").cast("string")

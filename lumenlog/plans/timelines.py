@@ -18,6 +18,13 @@ def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys where null equals null; the keys appear once."""
+    names = {k: f"_right_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()]
+    return left.join(right.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,7 +37,7 @@ def running_total(
     """Running sum of ``value`` per key in ``order``.
 
     ``position`` is a bigint that ascends with ``order`` (equal positions stay in
-    one bucket). ``widths`` are ascending bucket widths; each level sums the one
+    one bucket); null keys and positions are a key and a bucket. ``widths`` are ascending bucket widths; each level sums the one
     below, so no window holds more than one bucket of rows.
     """
     keys = list(keys)
@@ -46,8 +53,7 @@ def running_total(
     offsets = sums.select(*keys, b, (F.col("_upto") - F.col("_s")).alias(carry))
     inner = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(*rows)
     return (
-        placed.withColumn(out, F.sum(value).over(inner))
-        .join(offsets, keys + [b])
+        join_same(placed.withColumn(out, F.sum(value).over(inner)), offsets, keys + [b])
         .withColumn(out, F.col(out) + F.col(carry))
         .drop(b, carry)
     )
@@ -73,7 +79,7 @@ def with_next(
     )
     nxt = F.coalesce(F.col("_next"), F.col("_carry"))
     return (
-        led.join(heads, keys + ["_b"])
+        join_same(led, heads, keys + ["_b"])
         .select(
             *[F.col(c) for c in df.columns],
             *[nxt.getField(dst).alias(dst) for dst in cols.values()],

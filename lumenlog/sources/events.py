@@ -73,9 +73,13 @@ def lookup_values(events: DataFrame, column: str, values: Sequence) -> DataFrame
 
 # --- queue ---------------------------------------------------------------------------
 def envelope(events: DataFrame, published: Column) -> DataFrame:
-    """Queue records: key = request id, value = JSON of event, metadata, summary and time."""
+    """Queue records: key = request id, value = JSON of event, metadata, summary and time.
+
+    Metadata that is no JSON travels as ``{"unreadable": text}``.
+    """
     core = F.struct(*[F.col(f.name) for f in WIDE_EVENT.fields])
-    bag = F.coalesce(F.try_parse_json("_metadata"), F.parse_json(F.lit("{}")))
+    raw = F.to_json(F.struct(F.col("_metadata").alias("unreadable")))  # {} for null
+    bag = F.coalesce(F.try_parse_json("_metadata"), F.parse_json(raw))
     body = F.struct(core.alias("event"), bag.alias("_metadata"), F.col("_summary").alias("summary"), published.alias("timestamp"))
     return events.select(
         F.col("requestId").alias("key"), F.to_json(body, {"timestampFormat": JSON_TIME}).alias("value")
@@ -93,15 +97,21 @@ def publish(events: DataFrame, published: Column, servers: str, topic: str = "lo
     )
 
 
-def read_queue(spark: SparkSession, servers: str, topic: str = "log-events", max_offsets: int = 100) -> DataFrame:
-    """Stream of queue records from the latest offsets (needs the connector package)."""
-    return (
+def read_queue(spark: SparkSession, servers: str, topic: str = "log-events", max_offsets: int | None = None) -> DataFrame:
+    """Stream of queue records from the latest offsets (needs the connector package).
+
+    ``max_offsets`` bounds the records of a micro-batch over the whole topic; without it a batch takes all there are.
+    """
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "latest")
-        .option("maxOffsetsPerTrigger", max_offsets)
-        .load()
+    )
+    if max_offsets is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    return (
+        reader.load()
         .select(F.col("key").cast("string"), F.col("value").cast("string"))
     )
 

@@ -56,15 +56,41 @@ def test_service_filter_and_relaxation(spark, table):
     assert relaxed[1] == strict[1] and relaxed[2] == brute(table, table[4][1], 5)
 
 
-def test_many_queries_take_the_sharded_plan(spark, table, monkeypatch):
-    monkeypatch.setattr(retrieval, "MAX_LOCAL_QUERIES", 3)
-    monkeypatch.setattr(retrieval, "SHARD_ROWS", 40)
+def test_blocks_of_queries_and_slices_of_vectors(spark, table, monkeypatch):
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", 7)
     queries = [(i, table[i][1], None if i % 2 else "s0") for i in range(0, 20)]
-    got = search(spark, table, queries)
+    got = search(spark, table, queries, block_queries=3)
     for qid, vec, svc in queries:
         assert got[qid] == brute(table, vec, 5, lambda v: svc is None or v[2] == svc)
 
 
+def test_an_answer_does_not_depend_on_the_other_queries(spark, sf_dir):
+    vectors = fx.embedded(spark, sf_dir)
+    signed = retrieval.signatures(vectors, 64, bits=8)
+    many = vectors.select("eventId", "embedding").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    many = many.select((F.col("eventId") * 10 + F.col("n")).alias("queryId"), "embedding")
+    one = many.filter("queryId = 70")
+    assert many.count() == 5000
+
+    def answers(df):
+        return sorted((r.eventId, r.score, r["rank"]) for r in df.filter("queryId = 70").collect())
+
+    assert answers(retrieval.top_k(many, vectors, 5)) == answers(retrieval.top_k(one, vectors, 5))
+    ann = dict(k=5, dim=64, bits=8, factor=1)
+    assert answers(retrieval.ann_top_k(many, signed, **ann)) == answers(retrieval.ann_top_k(one, signed, **ann))
+
+
+def test_approximate_search_leaves_out_null_and_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.9, 0.1, 0.0]), (5, [-1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "eventId bigint, embedding array<double>")
+    signed = retrieval.signatures(vectors, 3, bits=32)
+    assert {r.eventId for r in signed.filter("signature IS NULL").collect()} == {2, 3}
+    queries = vectors.withColumnRenamed("eventId", "queryId")
+    got = retrieval.ann_top_k(queries, signed, 2, 3, bits=32).collect()
+    assert {r.queryId for r in got} == {1, 4, 5} and [r.eventId for r in sorted(got, key=lambda r: r["rank"]) if r.queryId == 1] == [1, 4]
+    assert retrieval.ann_top_k(queries.limit(0), signed, 2, 3).collect() == []
+
+
 def test_empty_sides(spark, table):
     assert search(spark, table, []) == {}
     assert search(spark, [], [(1, table[0][1], None)]) == {}
