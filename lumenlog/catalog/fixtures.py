@@ -118,6 +118,8 @@ def with_views(sql: str, *names: str) -> str:
     """
     ctes = [f"{n} AS ({VIEWS[n][1]})" for n in _closure(list(names))]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -13,7 +13,7 @@ from lumenlog.functions import events as ev
 from lumenlog.functions import questions as qn
 from lumenlog.functions import text as tx
 from lumenlog.functions import vectors as vx
-from lumenlog.operators import chunks, clusters, consistency, embedding, incidents, retrieval
+from lumenlog.operators import chunks, clusters, consistency, density, embedding, incidents, retrieval
 from lumenlog.operators.filters import QueryMetadata, grounding_postfilter
 
 E = ("event_embeddings",)
@@ -401,3 +401,25 @@ def _(spark, sf):
 def _(spark, sf):
     traces = clusters.related_traces(clusters.assign_clusters(_incident_rows(spark, sf), k=8))
     return traces.groupBy(F.col("requestId").alias("request_id")).agg(F.count("*").alias("incidents"))
+
+
+# Similar at 0.35 and more, four points to a core; the cluster is named by its smallest core.
+DENSITY = """near AS (SELECT a.event_id AS a, b.event_id AS b FROM event_embeddings a, event_embeddings b
+    WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) >= 0.35),
+  n AS (SELECT a AS event_id, count(*) AS neighbours FROM near GROUP BY 1), core AS (SELECT event_id FROM n WHERE neighbours >= 4),
+  linked AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+  reach AS (SELECT event_id AS node, event_id AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN linked l ON l.a = r.node),
+  c AS (SELECT node, min(root) AS cluster FROM reach GROUP BY 1)"""
+
+
+@query(
+    "f19_density_clusters",
+    f"""WITH RECURSIVE {DENSITY}
+    SELECT n.event_id, n.neighbours, CASE WHEN n.neighbours >= 4 THEN 'core' WHEN count(c.cluster) > 0 THEN 'border' ELSE 'noise' END AS kind,
+      coalesce(CASE WHEN n.neighbours >= 4 THEN min(o.cluster) ELSE min(c.cluster) END, -1) AS cluster
+    FROM n LEFT JOIN near ON near.a = n.event_id LEFT JOIN c ON c.node = near.b LEFT JOIN c o ON o.node = n.event_id GROUP BY 1, 2""",
+    E,
+)
+def _(spark, sf):
+    found = density.density_clusters(fx.embedded(spark, sf), 0.35, 4)
+    return found.select(F.col("id").alias("event_id"), "neighbours", "kind", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
