@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import slices, stored
+from lumenlog.plans.graph import components
 
 WORDS = 5
 TOKENS = 128  # minwise tokens of a signature
-TREES = 10  # independent first levels; a pair at the threshold misses all with probability 0.15 ** TREES
-CLUSTER_TREES = 24
+TREES = 12  # of two tokens each at once: a pair at 0.85 is apart in all of them with probability 0.28 ** TREES
+CLUSTER_TREES = 16
 NODE = 1024  # classes compared exhaustively
 NODE_SHINGLES = 3_000_000
 MAX_DEPTH = 40
@@ -93,14 +94,20 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
         return _mixed(best)
 
 
+def _roots(tokens: np.ndarray) -> np.ndarray:
+    """Keys of the nodes two levels down each tree: a passage that many documents share seldom gives both tokens."""
+    with np.errstate(over="ignore"):
+        tree = np.arange(TREES, dtype=np.uint64) * _MIX
+        return _mixed(_mixed(tokens[: 2 * TREES : 2] + tree) + tokens[1 : 2 * TREES : 2]).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, cls (digest of the set), sig (a byte per token), roots (keys of the first level).
+    """doc_id, th (hash of the text), n_shingles, cls (digest of the set), sig (a byte per token), roots (keys of the trees' first nodes).
 
     Without words cls, sig and roots are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = _mixed(np.arange(TREES, dtype=np.uint64) + np.uint64(977))
         for batch in slices(batches, "text", 4 << 20):
             sets = shingle_sets(batch.column("text").to_pylist())
             tokens = [minwise(s) if len(s) else None for s in sets]
@@ -111,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if t is None else (t & np.uint64(255)).astype(np.uint8).tobytes() for t in tokens], pa.binary()),
-                    pa.array([None if t is None else _mixed(t[:TREES] ^ trees).view(np.int64) for t in tokens], pa.list_(pa.int64())),
+                    pa.array([None if t is None else _roots(t) for t in tokens], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "th", "n_shingles", "cls", "sig", "roots"],
             )
@@ -288,26 +295,6 @@ def verified_edges(groups: DataFrame, docs: DataFrame, classes: DataFrame, perce
     return rows.groupBy("key").applyInPandas(lambda key, group: check(group), EDGES).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a < b) reaches, by hooking and pointer jumping.
-
-    Every round hooks a node to its smallest smaller neighbour and contracts the graph; it ends when no edge is left.
-    """
-    graph = stored(edges.where("a <> b").distinct(), "graph")
-    labels = stored(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
-    while not graph.isEmpty():
-        hooked = graph.groupBy("b").agg(F.min("a").alias("to"))
-        for _ in range(2):
-            ahead = hooked.select(F.col("b").alias("to"), F.col("to").alias("next"))
-            hooked = hooked.join(ahead, "to", "left").select("b", F.coalesce("next", "to").alias("to"))
-        hooked = stored(hooked, "hooks")
-        up = lambda df, col: df.join(hooked.select(F.col("b").alias(col), "to"), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
-        labels = stored(up(labels, "root"), "labels")
-        moved = up(up(graph, "a"), "b")
-        graph = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
-    return labels
-
-
 def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and th (hash of the text), of every row of ``docs`` (doc_id, text).
 
