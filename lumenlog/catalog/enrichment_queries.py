@@ -220,6 +220,18 @@ def _(spark, sf):
     return fx.events(spark, sf).withColumn("e", err).select(_id(), F.col("e.code"), F.col("e.message"))
 
 
+@query(
+    "b10_unknown_error",
+    """SELECT request_id, 'UNKNOWN' AS code, CASE WHEN length(m) > 200 THEN substr(m, 1, 197) || '...' ELSE m END AS message FROM (
+      SELECT request_id, CASE substr(raw_response, 1, 1) WHEN '"' THEN raw_response::JSON ->> '$' WHEN '{' THEN substr(raw_response, 1, 200)
+        WHEN '[' THEN substr(raw_response, 1, 200) ELSE 'Unknown error' END AS m FROM error_responses)""",
+    ("error_responses",),
+)
+def _(spark, sf):
+    e = nz.unknown_error(F.col("raw_response"))
+    return fx.view(spark, sf, "error_responses").select("request_id", e["code"].alias("code"), e["message"].alias("message"))
+
+
 # --- requests ----------------------------------------------------------------------
 REQUESTS = """req AS (SELECT request_id, event_id,
   concat('{"userId":', CASE WHEN user_id IS NULL THEN 'null' ELSE concat('"', user_id, '"') END, ',"role":"', coalesce(user_role_raw, ''), '","password":"pw-', CAST(event_id AS VARCHAR(20)), '","amount":', CAST(coalesce(duration_ms, 0) AS VARCHAR(20)), ',"card":{"pin":"1","note":"', repeat('n', CAST(event_id % 300 AS INT)), '"}}') AS body,

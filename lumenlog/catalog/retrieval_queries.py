@@ -15,6 +15,7 @@ from lumenlog.functions import text as tx
 from lumenlog.functions import vectors as vx
 from lumenlog.operators import chunks, clusters, consistency, density, embedding, incidents, retrieval
 from lumenlog.operators.filters import QueryMetadata, grounding_postfilter
+from lumenlog.session import fresh_path
 
 E = ("event_embeddings",)
 
@@ -214,10 +215,20 @@ def _(spark, sf):
 def _(spark, sf):
     now = F.lit("2024-02-01").cast("timestamp")
     batch = embedding.embed_events(fx.stored_events(spark, sf), now)
-    fresh = embedding.new_rows(batch, fx.embedded(spark, sf))
-    mark = embedding.advance_mark(fresh, "wide_events", now)
-    n = fresh.agg(F.count("*")).scalar()
-    return mark.select("source", n.alias("appended"), F.col("lastEmbeddedEventId").alias("last_event_id"), F.col("lastEmbeddedEventTimestamp").alias("last_event_ts"))
+    table, progress = fresh_path(spark, "embeddings"), fresh_path(spark, "progress")
+    before = batch.join(fx.embedded(spark, sf).select("eventId"), "eventId", "left_semi")
+    before.write.parquet(table)
+    fresh = embedding.new_rows(batch, before)
+    for _ in range(2):  # the second run finds nothing to add
+        embedding.append_embeddings(fresh, table, progress, "wide_events", now)
+    n = spark.read.parquet(table).count() - before.count()
+    mark = spark.read.parquet(progress).groupBy("source").agg(F.max(F.struct("lastEmbeddedEventTimestamp", "lastEmbeddedEventId")).alias("m"))
+    return mark.select("source", F.lit(n).cast("long").alias("appended"), F.col("m.lastEmbeddedEventId").alias("last_event_id"), F.col("m.lastEmbeddedEventTimestamp").alias("last_event_ts"))
+
+
+@query("f8_token_usage", f"WITH {q.DUAL_VIEW} SELECT event_id, len({TOK.format('dual_text')}) AS tokens FROM dual", ("wide_events",))
+def _(spark, sf):
+    return embedding.token_usage(fx.events(spark, sf)).select(F.col("eventId").alias("event_id"), "tokens")
 
 
 # --- chunks ---------------------------------------------------------------------

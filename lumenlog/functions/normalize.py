@@ -148,6 +148,18 @@ def plain_error(code: Column, status: Column, class_name: Column, message: Colum
     )
 
 
+def unknown_error(thrown: Column) -> Column:
+    """{code, message} of something thrown that is no error at all, given as JSON text: a string's own text, an object's or list's JSON."""
+    text = F.ltrim(thrown)
+    plain = F.element_at(F.from_json(F.concat(F.lit("["), thrown, F.lit("]")), "array<string>"), 1)
+    message = (
+        F.when(F.startswith(text, F.lit('"')), plain)
+        .when(_is_object(thrown) | _is_array(thrown), F.substring(text, 1, MAX_MESSAGE))
+        .otherwise(F.lit("Unknown error"))
+    )
+    return F.struct(F.lit("UNKNOWN").alias("code"), truncate_message(F.coalesce(message, F.lit("Unknown error"))).alias("message"))
+
+
 # --- requests ------------------------------------------------------------------
 SOURCES = ("body", "params", "query", "headers")
 

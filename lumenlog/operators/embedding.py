@@ -9,15 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlog.functions import events as ev
 from lumenlog.operators.filters import pending_page
 
-# texts -> one vector per text
-Embedder = Callable[[list[str]], list[list[float]]]
+# texts -> one vector per text, or one (vector, tokens used) per text
+Embedder = Callable[[list[str]], list]
 
 
 NOT_A_WORD = "[^a-z0-9가-힣]+"
@@ -59,25 +60,31 @@ def _slot(word: str, dim: int) -> int:
 
 
 def embed_rows(df: DataFrame, text: Column, embedder: Embedder | None = None, model: str = "hash-64", batch_size: int = 50) -> DataFrame:
-    """``df`` with ``summary``, ``model`` and ``embedding``.
+    """``df`` with ``summary``, ``model``, ``embedding`` and ``tokens`` used.
 
-    Without ``embedder`` the vectors are column expressions. With one, each task
-    calls it on groups of ``batch_size`` texts of its Arrow batches.
+    Without ``embedder`` the vectors are column expressions and tokens are words. With
+    one, each task calls it on groups of ``batch_size`` texts of its Arrow batches;
+    where it gives no usage, tokens are words too.
     """
     base = df.withColumn("summary", text).withColumn("model", F.lit(model))
+    words = F.size(tokens(F.coalesce("summary", F.lit("")))).cast("long")
     if embedder is None:
-        return base.withColumn("embedding", hashed_vector(F.col("summary")))
-    schema = T.StructType([*base.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        return base.withColumn("embedding", hashed_vector(F.col("summary"))).withColumn("tokens", words)
+    schema = T.StructType(
+        [*base.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("tokens", T.LongType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["summary"].tolist()
-            vectors: list[list[float]] = []
+            vectors: list = []
             for i in range(0, len(texts), batch_size):
                 vectors.extend(embedder(texts[i : i + batch_size]))
-            yield pdf.assign(embedding=vectors)
+            paired = [v if isinstance(v, tuple) else (v, None) for v in vectors]
+            used = pd.array([n for _, n in paired], dtype="Int64")
+            yield pdf.assign(embedding=[v for v, _ in paired], tokens=used)
 
-    return base.mapInPandas(run, schema)
+    return base.mapInPandas(run, schema).withColumn("tokens", F.coalesce("tokens", words))
 
 
 def embed_events(events: DataFrame, now: Column, embedder: Embedder | None = None, model: str = "hash-64") -> DataFrame:
@@ -89,6 +96,44 @@ def embed_events(events: DataFrame, now: Column, embedder: Embedder | None = Non
     )
 
 
+def token_usage(events: DataFrame, embedder: Embedder | None = None, model: str = "hash-64") -> DataFrame:
+    """Tokens that embedding each event takes: what an audit of the model's cost reads."""
+    slim = events.select("eventId", "service", ev.dual_layer_summary(**ev.event_args()).alias("_text"))
+    return embed_rows(slim, F.col("_text"), embedder, model).select("eventId", "service", "model", "tokens")
+
+
+def append_embeddings(rows: DataFrame, table: str, progress: str, source: str, now: Column, groups: int = 4) -> int:
+    """Append embedded rows to ``table`` in time order, marking ``progress`` after each group; the number of groups done.
+
+    A group is a range of the time. The first group that fails ends the run with its
+    error logged by Spark: what came before stays appended and marked, so that the
+    next run goes on behind the mark. Rows that are in the table already add nothing.
+    """
+    spark = rows.sparkSession
+    at = F.unix_micros("timestamp")
+    cuts = sorted(set(rows.select(at.alias("t")).approxQuantile("t", [i / groups for i in range(1, groups)], 0.01)))
+    bounds = [None, *cuts, None]
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        part = rows
+        if low is not None:
+            part = part.filter(at > low)
+        if high is not None:
+            part = part.filter(at.isNull() | (at <= high)) if low is None else part.filter(at <= high)
+        try:
+            seen = spark.read.schema(rows.schema).parquet(table) if n or _exists(spark, table) else None
+            fresh = part if seen is None else new_rows(part, seen)
+            fresh.write.mode("append").parquet(table)
+            advance_mark(part, source, now).write.mode("append").parquet(progress)
+        except PySparkException:
+            return n
+    return len(bounds) - 1
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def advance_mark(embedded: DataFrame, source: str, now: Column) -> DataFrame:
     """Progress row after a successful append: the greatest (timestamp, eventId)."""
     last = F.max(F.struct("timestamp", "eventId"))
