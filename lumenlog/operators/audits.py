@@ -113,29 +113,29 @@ def concurrency(requests: DataFrame, started: str, ended: str, max_pending: int
     """Requests in flight when each request starts, itself included, and whether that is above the limit.
 
     A +1/-1 event stream and a bucketed running sum; an end at the same instant
-    frees its slot first.
+    frees its slot first. A request without an end stays in flight; one without a
+    start has no place in the sum: its ``inFlight`` is null and it is not over.
     """
-    slim = requests.select("requestId", started, ended)
-    steps = slim.select(
+    slim = requests.select("requestId", F.col(started).cast("timestamp").alias(started), F.col(ended).cast("timestamp").alias(ended))
+    known = F.col(started).isNotNull()
+    steps = slim.filter(known).select(
         F.posexplode(F.array(F.unix_micros(ended), F.unix_micros(started))).alias("kind", "at"),
         "requestId",
-    ).withColumn("delta", F.when(F.col("kind") == 0, -1).otherwise(1))
+    ).filter("at IS NOT NULL").withColumn("delta", F.when(F.col("kind") == 0, -1).otherwise(1))
     total = running_total(
         steps,
         [],
         "at",
         [F.col("at"), F.col("kind"), F.col("requestId")],
         "delta",
-        # minutes, then days: both levels hold few buckets per parent
-        [60_000_000, 1440 * 60_000_000],
+        # 50 ms, minutes, then days: a level holds few buckets per parent, and a spike is spread
+        [50_000, 60_000_000, 1440 * 60_000_000],
         "inFlight",
     )
-    return total.filter("kind = 1").select(
-        "requestId",
-        F.timestamp_micros("at").alias("startedAt"),
-        "inFlight",
-        (F.col("inFlight") > max_pending).alias("overLimit"),
-    )
+    placed = total.filter("kind = 1").select("requestId", F.timestamp_micros("at").alias("startedAt"), "inFlight")
+    lost = slim.filter(~known).select("requestId", F.col(started).alias("startedAt"), F.lit(None).cast("bigint").alias("inFlight"))
+    over = F.coalesce(F.col("inFlight") > max_pending, F.lit(False)).alias("overLimit")
+    return placed.unionByName(lost).select("requestId", "startedAt", "inFlight", over)
 
 
 def backpressure_report(requests: DataFrame, started: str, ended: str, max_pending: int = 500) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-computed rows for every branch of the row rules."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -371,3 +373,39 @@ def test_validation(spark):
     valid, rejected = validation.split(df, validation.event_reasons())
     assert sorted(r.eventId for r in valid.collect()) == [1, 4]
     assert {r.eventId: r.reasons for r in rejected.collect()} == {2: ["user.role is unknown"], 3: ["service is empty"]}
+
+
+def test_rows_with_null_keys_and_times_stay(spark):
+    from lumenlog.operators import assembly, sessions
+    from lumenlog.plans.timelines import running_total, with_next
+
+    rows = [(None, 1, 2), (None, 2, 3), ("a", 1, 5), ("a", None, 7)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v bigint")
+    total = running_total(df, ["k"], "at", [F.col("at")], "v", [10, 100], "sum").collect()
+    assert sorted((r.k or "", r.at or 0, r.sum) for r in total) == [("", 1, 2), ("", 2, 5), ("a", 0, 7), ("a", 1, 12)]
+    led = with_next(df, ["k"], "at", 10, {"v": "next"}).collect()
+    assert sorted((r.k or "", r.at or 0, r.next) for r in led) == [("", 1, 3), ("", 2, None), ("a", 0, 5), ("a", 1, None)]
+    once = assembly.finalize_once(df, ["at"], "k").collect()
+    assert sorted((r.k or "", r.v) for r in once) == [("", 2), ("", 3), ("a", 7)]
+
+    t = dt.datetime(2024, 1, 1)
+    calls = [("r1", t, t + dt.timedelta(seconds=5)), ("r2", None, None), ("r3", t, t + dt.timedelta(seconds=1))]
+    spans = spark.createDataFrame(calls, "requestId string, a timestamp, b timestamp")
+    assert audits.concurrency(spans, "a", "b").count() == 3
+    events = spark.createDataFrame(
+        [(f"r{i}", t if i % 2 else None, {"code": "E"} if i % 5 == 0 else None, {"durationMs": 3000 if i % 7 == 0 else 1}) for i in range(100)],
+        "requestId string, timestamp timestamp, error struct<code:string>, performance struct<durationMs:bigint>",
+    )
+    decided = sampling.decide_adaptive(events, sampling.SamplingPolicy(normal_rate=0.0)).collect()
+    assert len(decided) == 100 and sum(r.reason == "HAS_ERROR" for r in decided) == 20
+    history = [(None, None, 1, "q", "a"), (None, t, 2, "q2", "a2"), ("s", None, 1, "q3", "a3")]
+    turns = spark.createDataFrame(history, "sessionId string, createdAt timestamp, turn bigint, question string, answer string")
+    assert sessions.summariser_lines(turns).count() == 3
+
+
+def test_top_numbers_are_read_whole(spark):
+    from lumenlog.functions import questions
+
+    rows = [("top 1000000 codes",), ("top 99999999999999999999",), ("top 0",), ("Top 7",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(questions.top_n(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [1000000, 5, 5, 7, 5]
