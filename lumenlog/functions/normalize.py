@@ -210,39 +210,54 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _bounded_json(value: Column, max_depth: int, max_length: int, depth: int = 0) -> Column:
-    """JSON text of a variant: strings cut, lists to 10 items, objects to 20 keys, depth limited."""
-    def quoted(text):
-        listed = F.to_json(F.array(text))
-        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
-    kind, items = _kind(value), value.cast("array<variant>")
-    if depth >= max_depth:
-        array = F.concat(F.lit('"[Array('), F.size(items).cast("string"), F.lit(')]"'))
-        obj = F.lit('"[Object]"')
-    else:
-        def below(v):
-            return _bounded_json(v, max_depth, max_length, depth + 1)
-
-        entries = F.slice(F.map_entries(value.cast("map<string,variant>")), 1, 20)
-        array = F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, 10), below), ","), F.lit("]"))
-        pairs = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), below(e["value"])))
+
+def _bounded_json(text: Column, value: Column, max_depth: int, max_length: int, depth: int = 0) -> Column:
+    """JSON text of a value: strings cut, lists to 10 items, objects to their first 20 keys, depth limited.
+
+    ``value`` is the variant, which knows the kinds but sorts its keys; ``text`` is the same value's
+    JSON (a bare string's content), which has the keys in the order they came in.
+    """
+
+    def container(kind: Column) -> Column:
+        items = value.cast("array<variant>")
+        if depth >= max_depth:
+            array = F.concat(F.lit('"[Array('), F.size(items).cast("string"), F.lit(')]"'))
+            return F.when(F.startswith(kind, F.lit("ARRAY")), array).otherwise(F.lit('"[Object]"'))
+
+        def below(t, v):
+            return _bounded_json(t, v, max_depth, max_length, depth + 1)
+
+        texts = F.slice(F.from_json(text, "array<string>"), 1, 10)
+        array = F.concat(F.lit("["), F.array_join(F.zip_with(texts, F.slice(items, 1, 10), below), ","), F.lit("]"))
+        ordered = F.slice(F.map_entries(F.from_json(text, "map<string,string>")), 1, 20)
+        pairs = let(
+            value.cast("map<string,variant>"),
+            lambda known: F.transform(
+                ordered, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), below(e["value"], F.element_at(known, e["key"])))
+            ),
+        )
         obj = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    return (
-        F.when(kind == "STRING", quoted(clip_string(value.cast("string"), max_length)))
-        .when(F.startswith(kind, F.lit("ARRAY")), array)
-        .when(F.startswith(kind, F.lit("OBJECT")), obj)
-        .otherwise(F.coalesce(value.cast("string"), F.lit("null")))
+        return F.when(F.startswith(kind, F.lit("ARRAY")), array).otherwise(obj)
+
+    return let(
+        _kind(value),
+        lambda kind: F.when(kind == "STRING", _quoted(clip_string(value.cast("string"), max_length)))
+        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), container(kind))
+        .otherwise(F.coalesce(value.cast("string"), F.lit("null"))),
     )
 
 
-def sanitized_json(value: Column, max_depth: int = 2, max_length: int = 200) -> Column:
-    """Bounded text of a variant: a string is cut, an object or list is bounded JSON, null is null."""
-    kind = _kind(value)
-    return (
-        F.when(kind == "STRING", clip_string(value.cast("string"), max_length))
-        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), _bounded_json(value, max_depth, max_length))
-        .otherwise(value.cast("string"))
+def sanitized_json(value: Column, text: Column, max_depth: int = 2, max_length: int = 200) -> Column:
+    """Bounded text of a variant and its JSON text: a string is cut, an object or list is bounded JSON, null is null."""
+    return let(
+        _kind(value),
+        lambda kind: F.when(kind == "STRING", clip_string(value.cast("string"), max_length))
+        .when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), _bounded_json(text, value, max_depth, max_length))
+        .otherwise(value.cast("string")),
     )
 
 
@@ -276,6 +291,9 @@ def request_meta(
     if not known:
         return F.create_map().cast("map<string,string>")
 
+    def bounded(value: Column, text: Column) -> Column:
+        return let(value, lambda v: sanitized_json(v, text, max_depth, max_length))
+
     def collect(parsed):
         out: dict[str, Column] = {}
         for path in known:
@@ -284,7 +302,7 @@ def request_meta(
             if is_redacted(path, rules):
                 shown = let(value, lambda v: F.when(v.isNotNull() & (_kind(v) != "VOID"), replacement))
             else:
-                shown = let(value, lambda v: sanitized_json(v, max_depth, max_length))
+                shown = bounded(value, json_path((sources or {}).get(source, F.col(source)), rest))
             key = path.rsplit(".", 1)[-1]
             out[key] = F.coalesce(shown, out[key]) if key in out else shown
         return _present_map(out)
@@ -301,7 +319,7 @@ def response_meta(
 
     def collect(parsed):
         def bounded(path):
-            return let(_variant_path(parsed, path), lambda v: sanitized_json(v, max_depth, max_length))
+            return let(_variant_path(parsed, path), lambda v: sanitized_json(v, json_path(response, path), max_depth, max_length))
 
         return _present_map({f"response_{p.replace('.', '_')}": bounded(p) for p in paths})
 

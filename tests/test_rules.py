@@ -409,3 +409,11 @@ def test_top_numbers_are_read_whole(spark):
     rows = [("top 1000000 codes",), ("top 99999999999999999999",), ("top 0",), ("Top 7",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(questions.top_n(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [1000000, 5, 5, 7, 5]
+
+
+def test_bounded_objects_keep_their_first_twenty_keys_in_input_order(spark):
+    body = "{" + ",".join(f'"k{i:02d}":{{"z":"{i}","a":[{i},"x",true]}}' for i in range(24, -1, -1)) + "}"
+    df = spark.createDataFrame([('{"big":' + body + ',"s":"true","t":true}', "{}", "{}", "{}")], "body string, params string, query string, headers string")
+    m = df.select(nz.request_meta(["body.big", "body.s", "body.t"])).first()[0]
+    kept = "{" + ",".join(f'"k{i:02d}":{{"z":"{i}","a":"[Array(3)]"}}' for i in range(24, 4, -1)) + "}"
+    assert m == {"big": kept, "s": "true", "t": "true"}
