@@ -549,11 +549,12 @@ def _(spark, sf):
 @query(
     "i5_tumbling_metrics",
     """SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors,
-      count(error_code) * 100.0::DOUBLE / count(*) AS error_rate, coalesce(max(duration_ms), -1) AS max_ms FROM wide_events GROUP BY 1, 2""",
+      count(error_code) * 100.0::DOUBLE / count(*) AS error_rate, coalesce(max(duration_ms), -1) AS max_ms, coalesce(quantile_disc(duration_ms, 0.95), -1) AS p95_ms
+    FROM wide_events GROUP BY 1, 2""",
     W,
 )
 def _(spark, sf):
     out = incidents.tumbling_metrics(fx.events(spark, sf), "1 hour")
-    return out.withColumn("maxMs", F.coalesce("maxMs", F.lit(-1))).toDF(
-        "window_start", "service", "total", "errors", "error_rate", "max_ms"
+    return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("maxMs", "p95Ms")}).toDF(
+        "window_start", "service", "total", "errors", "error_rate", "max_ms", "p95_ms"
     )

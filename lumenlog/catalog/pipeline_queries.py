@@ -203,6 +203,23 @@ def _run(start, *args, **kwargs):
     start(*args, **kwargs).awaitTermination()
 
 
+def _staged(spark, parts, start):
+    """One micro-batch after the other: each part arrives, and the query resumes from its checkpoint."""
+    path, checkpoint = fresh_path(spark, "stream-source"), fresh_path(spark, "cp")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(part.schema).parquet(path), checkpoint).awaitTermination()
+
+
+def _in_time_order(df, column):
+    """Thirds of the time span in order; with the last come copies of the first tenth, far too late."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    cuts = [F.lit(low + (high - low) * share) for share in (0.1, 1 / 3, 2 / 3)]
+    t = F.col(column)
+    last = df.filter(t > cuts[2]).unionByName(df.filter(t < cuts[0]))
+    return [df.filter(t <= cuts[1]), df.filter((t > cuts[1]) & (t <= cuts[2])), last]
+
+
 @query("i1_event_ingest", FLAT + f" WHERE NOT ({BAD})", W)
 def _(spark, sf):
     path = fresh_path(spark, "ingested")
@@ -291,8 +308,13 @@ CLOSED = "(SELECT date_trunc('millisecond', max({0})) - INTERVAL 10 MINUTE FROM
 )
 def _(spark, sf):
     path = fresh_path(spark, "incidents")
-    failing = _stream(spark, fx.events(spark, sf).filter("error is not null")).withWatermark("timestamp", "10 minutes")
-    _run(pipelines.to_table, incidents.incidents(failing, "1 day", "6 hours", 3), path, fresh_path(spark, "cp"))
+    parts = _in_time_order(fx.events(spark, sf).filter("error is not null"), "timestamp")
+
+    def start(stream, cp):
+        failing = stream.withWatermark("timestamp", "10 minutes")
+        return pipelines.to_table(incidents.incidents(failing, "1 day", "6 hours", 3), path, cp)
+
+    _staged(spark, parts, start)
     return spark.read.parquet(path).select(
         F.col("windowStart").alias("window_start"), "service", "route", F.col("errorCode").alias("error_code"), "errors"
     )
@@ -300,16 +322,20 @@ def _(spark, sf):
 
 @query(
     "i5_stream_metrics",
-    f"""SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors, coalesce(max(duration_ms), -1) AS max_ms FROM wide_events
+    f"""SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors, coalesce(max(duration_ms), -1) AS max_ms, coalesce(quantile_disc(duration_ms, 0.95), -1) AS p95_ms FROM wide_events
     WHERE date_trunc('hour', event_ts) + INTERVAL 1 HOUR <= {CLOSED.format('event_ts', 'wide_events')} GROUP BY 1, 2""",
     W,
 )
 def _(spark, sf):
     path = fresh_path(spark, "metrics")
-    events = _stream(spark, fx.events(spark, sf)).withWatermark("timestamp", "10 minutes")
-    _run(pipelines.to_table, incidents.tumbling_metrics(events, "1 hour"), path, fresh_path(spark, "cp"))
+
+    def start(stream, cp):
+        return pipelines.to_table(incidents.tumbling_metrics(stream.withWatermark("timestamp", "10 minutes"), "1 hour"), path, cp)
+
+    _staged(spark, _in_time_order(fx.events(spark, sf), "timestamp"), start)
     return spark.read.parquet(path).select(
-        F.col("windowStart").alias("window_start"), "service", "total", "errors", F.coalesce("maxMs", F.lit(-1)).alias("max_ms")
+        F.col("windowStart").alias("window_start"), "service", "total", "errors",
+        F.coalesce("maxMs", F.lit(-1)).alias("max_ms"), F.coalesce("p95Ms", F.lit(-1)).alias("p95_ms"),
     )
 
 
@@ -326,8 +352,8 @@ SESSION_SQL = """WITH g AS (SELECT session_id, created_at, CASE WHEN created_at
 )
 def _(spark, sf):
     path = fresh_path(spark, "sessions")
-    turns = _stream(spark, fx.history(spark, sf).select("sessionId", "createdAt"))
-    _run(pipelines.to_table, pipelines.session_windows(turns), path, fresh_path(spark, "cp"))
+    parts = _in_time_order(fx.history(spark, sf).select("sessionId", "createdAt"), "createdAt")
+    _staged(spark, parts, lambda stream, cp: pipelines.to_table(pipelines.session_windows(stream), path, cp))
     return spark.read.parquet(path).toDF("session_id", "started_at", "turns")
 
 
@@ -341,8 +367,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = fresh_path(spark, "sessions")
-    turns = _stream(spark, fx.history(spark, sf).select("sessionId", "createdAt"))
-    _run(pipelines.to_table, pipelines.session_state(turns), path, fresh_path(spark, "cp"))
+    parts = _in_time_order(fx.history(spark, sf).select("sessionId", "createdAt"), "createdAt")
+    _staged(spark, parts, lambda stream, cp: pipelines.to_table(pipelines.session_state(stream), path, cp))
     return spark.read.parquet(path).select(F.col("sessionId").alias("session_id"), F.col("startedAt").alias("started_at"), "turns")
 
 
@@ -356,8 +382,16 @@ def _(spark, sf):
     return spark.read.parquet(table).select(F.col("eventId").alias("event_id"), "summary")
 
 
-@query("i8_late_data", "SELECT count(*) AS n, count(DISTINCT request_id) AS requests FROM wide_events", W)
+# Three batches by event id; late is what lies ten minutes behind the greatest time of the batches before.
+@query(
+    "i8_late_data",
+    """WITH b AS (SELECT event_id % 3 AS batch, max(event_ts) AS seen FROM wide_events GROUP BY 1)
+    SELECT w.event_id, w.event_id % 3 AS batch_id, CASE WHEN event_ts < (SELECT max(seen) FROM b WHERE b.batch < w.event_id % 3) - INTERVAL 600 SECOND THEN 'late' ELSE 'on_time' END AS arrival
+    FROM wide_events w""",
+    W,
+)
 def _(spark, sf):
     root = fresh_path(spark, "arrivals")
-    _run(pipelines.divert_late, _stream(spark, fx.events(spark, sf), 3), root, fresh_path(spark, "cp"), 600)
-    return spark.read.parquet(f"{root}/rows").agg(F.count("*").alias("n"), F.count_distinct("requestId").alias("requests"))
+    parts = [fx.events(spark, sf).filter(F.col("eventId") % 3 == n) for n in range(3)]
+    _staged(spark, parts, lambda stream, cp: pipelines.divert_late(stream, root, cp, 600))
+    return spark.read.parquet(f"{root}/rows").select(F.col("eventId").alias("event_id"), F.col("batch_id").cast("bigint").alias("batch_id"), "arrival")

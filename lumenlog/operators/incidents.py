@@ -36,10 +36,18 @@ def incidents(df: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
 
 
 def tumbling_metrics(df: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Requests, errors and error rate per window and service; batch and streaming."""
+    """Requests, errors, error rate, greatest and 95th-percentile duration per window and service; batch and streaming.
+
+    The percentile is a mergeable sketch, exact up to 10,000 requests in a window.
+    """
     return (
         df.groupBy(F.window("timestamp", window), "service")
-        .agg(F.count("*").alias("total"), F.count("error.code").alias("errors"), F.max("performance.durationMs").alias("maxMs"))
+        .agg(
+            F.count("*").alias("total"),
+            F.count("error.code").alias("errors"),
+            F.max("performance.durationMs").alias("maxMs"),
+            F.percentile_approx("performance.durationMs", 0.95, 10_000).alias("p95Ms"),
+        )
         .select(
             F.col("window.start").alias("windowStart"),
             "service",
@@ -47,6 +55,7 @@ def tumbling_metrics(df: DataFrame, window: str = "1 minute") -> DataFrame:
             "errors",
             (F.col("errors") * 100.0 / F.col("total")).alias("errorRate"),
             "maxMs",
+            "p95Ms",
         )
     )
 

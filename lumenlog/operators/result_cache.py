@@ -62,15 +62,22 @@ def lookup(queries: DataFrame, entries: DataFrame, min_similarity: float = MIN_S
     The entry of a key is the last one written at or before the query (a later
     write replaces). It answers when it is live and its vector is close enough.
     ``queries``: queryId, cacheKey, askedAt, embedding. ``entries``: entryId,
-    cacheKey, cachedAt, ttlMs, embedding. No entry lives longer than the default
+    cacheKey, cachedAt, ttlMs, embedding; query ids are unique. No entry lives longer than the default
     TTL, so older ones are never looked at.
     """
-    # One write per key and instant survives: the last id.
-    kept = entries.groupBy("cacheKey", "cachedAt").agg(F.max_by(F.struct("entryId", "ttlMs", "embedding"), "entryId").alias("e"))
+    # One write per key and instant survives: the last id. Ids are matched, vectors come afterwards.
+    kept = entries.groupBy("cacheKey", "cachedAt").agg(F.max_by(F.struct("entryId", "ttlMs"), "entryId").alias("e"))
     kept = kept.select("cacheKey", "cachedAt", "e.*")
-    seen = latest_before(queries, kept, ["cacheKey"], "askedAt", "cachedAt", DEFAULT_TTL_MS // 1000)
+    asked = queries.select("queryId", "cacheKey", "askedAt")
+    seen = latest_before(asked, kept, ["cacheKey"], "askedAt", "cachedAt", DEFAULT_TTL_MS // 1000)
+    held = entries.select(
+        F.col("cacheKey").alias("_key"), F.col("cachedAt").alias("_at"), F.col("entryId").alias("_id"), F.col("embedding").alias("_held")
+    ).dropDuplicates(["_key", "_at", "_id"])
+    same = (F.col("entry.cacheKey").eqNullSafe(F.col("_key"))) & (F.col("entry.cachedAt") == F.col("_at")) & (F.col("entry.entryId") == F.col("_id"))
+    vectors = queries.select("queryId", "embedding").dropDuplicates(["queryId"])
+    seen = seen.join(held, same, "left").join(vectors, "queryId", "left")
     age = F.unix_millis("askedAt") - F.unix_millis("entry.cachedAt")
-    close = vx.cosine(F.col("embedding"), F.col("entry.embedding"))
+    close = vx.cosine(F.col("embedding"), F.col("_held"))
     return (
         seen.withColumn("live", F.coalesce(age <= F.col("entry.ttlMs"), F.lit(False)))
         .withColumn("similarity", F.when(F.col("live"), close))

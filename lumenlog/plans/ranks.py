@@ -21,8 +21,9 @@ def first_n_per_group(
 
 
 def coarse_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a number, at most 64k distinct buckets in all."""
-    magnitude = F.floor(F.log2(F.abs(value.cast("double")) + F.lit(1.0)) * 512)
+    """Order-preserving bucket of a number: 512 to a power of two, from 2^-40 on, on either side of zero."""
+    size = F.greatest(F.abs(value.cast("double")), F.lit(2.0**-40))
+    magnitude = F.floor((F.log2(size) + F.lit(40.0)) * 512) + 1
     return (F.signum(value.cast("double")) * magnitude).cast("bigint")
 
 
@@ -32,7 +33,7 @@ def floor_rank_percentiles(
     """Exact percentiles: the element at 0-based index ``floor(p * n)`` of the sorted values.
 
     Rows are first reduced to a value histogram (partial aggregation makes hot
-    values cheap). A coarse histogram of at most 64k buckets per group locates
+    values cheap). A coarse histogram of 512 buckets to a power of two locates
     the bucket of every wanted rank; only the values of those few buckets are
     then ranked. Also returns ``count``, ``avg`` and ``max``. A group, or the whole table,
     without values yields no row.

@@ -123,37 +123,44 @@ def latest_before(
 ) -> DataFrame:
     """As-of join: for each left row the last right row at or before it, within a horizon.
 
-    The horizon bounds how far back a match may lie, so a right row is needed only
-    in its own horizon-wide bucket and in the next one. Both sides then meet per
-    ``(key, bucket)``; a hot key is spread over its buckets. Adds the right row as
-    the struct column ``payload`` (null when none).
+    Rows of both sides meet per key and cell, a sixtieth of the horizon, so a hot key
+    is spread over many tasks. What a cell inherits is found on one row per key and
+    cell, the cell's last right row: the horizon bounds how far back that may lie, so
+    it is needed only in its own horizon-wide bucket and in the next one. Adds the
+    right row as the struct column ``payload`` (null when none).
     """
     keys = list(keys)
-    rb = time_bucket(F.col(right_ts), horizon_seconds)
-    entries = right.select(
-        *keys,
-        F.col(right_ts).alias("_at"),
-        F.lit(0).alias("_side"),
-        F.explode(F.array(rb, rb + 1)).alias("_b"),
-        F.struct(*right.columns).alias(payload),
-        F.lit(None).cast(left.schema).alias("_left"),
+    cells = 60
+    width = max(1, horizon_seconds // cells)
+    span = (cells + 1) * width
+    first, upto = Window.unboundedPreceding, Window.currentRow
+    right_row, left_row = F.struct(*right.columns), F.struct(*left.columns)
+
+    entries = right.withColumn("_cell", time_bucket(F.col(right_ts), width))
+    last = entries.groupBy(*keys, "_cell").agg(F.max_by(right_row, right_ts).alias(payload))
+    big = F.floor(F.col("_cell") * F.lit(width) / F.lit(span)).cast("bigint")
+    asked = left.select(*keys, time_bucket(F.col(left_ts), width).alias("_cell")).distinct()
+    # a cell is asked before its own last row comes in: that one is looked for inside
+    steps = last.select(*keys, "_cell", F.lit(1).alias("_side"), F.explode(F.array(big, big + 1)).alias("_b"), payload).unionByName(
+        asked.select(*keys, "_cell", F.lit(0).alias("_side"), big.alias("_b"), F.lit(None).cast(right.schema).alias(payload))
     )
-    probes = left.select(
-        *keys,
-        F.col(left_ts).alias("_at"),
-        F.lit(1).alias("_side"),
-        time_bucket(F.col(left_ts), horizon_seconds).alias("_b"),
-        F.lit(None).cast(right.schema).alias(payload),
-        F.struct(*left.columns).alias("_left"),
-    )
-    w = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy("_at", "_side")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*keys, "_b").orderBy("_cell", "_side").rowsBetween(first, upto)
+    inherited = steps.withColumn("_carry", F.last(payload, ignorenulls=True).over(back)).filter("_side = 0").select(*keys, "_cell", "_carry")
+
+    rows = entries.select(
+        *keys, "_cell", F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), right_row.alias(payload), F.lit(None).cast(left.schema).alias("_left")
+    ).unionByName(
+        left.select(
+            *keys,
+            time_bucket(F.col(left_ts), width).alias("_cell"),
+            F.col(left_ts).alias("_at"),
+            F.lit(1).alias("_side"),
+            F.lit(None).cast(right.schema).alias(payload),
+            left_row.alias("_left"),
+        )
     )
-    seen = entries.unionByName(probes).withColumn(payload, F.last(payload, ignorenulls=True).over(w))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_at", "_side").rowsBetween(first, upto)
+    seen = rows.withColumn(payload, F.last(payload, ignorenulls=True).over(inside)).filter("_side = 1")
+    found = join_same(seen, inherited, [*keys, "_cell"]).withColumn(payload, F.coalesce(payload, "_carry"))
     age = F.unix_micros("_at") - F.unix_micros(F.col(payload).getField(right_ts))
-    return seen.filter(F.col("_side") == 1).select(
-        "_left.*",
-        F.when(age <= horizon_seconds * 1_000_000, F.col(payload)).alias(payload),
-    )
+    return found.select("_left.*", F.when(age <= horizon_seconds * 1_000_000, F.col(payload)).alias(payload))
