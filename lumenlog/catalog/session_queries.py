@@ -275,14 +275,15 @@ def _(spark, sf):
     return grounding.aggregate_sources(metrics.top_error_codes(fx.events(spark, sf))).toDF("request_id")
 
 
-# Hits exist for every fifth question; sessions come from the query log.
+# Hits exist for every fifth question; every other question opens a session that has no history.
 INTENT_SQL = "CASE query_id % 3 WHEN 0 THEN 'CONVERSATIONAL' WHEN 1 THEN 'SEMANTIC' ELSE 'STATISTICAL' END"
 
 
 @query(
     "h20_default_answers",
-    f"""WITH x AS (SELECT query_id, q.session_id, text, {INTENT_SQL} AS intent, h.turns, query_id % 5 = 0 AS has_hits FROM query_log q
-      LEFT JOIN (SELECT session_id, count(*) AS turns FROM chat_history WHERE turn > 0 GROUP BY 1) h ON h.session_id = q.session_id),
+    f"""WITH x AS (SELECT query_id, q.session_id, text, {INTENT_SQL} AS intent, h.turns, query_id % 5 = 0 AS has_hits
+      FROM (SELECT query_id, text, session_id || CASE WHEN query_id % 2 = 1 THEN '-new' ELSE '' END AS session_id FROM query_log) q
+      LEFT JOIN (SELECT session_id, count(*) AS turns FROM chat_history GROUP BY 1) h ON h.session_id = q.session_id),
     y AS (SELECT *, intent = 'CONVERSATIONAL' AND coalesce(turns, 0) = 0 AS fresh, intent = 'SEMANTIC' AND NOT has_hits AS nothing FROM x)
     SELECT query_id, session_id, intent, CASE WHEN fresh THEN CASE WHEN regexp_matches(text, '[가-힣]') THEN '{grounding.NO_HISTORY["Korean"]}' ELSE '{grounding.NO_HISTORY["English"].replace("'", "''")}' END
       ELSE '{grounding.NO_HITS_ANSWER}' END AS answer, CASE WHEN fresh THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM y WHERE fresh OR nothing""",
@@ -291,12 +292,14 @@ INTENT_SQL = "CASE query_id % 3 WHEN 0 THEN 'CONVERSATIONAL' WHEN 1 THEN 'SEMANT
 def _(spark, sf):
     k = F.col("query_id") % 3
     qs = fx.questions(spark, sf).select(
-        F.col("query_id").alias("queryId"), F.col("session_id").alias("sessionId"), "text",
+        F.col("query_id").alias("queryId"),
+        F.concat("session_id", F.when(F.col("query_id") % 2 == 1, "-new").otherwise("")).alias("sessionId"),
+        "text",
         F.when(k == 0, "CONVERSATIONAL").when(k == 1, "SEMANTIC").otherwise("STATISTICAL").alias("intent"),
         qn.language(F.col("text")).alias("language"),
     )
     hits = qs.filter(F.col("queryId") % 5 == 0).select("queryId")
-    turns = fx.history(spark, sf).filter("turn > 0").groupBy("sessionId").agg(F.count("*").alias("turns"))
+    turns = fx.history(spark, sf).groupBy("sessionId").agg(F.count("*").alias("turns"))
     return grounding.default_answers(qs, hits, turns).toDF("query_id", "session_id", "intent", "answer", "confidence")
 
 
