@@ -30,15 +30,23 @@ def _entries(text: Column, compat: bool) -> Column:
 
 
 def _names(entries: Column) -> Column:
-    return F.filter(F.transform(entries, lambda e: e["name"]), lambda n: n != "")
+    return F.array_remove(entries["name"], "")
+
+
+def _last_value(reversed_entries: Column, name: str) -> Column:
+    """Value of the last entry called ``name``: the first one in the reversed list."""
+    at = F.array_position(reversed_entries["name"], name)
+    return F.when(at > 0, F.try_element_at(reversed_entries["value"], at.cast("int")))
 
 
 def _compare(df: DataFrame, document: str, query: str, compat: bool) -> DataFrame:
-    """Adds ``fields`` and ``fieldOrderMatch``. Each text is parsed once and each value looked up once."""
-    parsed = df.withColumns({"_d": _entries(F.col(document), compat), "_q": _entries(F.col(query), compat)})
+    """Adds ``fields`` and ``fieldOrderMatch``. Each text is parsed once, into a list from last to first entry."""
+    parsed = df.withColumns(
+        {"_d": F.reverse(_entries(F.col(document), compat)), "_q": F.reverse(_entries(F.col(query), compat))}
+    )
     names = {f: f if compat else f.lower() for f in FIELDS}
     parsed = parsed.withColumns(
-        {f"{side}_{f}": tx.field_value(F.col(side), name) for f, name in names.items() for side in ("_d", "_q")}
+        {f"{side}_{f}": _last_value(F.col(side), name) for f, name in names.items() for side in ("_d", "_q")}
     )
 
     def one(field, always):
