@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,6 +39,13 @@ def build_session(master: str | None = None, app: str = "lumenlog", **conf: str)
     return spark
 
 
+def _own_folder(prefix: str) -> str:
+    """A temporary folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per Spark application.
 
@@ -46,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
     if any(name.endswith(ARCHIVE) for name in sc.listFiles):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="lumenlog-ship-"), ARCHIVE)
+    path = os.path.join(_own_folder("lumenlog-ship-"), ARCHIVE)
     with zipfile.ZipFile(path, "w") as archive:
         for folder, _, names in os.walk(package):
             for name in names:
@@ -68,7 +77,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lumenlog-")
+        root = _own_folder("lumenlog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
