@@ -129,7 +129,8 @@ def nearest_neighbours(
 
     Null, zero and non-finite vectors, and rows without an id, take no part; vectors of another length than the
     commonest meet only their own length's (other lengths have no product): they are searched exhaustively among
-    themselves. Fewer candidates than ``k`` give fewer rows. Ties go to the smaller id. Repeated ids with equal vectors count once.
+    themselves. Fewer candidates than ``k`` give fewer rows. Ties go to the smaller id. A repeated id counts once,
+    with its best vector; each of its vectors asks.
     Bounds: centroids are learned on about ``sample_rows`` distinct vectors and number at most ``max_lists``;
     they are all that is sent to every task.
     """
@@ -152,9 +153,10 @@ def nearest_neighbours(
         )
         found = own if found is None else found.unionAll(own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a replicated vector comes from several lists with the same score
+    # a replicated vector comes from several lists with the same score; of a repeated id the best vector counts
     return (
-        found.dropDuplicates(["query_id", "vec_id"])
+        found.groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
