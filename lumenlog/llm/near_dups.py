@@ -318,10 +318,14 @@ def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     sized = stored(_sized(member), "clusters")
     small = sized.where(_fits()).select("key", "cls")
-    large = sized.where(~_fits()).select(F.explode(F.sequence(F.lit(1), F.lit(CLUSTER_TREES))).alias("tree"), "key", "cls", "n")
+    large = sized.where(~_fits()).select("key", "cls", "n")
     groups = small
     if not large.isEmpty():
-        groups = small.unionAll(descend(large.select(F.xxhash64("key", "tree").alias("key"), "cls", "n"), classes, threshold))
+        # as the first trees, these start two tokens down, on others of the signature
+        token = [F.substring("sig", TOKENS // 2 + 1 + 2 * F.col("tree") + i, F.lit(1)) for i in (0, 1)]
+        trees = F.explode(F.sequence(F.lit(0), F.lit(CLUSTER_TREES - 1))).alias("tree")
+        started = large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "sig", trees)
+        groups = small.unionAll(descend(started.select(F.xxhash64("key", "tree", *token).alias("key"), "cls", "n"), classes, threshold))
     linked = components(verified_edges(groups, docs, classes, percent))
     named = (
         classes.select("cls", "doc_id")
