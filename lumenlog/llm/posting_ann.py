@@ -3,7 +3,7 @@
 Centroids are learned on a bounded sample by balanced splitting: a cell is halved at the median of its
 widest direction, then all centroids are moved by a few k-means steps. Every vector of the table is then
 indexed: it joins the list of its nearest centroid, and, near a boundary, those of others within a
-distance ratio that no nearer centroid already covers. Lists are cut into parts of bounded size, all of
+distance ratio. Lists are cut into parts of bounded size, all of
 which are searched. A query finds its centroids by beam search in a neighbour graph held in memory and
 searches the lists whose centroids are within a distance ratio of the nearest.
 
@@ -119,11 +119,11 @@ def nearest_neighbours(
     list_size: int = 128,
     sample_rows: int = 20_000,
     max_lists: int = 4096,
-    probes: int = 96,
+    probe_share: float = 0.32,
     search_ratio: float = 1.6,
-    replicas: int = 4,
+    replicas: int = 3,
     replica_ratio: float = 1.1,
-    part_rows: int = 4096,
+    part_rows: int = 16_384,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` largest inner products of every row whose id ``query_every`` divides.
 
@@ -149,7 +149,7 @@ def nearest_neighbours(
     for w in widths:  # one kind of vector has one length; others are rare
         own = _search(
             index.where(F.col("width") == w["width"]), queries.where(F.size("v") == w["width"]), w["width"], w["n"], float(w["square"]), k,
-            list_size, sample_rows, max_lists, probes, search_ratio, replicas, replica_ratio, part_rows,
+            list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows,
         )
         found = own if found is None else found.unionAll(own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -163,7 +163,7 @@ def nearest_neighbours(
     )
 
 
-def _search(index, queries, width, total, square, k, list_size, sample_rows, max_lists, probes, search_ratio, replicas, replica_ratio, part_rows) -> DataFrame:
+def _search(index, queries, width, total, square, k, list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows) -> DataFrame:
     spark = index.sparkSession
     share = min(1.0, sample_rows / max(1, total))
     picked = index.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
@@ -175,7 +175,11 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
     lists = int(min(max_lists, max(1, total // list_size)))
     graph = CentroidGraph(balanced_centroids(lift(sample), lists))
     shared = spark.sparkContext.broadcast(graph)
-    parts = max(1, -(-total * replicas // (len(graph.centroids) * part_rows)))
+    n_lists = len(graph.centroids)
+    probes = min(n_lists, max(128, int(np.ceil(probe_share * n_lists))))
+    # lists are searched in groups of about part_rows vectors, each of which gives k rows a query; a list of more is cut
+    groups = int(max(16, -(-total * replicas // part_rows)))
+    parts = int(max(1, -(-total * replicas // (n_lists * part_rows))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -183,21 +187,17 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 x = lift(_matrix(batch.column("v"), width))
-                near, d = g.nearest(x, 4 * replicas, 64)
+                near, d = g.nearest(x, replicas, 64)
                 keep = np.zeros(near.shape, dtype=bool)
                 keep[:, 0] = True
                 limit = replica_ratio**2 * np.maximum(d[:, 0], 1e-12)
-                c = g.centroids
-                for j in range(1, near.shape[1]):
-                    ok = (d[:, j] <= limit) & (keep.sum(1) < replicas)
-                    for i in range(j):  # a list whose centroid is nearer to one already chosen adds nothing
-                        between = ((c[near[:, j]] - c[near[:, i]]) ** 2).sum(1)
-                        ok &= ~(keep[:, i] & (between < d[:, j]))
-                    keep[:, j] = ok
+                keep[:, 1:replicas] = d[:, 1:replicas] <= limit[:, None]
                 row, col = np.nonzero(keep)
                 taken = batch.take(pa.array(row))
                 part = (pd.util.hash_array(np.array([i[0] for i in batch.column("ids").to_pylist()], dtype=np.int64)) % parts).astype(np.int32)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), pa.array(part), taken.column("v"), taken.column("ids")], names=["list", "part", "v", "ids"])
+                place = near[row, col].astype(np.int64)
+                group = ((place * parts + part) % groups).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(place.astype(np.int32)), taken.column("v"), taken.column("ids")], names=["grp", "list", "v", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -209,38 +209,58 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
                 # a query on a centroid makes every ratio large: the first lists that hold enough are searched anyhow
                 held = np.cumsum(sizes.value[near], axis=1) - sizes.value[near]
                 row, col = np.nonzero((d <= search_ratio**2 * np.maximum(d[:, :1], 1e-12)) | (held < 32 * k))
-                for p in range(parts):  # every part of a list is searched
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(near[row, col].astype(np.int32)), pa.array(np.full(len(row), p, dtype=np.int32)), *batch.take(pa.array(row)).select(["query_id", "v"]).columns],
-                        names=["list", "part", "query_id", "v"],
-                    )
+                place = near[row, col].astype(np.int64)
+                # every part of a list is searched; a query goes to a group once, with the lists it asks there
+                group = ((np.repeat(place, parts) * parts + np.tile(np.arange(parts), len(place))) % groups).astype(np.int64)
+                key, own = np.repeat(row, parts) * groups + group, np.repeat(place, parts)
+                order = np.lexsort((own, key))
+                key, own = key[order], own[order]
+                fresh = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+                key, own = key[fresh], own[fresh]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                lists_of = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(own.astype(np.int32)))
+                asking = batch.take(pa.array(key[starts] // groups))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key[starts] % groups).astype(np.int32)), lists_of, asking.column("query_id"), asking.column("v")], names=["grp", "lists", "query_id", "v"]
+                )
 
-    postings = stored(index.select("v", "ids").mapInArrow(post, "list int, part int, v array<double>, ids array<long>"), "ann-postings")
+    postings = stored(index.select("v", "ids").mapInArrow(post, "grp int, list int, v array<double>, ids array<long>"), "ann-postings")
     counted = np.zeros(len(graph.centroids), dtype=np.int64)
     for r in postings.groupBy("list").count().collect():  # max_lists rows at most
         counted[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(counted)
-    asked = queries.mapInArrow(route, "list int, part int, query_id long, v array<double>")
+    asked = queries.mapInArrow(route, "grp int, lists array<int>, query_id long, v array<double>")
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = np.stack(held["v"].to_numpy())
+        held = held.sort_values("list", kind="stable")
+        x, listed, ids = np.stack(held["v"].to_numpy()), held["list"].to_numpy(), held["ids"].to_numpy()
         out = []
-        for start in range(0, len(asked), 1024):
-            block = asked.iloc[start : start + 1024]
-            q = np.stack(block["v"].to_numpy())
-            s = q @ x.T
-            n = min(k + 1, s.shape[1])
-            bar = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n] if n < s.shape[1] else np.full(len(q), -np.inf)
-            # all that could tie with the last one stay: the product is then computed in one fixed order
-            row, col = np.nonzero(s >= bar[:, None] - 1e-9 * np.maximum(1.0, np.abs(bar[:, None])))
-            exact = (q[row] * x[col]).sum(1)
-            ids = held["ids"].to_numpy()[col]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            got = pd.DataFrame({"query_id": np.repeat(block["query_id"].to_numpy()[row], size), "vec_id": np.concatenate(ids), "score": np.repeat(exact, size)})
-            got = got[got["query_id"] != got["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(got.groupby("query_id").head(k))
-        return pd.concat(out)
-
-    return asked.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(search, RESULT)
+        for first in range(0, len(asked), 1024):
+            block = asked.iloc[first : first + 1024]
+            q, names = np.stack(block["v"].to_numpy()), block["query_id"].to_numpy()
+            wanted = np.concatenate(block["lists"].to_numpy())
+            asker = np.repeat(np.arange(len(block)), [len(w) for w in block["lists"]])
+            found = []
+            for one in np.unique(wanted):
+                start, end = np.searchsorted(listed, [one, one + 1])
+                rows = asker[wanted == one]
+                if end > start:
+                    s = q[rows] @ x[start:end].T
+                    n = min(k + 1, s.shape[1])
+                    bar = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                    # all that could tie with the last one stay: the product is then computed in one fixed order
+                    row, col = np.nonzero(s >= bar[:, None] - 1e-9 * np.maximum(1.0, np.abs(bar[:, None])))
+                    row, col = rows[row], col + start
+                    found.append((row, col, (q[row] * x[col]).sum(1)))
+            if found:
+                row, col, exact = (np.concatenate(f) for f in zip(*found, strict=True))
+                size = np.fromiter(map(len, ids[col]), dtype=np.int64, count=len(col))
+                got = pd.DataFrame({"query_id": np.repeat(names[row], size), "vec_id": np.concatenate(ids[col]), "score": np.repeat(exact, size)})
+                got = got[got["query_id"] != got["vec_id"]].drop_duplicates(["query_id", "vec_id", "score"])
+                got = got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                out.append(got.groupby("query_id").head(k))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    return asked.groupBy("grp").cogroup(postings.groupBy("grp")).applyInPandas(search, RESULT)
