@@ -37,7 +37,8 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.find_near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_dups.find_near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
@@ -75,3 +76,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_line_dedup"] = line_dedup.ORACLE.strip()
+
+
+# All pairs that share a shingle, and everything they reach.
+ORACLES["op3_near_dups"] = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM words
+), size AS (
+  SELECT w.doc_id, count(s.g) AS n FROM words w LEFT JOIN shingle s ON s.doc_id = w.doc_id GROUP BY 1
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM size UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.node
+)
+SELECT r.node AS doc_id, s.n AS n_shingles, min(r.root) AS component_id, min(r.root) = r.node AS kept
+FROM reach r JOIN size s ON s.doc_id = r.node GROUP BY r.node, s.n"""

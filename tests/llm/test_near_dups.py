@@ -67,6 +67,14 @@ def test_large_nodes_branch(spark, docs_of, monkeypatch):
     check(N.find_near_duplicates(docs_of(rows)).collect(), rows)
 
 
+def test_query_against_sql(spark, sf_dir):
+    from lumenlog.llm.queries import ORACLES, op3_near_dups
+    from tools.check_oracles import compare, connect
+
+    verdict = compare(op3_near_dups(spark, sf_dir), connect(sf_dir), ORACLES["op3_near_dups"])
+    assert verdict.startswith("ok") and "TYPES" not in verdict, verdict
+
+
 def test_query_on_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     check(N.find_near_duplicates(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
