@@ -31,7 +31,7 @@ from lumenlog.plans.graph import components
 WORDS = 5
 TOKENS = 128  # minwise tokens of a signature
 TREES = 12  # of two tokens each at once: a pair at 0.85 is apart in all of them with probability 0.28 ** TREES
-CLUSTER_TREES = 16
+CLUSTER_TREES = 24
 NODE = 1024  # classes compared exhaustively
 NODE_SHINGLES = 3_000_000
 MAX_DEPTH = 40
