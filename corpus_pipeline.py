@@ -48,8 +48,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dups.keep_one(docs)
+    """One document of each group of near duplicates stays: of five-word shingles, at a similarity of 0.8 and more."""
+    return near_dups.keep_one(docs, percent=80)
 
 
 @shipped

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from lumenlog.plans.graph import components
 
 WORDS = 5
 TOKENS = 128  # minwise tokens of a signature
-TREES = 12  # of two tokens each at once: a pair at 0.85 is apart in all of them with probability 0.28 ** TREES
-CLUSTER_TREES = 24
+MISS = 3e-7  # of a pair at the threshold: the probability that the first nodes of all trees part it
+CLUSTER_TREES = 2  # for each of the first trees: clusters go deeper
 NODE = 1024  # classes compared exhaustively
 NODE_SHINGLES = 3_000_000
 MAX_DEPTH = 40
@@ -94,14 +95,19 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
         return _mixed(best)
 
 
-def _roots(tokens: np.ndarray) -> np.ndarray:
+def trees_for(threshold: float) -> int:
+    """Trees of two tokens each at once that a pair at the threshold misses with probability ``MISS`` at most: 12 at 0.85, 15 at 0.8."""
+    return ceil(log(MISS) / log1p(-(threshold**2)))
+
+
+def _roots(tokens: np.ndarray, trees: int) -> np.ndarray:
     """Keys of the nodes two levels down each tree: a passage that many documents share seldom gives both tokens."""
     with np.errstate(over="ignore"):
-        tree = np.arange(TREES, dtype=np.uint64) * _MIX
-        return _mixed(_mixed(tokens[: 2 * TREES : 2] + tree) + tokens[1 : 2 * TREES : 2]).view(np.int64)
+        tree = np.arange(trees, dtype=np.uint64) * _MIX
+        return _mixed(_mixed(tokens[: 2 * trees : 2] + tree) + tokens[1 : 2 * trees : 2]).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, cls (digest of the set), sig (a byte per token), roots (keys of the trees' first nodes).
 
     Without words cls, sig and roots are null.
@@ -118,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([None if t is None else (t & np.uint64(255)).astype(np.uint8).tobytes() for t in tokens], pa.binary()),
-                    pa.array([None if t is None else _roots(t) for t in tokens], pa.list_(pa.int64())),
+                    pa.array([None if t is None else _roots(t, trees) for t in tokens], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "th", "n_shingles", "cls", "sig", "roots"],
             )
@@ -303,7 +309,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     such a row has the component of its text's other rows, or none, and is kept when it has none. Repeated rows are copies.
     """
     threshold = percent / 100
-    sigs = stored(signatures(docs), "signatures")
+    sigs = stored(signatures(docs, trees_for(threshold)), "signatures")
     classes = stored(
         sigs.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("cls")
@@ -323,7 +329,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not large.isEmpty():
         # as the first trees, these start two tokens down, on others of the signature
         token = [F.substring("sig", TOKENS // 2 + 1 + 2 * F.col("tree") + i, F.lit(1)) for i in (0, 1)]
-        trees = F.explode(F.sequence(F.lit(0), F.lit(CLUSTER_TREES - 1))).alias("tree")
+        trees = F.explode(F.sequence(F.lit(0), F.lit(CLUSTER_TREES * trees_for(threshold) - 1))).alias("tree")
         started = large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "sig", trees)
         groups = small.unionAll(descend(started.select(F.xxhash64("key", "tree", *token).alias("key"), "cls", "n"), classes, threshold))
     linked = components(verified_edges(groups, docs, classes, percent))
