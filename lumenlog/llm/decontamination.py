@@ -70,7 +70,7 @@ def myers_search(masks: dict[str, int], m: int, text: str, errors: int) -> tuple
 class ItemBlock:
     """The automaton of a block of items: normalised text -> ids."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_piece: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_piece: int = 1):
         import ahocorasick
 
         self.by_text: dict[str, list[int]] = {}
@@ -80,8 +80,8 @@ class ItemBlock:
         self.texts = sorted(self.by_text)
         self.masks = [pattern_masks(t) for t in self.texts]
         self.reversed_masks = [pattern_masks(t[::-1]) for t in self.texts]
-        # pieces of under min_piece characters stand everywhere: fewer errors then, none at last
-        self.errors = [min(int(len(t) * error_rate), max(0, len(t) // min_piece - 1)) for t in self.texts]
+        # the slack keeps a product like 0.29 * 100 from falling below its whole number
+        self.errors = [min(int(len(t) * error_rate + 1e-9), max(0, len(t) // min_piece - 1)) for t in self.texts]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (t, k) in enumerate(zip(self.texts, self.errors, strict=True)):
             for offset, piece in pieces(t, k):
@@ -137,12 +137,13 @@ def _stands_alone(text: str, start: int, end: int) -> bool:
     return not inside(start) and not inside(end)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, min_piece: int = 12, block_bytes: int = 1 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, min_piece: int = 1, block_bytes: int = 1 << 20) -> DataFrame:
     """One row per document row and item that stands in it: doc_id, item_id, distance, start, end (exclusive).
 
     Places count in the normalised text. Null and empty texts and items match nothing; items of the same text are
-    all reported; a repeated document row gives its rows again. Items too short for two pieces must stand
-    unchanged and as whole words. Texts are searched whole.
+    all reported; a repeated document row gives its rows again. An item may differ by ``floor(length * error_rate)``
+    edits; items too short for one must stand unchanged and as whole words. A ``min_piece`` above 1 asks for less: as
+    many edits only as leave pieces of that length. Texts are searched whole.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
