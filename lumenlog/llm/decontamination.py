@@ -105,6 +105,11 @@ class ItemBlock:
         for i, starts in spots.items():
             item, k = self.texts[i], self.errors[i]
             m, best = len(item), None
+            if k == 0:  # every hit is the item: the first that stands alone
+                alone = _first_alone(clean, item, starts)
+                if alone is not None:
+                    out += [(item_id, 0, alone, alone + m) for item_id in self.by_text[item]]
+                continue
             windows: list[list[int]] = []  # where the item could lie, overlapping windows joined
             for s in sorted(starts):
                 lo, hi = max(0, s - k), min(len(clean), s + m + k)
@@ -113,24 +118,26 @@ class ItemBlock:
                 else:
                     windows.append([lo, hi])
             for lo, hi in windows:
-                if m <= 2:  # too short for errors: a plain hit, standing alone
-                    whole = re.search(rf"(?<!\w){re.escape(item)}(?!\w)", clean[lo : hi + 1])
-                    found = (0, whole.end()) if whole else None
-                else:
-                    found = myers_search(self.masks[i], m, clean[lo:hi], k)
+                found = myers_search(self.masks[i], m, clean[lo:hi], k)
                 if found and (best is None or found[0] < best[0]):
                     best = (found[0], lo, lo + found[1])
             if best:
                 distance, lo, end = best
                 # the start: the same search backwards from the end
-                back = myers_search(self.reversed_masks[i], m, clean[lo:end][::-1], distance) if m > 2 else None
+                back = myers_search(self.reversed_masks[i], m, clean[lo:end][::-1], distance)
                 start = end - (back[1] if back else m)
-                if k == 0 and not _stands_alone(clean, start, end):
-                    continue
                 out += [(item_id, distance, start, end) for item_id in self.by_text[item]]
         return out
 
 
+def _first_alone(text: str, item: str, starts: set[int]) -> int | None:
+    """The first of the item's ``starts`` where it is no part of a longer word."""
+    if len(item) <= 2:  # an underscore beside so short an item is part of its word too
+        whole = re.search(rf"(?<!\w){re.escape(item)}(?!\w)", text)
+        return whole.start() if whole else None
+    return next((s for s in sorted(starts) if _stands_alone(text, s, s + len(item))), None)
+
+
 def _stands_alone(text: str, start: int, end: int) -> bool:
     """A match without room for errors is no part of a longer word."""
     inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
