@@ -4,7 +4,9 @@ A document is the set of its five-word shingles; equal sets are one class, so ex
 in a join. Classes descend independent trees: a node's key picks one minwise token (now and then a
 second one, 1 / threshold on average) and a class moves to the child that its value of that token names.
 Pairs at the threshold then survive a level in expectation once, less similar ones die out. A node of
-few classes is compared exhaustively; larger ones branch again.
+few classes is compared exhaustively, as is a larger one in pairs of blocks; still larger ones branch
+again, as long as that makes the blocks fewer. Branching loses pairs, so classes of nodes that branched
+get further trees, until a pair at the threshold is missed with probability ``MISS`` at most.
 
 Two rounds keep what is shipped small. First, signatures of one byte a token descend the trees, and
 pairs whose estimated similarity is within some four deviations of the threshold are joined to clusters.
@@ -31,12 +33,13 @@ from lumenlog.plans.graph import components
 
 WORDS = 5
 TOKENS = 128  # minwise tokens of a signature
-MISS = 3e-7  # of a pair at the threshold: the probability that the first nodes of all trees part it
-CLUSTER_TREES = 2  # for each of the first trees: clusters go deeper
+MISS = 3e-7  # of a pair at the threshold: the probability that all trees part it, at the depth they reach
 NODE = 1024  # classes compared exhaustively
 NODE_SHINGLES = 3_000_000
+FEW = 16  # classes compared exhaustively whatever their shingles
+WHOLE = 16  # blocks up to which a node is compared in pairs of blocks at once
 MAX_DEPTH = 40
-BLOCK = 256
+BLOCK = 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +98,21 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
         return _mixed(best)
 
 
-def trees_for(threshold: float) -> int:
-    """Trees of two tokens each at once that a pair at the threshold misses with probability ``MISS`` at most: 12 at 0.85, 15 at 0.8."""
-    return ceil(log(MISS) / log1p(-(threshold**2)))
+def survival(threshold: float, depth: int) -> float:
+    """The probability that some leaf ``depth`` levels below a node of both has a pair at the threshold."""
+    alive = 1.0
+    for _ in range(depth):
+        hit = threshold * alive
+        alive = hit + (1 / threshold - 1) * hit * (1 - hit)  # one token, or two by the coin
+    return alive
+
+
+def trees_for(threshold: float, depth: int = 0) -> int:
+    """Trees of two tokens at once and ``depth`` levels that a pair at the threshold misses with probability ``MISS`` at most.
+
+    Without further levels 12 at 0.85 and 15 at 0.8.
+    """
+    return ceil(log(MISS) / log1p(-(threshold**2) * survival(threshold, depth)))
 
 
 def _roots(tokens: np.ndarray, trees: int) -> np.ndarray:
@@ -143,26 +158,51 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(stored(sizes, "node-sizes"), "key")
 
 
-def _fits() -> Column:
-    return (F.col("members") <= NODE) & (F.col("total") <= NODE_SHINGLES)
+def _blocks(by_shingles: bool) -> Column:
+    """Blocks of a node, each pair of which one task can compare; 1: the node as a whole."""
+    members = F.col("members")
+    if not by_shingles:
+        return F.when(members <= NODE, 1).otherwise(F.ceil(members / BLOCK)).cast("int")
+    whole = (members <= FEW) | ((members <= NODE) & (F.col("total") <= NODE_SHINGLES))
+    # a pair of blocks holds about NODE_SHINGLES, or FEW classes
+    heavy = F.least(F.ceil(F.col("total") * 2 / NODE_SHINGLES), F.ceil(members * 2 / FEW))
+    return F.when(whole, 1).otherwise(F.greatest(F.ceil(members / BLOCK), heavy)).cast("int")
+
+
+def _in_blocks(nodes: DataFrame) -> DataFrame:
+    """Leaves (key, cls): nodes of one block as they are, of the others each pair of blocks."""
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    paired = (
+        nodes.where("blocks > 1")
+        .withColumn("own", own)
+        .select("key", "cls", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cls")
+    )
+    return nodes.where("blocks = 1").select("key", "cls").unionAll(paired)
 
 
-def descend(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Leaves (key, cls) of the trees whose present nodes are ``nodes`` (key, cls, n); single classes drop out.
+def descend(nodes: DataFrame, classes: DataFrame, threshold: float, by_shingles: bool) -> tuple[DataFrame, int, DataFrame | None]:
+    """Leaves (key, cls) of the trees whose present nodes are ``nodes`` (key, cls, n), the depth of the deepest, and
+    the classes (cls) of the nodes that branched. Single classes drop out.
 
-    Nodes that stay large after ``MAX_DEPTH`` levels hold classes that no token tells apart. They are compared
-    exhaustively too, each pair of blocks of classes as a leaf of its own.
+    A node of at most ``WHOLE`` blocks is compared in pairs of blocks. Larger ones branch while their children make
+    fewer rows of blocks than they do: classes that no token tells apart would only multiply. ``by_shingles`` bounds
+    the shingles of a leaf too; signatures are of one size.
     """
-    leaves: DataFrame | None = None
-    open_ = stored(_sized(nodes), "nodes")
-    for depth in range(MAX_DEPTH + 1):
-        done = open_.where(_fits()).select("key", "cls")
-        leaves = done if leaves is None else leaves.unionAll(done)
-        large = open_.where(~_fits())
-        if large.isEmpty():
-            return leaves
-        if depth == MAX_DEPTH:
-            break
+
+    def sized(level: DataFrame) -> DataFrame:
+        return stored(_sized(level).withColumn("blocks", _blocks(by_shingles)), "nodes")
+
+    def rows(level: DataFrame) -> int:
+        return level.agg(F.sum("blocks")).first()[0] or 0
+
+    open_ = sized(nodes)
+    leaves = _in_blocks(open_.where(F.col("blocks") <= WHOLE))
+    large, branched = open_.where(F.col("blocks") > WHOLE), None
+    cost = rows(large)
+    for depth in range(MAX_DEPTH):
+        if not cost:
+            return leaves, depth, branched
         coin = F.pmod(F.xxhash64("key", F.lit("coin")), F.lit(1 << 20)) < F.lit(int((1 / threshold - 1) * (1 << 20)))
         first = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(TOKENS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("key", F.lit("second")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
@@ -172,16 +212,40 @@ def descend(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             .join(classes.select("cls", "sig"), "cls")
             .select(F.xxhash64("key", "token", F.substring("sig", F.col("token") + 1, F.lit(1))).alias("key"), "cls", "n")
         )
-        open_ = stored(_sized(children), "nodes")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") * 4 / NODE_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    pairs = (
-        large.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .select("key", "cls", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cls")
-    )
-    return leaves.unionAll(pairs)
+        below = sized(children)
+        if rows(below) >= cost:
+            return leaves.unionAll(_in_blocks(large)), depth, branched
+        if branched is None:
+            branched = large.select("cls").distinct()
+        leaves = leaves.unionAll(_in_blocks(below.where(F.col("blocks") <= WHOLE)))
+        large = below.where(F.col("blocks") > WHOLE)
+        cost = rows(large)
+    return leaves.unionAll(_in_blocks(large)), MAX_DEPTH, branched
+
+
+def _planted(members: DataFrame, classes: DataFrame, start: int, end: int) -> DataFrame:
+    """First nodes (key, cls, n) of the trees from ``start`` to ``end`` within each group of ``members`` (key, cls, n), two tokens of the signature down."""
+    first = F.pmod(F.xxhash64("tree", F.lit("first")), F.lit(TOKENS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("tree", F.lit("second")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
+    token = [F.substring("sig", at + 1, F.lit(1)) for at in (first, second)]
+    trees = F.explode(F.sequence(F.lit(start), F.lit(end - 1))).alias("tree")
+    started = members.join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "sig", trees)
+    return started.select(F.xxhash64("key", "tree", *token).alias("key"), "cls", "n")
+
+
+def covering_leaves(roots: DataFrame, members: DataFrame, classes: DataFrame, threshold: float, by_shingles: bool) -> DataFrame:
+    """Leaves of the trees with the first nodes ``roots``, and of as many further ones as the depth reached asks for.
+
+    Classes whose nodes all were leaves need none: only those of nodes that branched are planted again, within their
+    group of ``members``.
+    """
+    drawn = trees_for(threshold)
+    leaves, depth, branched = descend(roots, classes, threshold, by_shingles)
+    while branched is not None and (needed := trees_for(threshold, depth)) > drawn:
+        again = members.join(branched, "cls", "left_semi")
+        more, deeper, _ = descend(_planted(again, classes, drawn, needed), classes, threshold, by_shingles)
+        leaves, depth, drawn = leaves.unionAll(more), max(depth, deeper), needed
+    return leaves
 
 
 class _Sets:
@@ -317,21 +381,19 @@ def find_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "classes",
     )
     # a union of six shingles and fewer reaches the threshold only as equal sets, which are one class
-    roots = classes.where(F.col("n") * 100 >= percent).select(F.explode("roots").alias("key"), "cls", "n")
-    clusters = components(candidate_edges(descend(roots, classes, threshold), classes, threshold))
+    used = classes.where(F.col("n") * 100 >= percent)
+    roots = used.select(F.explode("roots").alias("key"), "cls", "n")
+    all_ = used.select(F.lit(0).cast("long").alias("key"), "cls", "n")
+    clusters = components(candidate_edges(covering_leaves(roots, all_, classes, threshold, False), classes, threshold))
     member = clusters.join(classes.select(F.col("cls").alias("node"), "n"), "node").select(
         F.xxhash64("root").alias("key"), F.col("node").alias("cls"), "n"
     )
-    sized = stored(_sized(member), "clusters")
-    small = sized.where(_fits()).select("key", "cls")
-    large = sized.where(~_fits()).select("key", "cls", "n")
-    groups = small
+    sized = stored(_sized(member).withColumn("blocks", _blocks(True)), "clusters")
+    groups = _in_blocks(sized.where(F.col("blocks") <= WHOLE))
+    large = sized.where(F.col("blocks") > WHOLE).select("key", "cls", "n")
     if not large.isEmpty():
-        # as the first trees, these start two tokens down, on others of the signature
-        token = [F.substring("sig", TOKENS // 2 + 1 + 2 * F.col("tree") + i, F.lit(1)) for i in (0, 1)]
-        trees = F.explode(F.sequence(F.lit(0), F.lit(CLUSTER_TREES * trees_for(threshold) - 1))).alias("tree")
-        started = large.join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "sig", trees)
-        groups = small.unionAll(descend(started.select(F.xxhash64("key", "tree", *token).alias("key"), "cls", "n"), classes, threshold))
+        planted = _planted(large, classes, 0, trees_for(threshold))
+        groups = groups.unionAll(covering_leaves(planted, large, classes, threshold, True))
     linked = components(verified_edges(groups, docs, classes, percent))
     named = (
         classes.select("cls", "doc_id")
