@@ -6,6 +6,11 @@ Aho-Corasick automaton; a hit fixes where the item could lie, and Myers' bit-par
 Python's integers as bit vectors of any length, decides. Both sides are lower-cased and runs of white
 space count as one space.
 
+The pieces are the leaves of a tree: a part with k edits is cut in two that may have a and b, with
+a + b + 1 = k, so one of them keeps within its share. A hit climbs from its piece as long as the
+part above lies within its own edits around the hit; the whole item is searched only where all parts
+above a piece held. A match has such a path for each of its ends, so nothing is lost on the way up.
+
 Items are processed in blocks of bounded text size, so what is sent to the tasks never grows with
 the benchmark: each block is one scan of the documents.
 """
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.llm.common import slices, texts_of
 
+KNOWN = 512  # answers a part remembers; passages and phrases come again and again
 SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
 _SPACES = re.compile(r"\s+")
 
@@ -30,11 +36,45 @@ def normalise(text: str | None) -> str:
     return _SPACES.sub(" ", (text or "").lower()).strip()
 
 
-def pieces(item: str, errors: int) -> list[tuple[int, str]]:
-    """(offset, piece) of ``errors`` + 1 parts of nearly equal length."""
-    n = errors + 1
-    cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+class Part:
+    """A part of an item: its place, the edits it may have, and the part it was cut from."""
+
+    __slots__ = ("start", "end", "errors", "above", "masks", "known")
+
+    def __init__(self, start: int, end: int, errors: int, above: Part | None):
+        self.start, self.end, self.errors, self.above = start, end, errors, above
+        self.masks: dict[str, int] | None = None
+        self.known: dict[str, bool] = {}
+
+    def halves(self) -> tuple[Part, Part]:
+        left = (self.errors - 1) // 2
+        right = self.errors - 1 - left
+        cut = self.start + (self.end - self.start) * (left + 1) // (self.errors + 1)
+        return Part(self.start, cut, left, self), Part(cut, self.end, right, self)
+
+    def holds(self, item: str, text: str, start: int) -> bool:
+        """Whether the part lies, within its edits, where an item starting at about ``start`` would have it."""
+        window = text[max(0, start + self.start - self.errors) : start + self.end + self.errors]
+        if (answer := self.known.get(window)) is None:
+            if self.masks is None:
+                self.masks = pattern_masks(item[self.start : self.end])
+            answer = myers_search(self.masks, self.end - self.start, window, self.errors, first=True) is not None
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[window] = answer
+        return answer
+
+
+def pieces(item: str, errors: int) -> list[tuple[Part, str]]:
+    """The ``errors`` + 1 parts without edits into which the tree of halves cuts ``item``."""
+    parts, leaves = [Part(0, len(item), errors, None)], []
+    while parts:
+        part = parts.pop()
+        if part.errors:
+            parts += part.halves()
+        else:
+            leaves.append((part, item[part.start : part.end]))
+    return leaves
 
 
 def pattern_masks(pattern: str) -> dict[str, int]:
@@ -44,8 +84,11 @@ def pattern_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
-def myers_search(masks: dict[str, int], m: int, text: str, errors: int) -> tuple[int, int] | None:
-    """(distance, end) of the best match of the pattern anywhere in ``text`` within ``errors``; the first on ties."""
+def myers_search(masks: dict[str, int], m: int, text: str, errors: int, first: bool = False) -> tuple[int, int] | None:
+    """(distance, end) of the best match of the pattern anywhere in ``text`` within ``errors``; the first on ties.
+
+    With ``first``, of the first match within ``errors``.
+    """
     full, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = full, 0, m, None
     for at, c in enumerate(text):
@@ -64,6 +107,8 @@ def myers_search(masks: dict[str, int], m: int, text: str, errors: int) -> tuple
         mv = ph & xv
         if score <= errors and (best is None or score < best[0]):
             best = (score, at + 1)
+            if first or not score:
+                break
     return best
 
 
@@ -82,10 +127,10 @@ class ItemBlock:
         self.reversed_masks = [pattern_masks(t[::-1]) for t in self.texts]
         # the slack keeps a product like 0.29 * 100 from falling below its whole number
         self.errors = [min(int(len(t) * error_rate + 1e-9), max(0, len(t) // min_piece - 1)) for t in self.texts]
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, Part]]] = {}
         for i, (t, k) in enumerate(zip(self.texts, self.errors, strict=True)):
-            for offset, piece in pieces(t, k):
-                places.setdefault(piece, []).append((i, offset))
+            for part, piece in pieces(t, k):
+                places.setdefault(piece, []).append((i, part))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -99,8 +144,10 @@ class ItemBlock:
             return []
         spots: dict[int, set[int]] = {}
         for last, (size, where) in self.automaton.iter(clean):
-            for i, offset in where:
-                spots.setdefault(i, set()).add(last + 1 - size - offset)
+            for i, piece in where:
+                start = last + 1 - size - piece.start
+                if start not in spots.get(i, ()) and self._climbs(i, piece, clean, start):
+                    spots.setdefault(i, set()).add(start)
         out = []
         for i, starts in spots.items():
             item, k = self.texts[i], self.errors[i]
@@ -129,6 +176,15 @@ class ItemBlock:
                 out += [(item_id, distance, start, end) for item_id in self.by_text[item]]
         return out
 
+    def _climbs(self, i: int, piece: Part, text: str, start: int) -> bool:
+        """Whether every part above a piece, but for the item itself, holds around its hit."""
+        part = piece.above
+        while part is not None and part.above is not None:
+            if not part.holds(self.texts[i], text, start):
+                return False
+            part = part.above
+        return True
+
 
 def _first_alone(text: str, item: str, starts: set[int]) -> int | None:
     """The first of the item's ``starts`` where it is no part of a longer word."""
