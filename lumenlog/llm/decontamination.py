@@ -29,11 +29,10 @@ from lumenlog.llm.common import slices, texts_of
 
 KNOWN = 512  # answers a part remembers; passages and phrases come again and again
 SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
-_SPACES = re.compile(r"\s+")
 
 
 def normalise(text: str | None) -> str:
-    return _SPACES.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 class Part:
