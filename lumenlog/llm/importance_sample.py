@@ -17,7 +17,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +29,59 @@ from lumenlog.llm.common import slices, stored, texts_of
 BUCKETS = 10_000
 LEAST_WORDS = 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of UTF-8: every character from U+0080 on belongs to a word
+GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
+WORD_BYTE = np.array([WORD.match(bytes([b])) is not None for b in range(256)])
 SENTINEL = b"\x00"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-AT_ONCE = 200_000  # words in memory
+AT_ONCE = 1 << 20  # bytes whose words are in memory
 SLICE = 2 << 20
+LONG = 64  # bytes of a space and a word from which on a pair's checksum is computed by itself
 
 
 def feature_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(text, bucket, words) of all features of a batch, some words at a time; the first ``words`` of each are the words themselves."""
+    """(text, bucket, words) of all features of a batch, some bytes at a time; the first ``words`` of each are the words themselves."""
     coded = [t.encode().translate(LOWER) for t in texts]
     offsets = np.cumsum([0, *(len(c) + len(SENTINEL) for c in coded)])
-    found = WORD.finditer(SENTINEL.join(coded))
-    last: list[tuple[int, bytes]] = []  # the word before, for the pair over the cut
-    while part := [(m.start(), m.group()) for m in islice(found, AT_ONCE)]:
-        new, part = len(part), last + part
-        last = part[-1:]
-        number: dict[bytes, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for _, w in part], dtype=np.int64)
-        text = np.searchsorted(offsets, np.array([at for at, _ in part]), side="right") - 1
-        words = list(number)
-        sums = [zlib.crc32(w) for w in words]
+    joined = SENTINEL.join(coded)
+    is_word = WORD_BYTE[np.frombuffer(joined, dtype=np.uint8)]
+    at, last, last_text = 0, [], np.zeros(0, dtype=np.int64)  # the word before, for the pair over the cut
+    while at < len(joined):
+        gap = GAP.search(joined, at + AT_ONCE)
+        end = gap.end() if gap else len(joined)
+        found = WORD.findall(joined, at, end)
+        starts = at + np.flatnonzero(is_word[at:end] & ~np.r_[False, is_word[at : end - 1]])
+        new, at = len(found), end
+        if not new:
+            continue
+        text = np.r_[last_text, np.searchsorted(offsets, starts, side="right") - 1]
+        names = pa.array(last + found, pa.binary()).dictionary_encode()
+        last, last_text = found[-1:], text[-1:]
+        words, ids = names.dictionary.to_pylist(), names.indices.to_numpy()
+        sums = np.array([zlib.crc32(w) for w in words], dtype=np.uint32)
         same = text[1:] == text[:-1]
-        pairs, which = np.unique(ids[:-1][same] * len(words) + ids[1:][same], return_inverse=True)
-        of_pair = [zlib.crc32(b" " + words[p % len(words)], sums[p // len(words)]) % BUCKETS for p in pairs.tolist()]
-        of_word = np.array(sums, dtype=np.int64) % BUCKETS
-        buckets = np.r_[of_word[ids[-new:]], np.array(of_pair, dtype=np.int64)[which]]
-        yield np.r_[text[-new:], text[1:][same]], buckets, new
+        of_pair = pair_checksums(words, sums, ids[:-1][same], ids[1:][same])
+        yield np.r_[text[-new:], text[1:][same]], (np.r_[sums[ids[-new:]], of_pair] % BUCKETS).astype(np.int64), new
+
+
+@lru_cache(1)
+def shifts() -> np.ndarray:
+    """What appending n bytes does to each byte of a checksum: a checksum is linear, so the four parts add up by xor."""
+    zeros = [bytes(n) for n in range(LONG)]
+    part = lambda z, at: [zlib.crc32(z, value << 8 * at) ^ zlib.crc32(z) for value in range(256)]
+    return np.array([[part(z, at) for at in range(4)] for z in zeros], dtype=np.uint32)
+
+
+def pair_checksums(words: list[bytes], sums: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Checksums of ``words[left] + b" " + words[right]`` from those of the parts."""
+    spaced = np.array([zlib.crc32(b" " + w) for w in words], dtype=np.uint32)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    first, n = sums[left], np.minimum(size[right], LONG - 1)
+    out, table = spaced[right], shifts()
+    for at in range(4):
+        out = out ^ table[n, at, (first >> np.uint32(8 * at)) & np.uint32(255)]
+    for i in np.flatnonzero(size[right] >= LONG).tolist():  # long words one by one
+        out[i] = zlib.crc32(b" " + words[right[i]], int(first[i]))
+    return out
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:

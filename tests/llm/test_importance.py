@@ -39,11 +39,11 @@ def brute(docs, targets):
 
 
 def test_features_of_a_batch(monkeypatch):
-    """Word by word as one by one, whatever the number of words in memory."""
+    """Word by word as one by one, whatever the number of bytes at a time."""
     rng = random.Random(5)
-    texts = ["", "x", "\x00", "É é\x00B", "a\x00b", "\x7f\x80 `{", *(" ".join(rng.choice(["ab", "Cd", "ü", "1", "-", "e\nf"]) for _ in range(rng.randint(0, 30))) for _ in range(60))]
+    texts = ["", "x", "\x00", "É é\x00B", "a\x00b", "\x7f\x80 `{", *(" ".join(rng.choice(["ab", "Cd", "ü", "1", "-", "e\nf", "w" * 62, "v" * 63, "u" * 64, "t" * 200]) for _ in range(rng.randint(0, 30))) for _ in range(60))]
     want = Counter((i, zlib.crc32(f.encode()) % 10_000) for i, t in enumerate(texts) for f in features(t)[1])
-    for size in (1, 2, 7, 100_000):
+    for size in (0, 1, 2, 7, 100_000):
         monkeypatch.setattr(I, "AT_ONCE", size)
         parts = list(I.feature_buckets(texts))
         assert Counter((i, b) for text, bucket, _ in parts for i, b in zip(text.tolist(), bucket.tolist(), strict=True)) == want
