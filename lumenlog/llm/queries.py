@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import chat_windows, decontamination, importance_sample, language_id, line_dedup, near_dups, page_text, piece_codec, posting_ann, secret_scan, token_counts, word_runs
+from lumenlog.llm import chat_windows, decontamination, gray_index, importance_sample, language_id, line_dedup, near_dups, page_text, piece_codec, posting_ann, secret_scan, token_counts, word_runs
 from lumenlog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_importance_sample"] = importance_sample.ORACLE
 
 
+@query
+def op12_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gray_index.find_similar(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest_runs(table(spark, sf_dir, "documents"))
