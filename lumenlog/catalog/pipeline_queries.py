@@ -12,7 +12,7 @@ from lumenlog.operators import embedding, incidents, validation
 from lumenlog.schema import EMBEDDED_EVENT, EMBEDDING_PROGRESS, REQUIRED_EMBEDDED, WIDE_EVENT
 from lumenlog.session import fresh_path
 from lumenlog.sources import events as src
-from lumenlog.streaming import pipelines
+from lumenlog.streaming import pipelines, session_history
 
 W = ("wide_events",)
 FLAT = f"SELECT request_id, event_ts, service, route, user_id, {q.ROLE} AS user_role, error_code, coalesce(duration_ms, -1) AS duration_ms FROM wide_events"
@@ -372,6 +372,46 @@ def _(spark, sf):
     return spark.read.parquet(path).select(F.col("sessionId").alias("session_id"), F.col("startedAt").alias("started_at"), "turns")
 
 
+# Turns of the last two hours of a batch with an even pair number come one batch late, within the three hours of lateness.
+@query(
+    "i6_session_history",
+    f"""WITH g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM chat_history
+      WINDOW w AS (PARTITION BY session_id ORDER BY created_at, turn)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY created_at, turn) AS no FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id, no ORDER BY created_at DESC, turn DESC) AS age FROM s)
+    SELECT session_id, min(created_at) AS started_at, max(created_at) AS last_at, count(*) AS turns,
+      string_agg(turn::VARCHAR || ': ' || question || ' -> ' || answer, chr(10) ORDER BY age DESC) FILTER (age <= 2) AS history,
+      max(created_at) + INTERVAL 30 MINUTE < {CLOSED.format('created_at', 'chat_history').replace('10 MINUTE', '3 HOUR')} AS closed
+    FROM r GROUP BY session_id, no""",
+    ("chat_history",),
+)
+def _(spark, sf):
+    path, checkpoints = fresh_path(spark, "sessions"), []
+    history = fx.history(spark, sf).select("sessionId", "createdAt", "turn", "question", "answer")
+    first, second, third = _in_time_order(history, "createdAt")
+
+    def split(part):
+        held = F.col("createdAt") > F.lit(part.agg(F.max("createdAt")).first()[0]) - F.expr("INTERVAL 2 HOURS")
+        held = held & (F.col("turn") % 4 == 0)
+        return part.filter(~held), part.filter(held)
+
+    (first, late1), (second, late2) = split(first), split(second)
+
+    def start(stream, checkpoint):
+        checkpoints.append(checkpoint)
+        return pipelines.to_table(session_history.session_history(stream, keep=2, lateness="3 hours"), path, checkpoint)
+
+    with session_history.rocksdb(spark):
+        _staged(spark, [first, second.unionByName(late1), third.unionByName(late2)], start)
+    closed = spark.read.parquet(path).withColumn("closed", F.lit(True))
+    rows = closed.unionByName(session_history.open_sessions(spark, checkpoints[-1], keep=2).withColumn("closed", F.lit(False)))
+    line = lambda t: F.concat(t["turn"].cast("string"), F.lit(": "), t["question"], F.lit(" -> "), t["answer"])
+    return rows.select(
+        F.col("sessionId").alias("session_id"), F.col("startedAt").alias("started_at"), F.col("lastAt").alias("last_at"), "turns",
+        F.array_join(F.transform("history", line), "\n").alias("history"), "closed",
+    )
+
+
 @query("i7_incremental_embedding", f"SELECT event_id, {q.DUAL} AS summary FROM wide_events", W)
 def _(spark, sf):
     table = fresh_path(spark, "embedded")
