@@ -10,6 +10,7 @@ from lumenlog.operators import audits, filters, incidents, metrics, sampling
 from lumenlog.operators.embedding import advance_mark
 from lumenlog.operators.filters import QueryMetadata
 from lumenlog.operators.metrics import MetricParams
+from lumenlog.session import materialize
 
 W = ("wide_events",)
 ROLE = "CASE WHEN user_id IS NULL THEN NULL WHEN user_role_raw IN ('admin','user','premium','guest') THEN user_role_raw ELSE 'guest' END"
@@ -546,6 +547,73 @@ def _(spark, sf):
     )
 
 
+# Windows of two days every twelve hours, from four errors on; merged where they overlap or touch.
+STRETCHES = """x AS (SELECT time_bucket(INTERVAL 12 HOUR, event_ts) - i * INTERVAL 12 HOUR AS ws, service, route, error_code
+      FROM wide_events, generate_series(0, 3) g(i) WHERE error_code IS NOT NULL),
+    win AS (SELECT ws, service, route, error_code, count(*) AS errors FROM x GROUP BY 1, 2, 3, 4 HAVING count(*) > 3),
+    isl AS (SELECT *, sum(fresh) OVER (PARTITION BY service, route, error_code ORDER BY ws) AS no FROM
+      (SELECT *, CASE WHEN ws <= lag(ws) OVER (PARTITION BY service, route, error_code ORDER BY ws) + INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM win)),
+    inc AS (SELECT service, route, error_code, min(ws) AS started_at, max(ws) + INTERVAL 2 DAY AS ended_at, count(*) AS windows, max(errors) AS peak_errors,
+      CASE WHEN max(errors) >= 12 THEN 'critical' WHEN max(errors) >= 6 THEN 'major' ELSE 'minor' END AS severity,
+      service || '|' || route || '|' || error_code || '|' || strftime(min(ws), '%Y-%m-%dT%H:%M') AS incident_id FROM isl GROUP BY service, route, error_code, no)"""
+
+
+def _stretches(spark, sf):
+    windows = incidents.incidents(fx.events(spark, sf), "2 days", "12 hours", 3)
+    return materialize(incidents.incident_stretches(windows, 3), "incidents")  # few rows, read several times
+
+
+@query("i4_incident_stretches", f"WITH {STRETCHES} SELECT incident_id, started_at, ended_at, windows, peak_errors, severity FROM inc", W)
+def _(spark, sf):
+    return _stretches(spark, sf).select(
+        F.col("incidentId").alias("incident_id"), F.col("startedAt").alias("started_at"), F.col("endedAt").alias("ended_at"),
+        "windows", F.col("peakErrors").alias("peak_errors"), "severity",
+    )
+
+
+@query(
+    "i4_incident_impact",
+    f"""WITH {STRETCHES}, met AS (SELECT incident_id, request_id, user_id, event_ts, coalesce(w.error_code = i.error_code, FALSE) AS failed
+      FROM wide_events w JOIN inc i ON w.service = i.service AND w.route = i.route AND event_ts >= started_at AND event_ts < ended_at),
+    f AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY event_ts, request_id) AS no FROM met WHERE failed)
+    SELECT m.incident_id, count(*) AS requests, count(*) FILTER (failed) AS errors, count(DISTINCT user_id) FILTER (failed) AS users,
+      min(event_ts) FILTER (failed) AS first_at, max(event_ts) FILTER (failed) AS last_at, count(*) FILTER (failed) * 100.0::DOUBLE / count(*) AS error_rate,
+      any_value(traces) AS traces
+    FROM met m JOIN (SELECT incident_id, string_agg(request_id, ',' ORDER BY no) AS traces FROM f WHERE no <= 3 GROUP BY 1) t ON t.incident_id = m.incident_id GROUP BY 1""",
+    W,
+)
+def _(spark, sf):
+    return incidents.incident_impact(fx.events(spark, sf), _stretches(spark, sf), 86_400).select(
+        F.col("incidentId").alias("incident_id"), "requests", "errors", "users", F.col("firstAt").alias("first_at"),
+        F.col("lastAt").alias("last_at"), F.col("errorRate").alias("error_rate"), F.array_join("relatedTraces", ",").alias("traces"),
+    )
+
+
+@query(
+    "e20_system_briefing",
+    f"""WITH {STRETCHES}, c AS (SELECT CAST(event_ts AS DATE) AS day, error_code, count(*) AS n FROM wide_events GROUP BY 1, 2),
+    d AS (SELECT day, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (error_code IS NOT NULL), 0)::BIGINT AS failed FROM c GROUP BY 1),
+    r AS (SELECT *, failed * 100.0::DOUBLE / total AS error_rate, failed * 100.0::DOUBLE / total - lag(failed * 100.0::DOUBLE / total) OVER (ORDER BY day) AS rate_change FROM d),
+    m AS (SELECT c.day, c.error_code, c.n, c.n - coalesce(b.n, 0) AS change FROM c LEFT JOIN c b ON b.day = c.day - INTERVAL 1 DAY AND b.error_code = c.error_code WHERE c.error_code IS NOT NULL),
+    h AS (SELECT CAST(event_ts AS DATE) AS day, i.error_code, incident_id, severity, count(*) AS n FROM wide_events w JOIN inc i
+      ON w.service = i.service AND w.route = i.route AND w.error_code = i.error_code AND event_ts >= started_at AND event_ts < ended_at GROUP BY 1, 2, 3, 4),
+    s AS (SELECT day, 'code' AS section, row_number() OVER (PARTITION BY day ORDER BY n DESC, error_code) AS k, error_code, NULL AS incident_id, NULL AS severity, n, change FROM m
+      UNION ALL SELECT day, 'trend', row_number() OVER (PARTITION BY day ORDER BY change DESC, error_code), error_code, NULL, NULL, n, change FROM m WHERE change > 0
+      UNION ALL SELECT day, 'incident', row_number() OVER (PARTITION BY day ORDER BY n DESC, incident_id), error_code, incident_id, severity, n, NULL FROM h)
+    SELECT r.day::VARCHAR AS day, total, failed, error_rate, coalesce(rate_change, 0) AS rate_change, coalesce(section, '') AS section, coalesce(k, 0) AS section_rank, coalesce(error_code, '') AS error_code,
+      coalesce(incident_id, '') AS incident_id, coalesce(severity, '') AS severity, coalesce(n, 0) AS errors, coalesce(change, 0) AS change
+    FROM r LEFT JOIN (SELECT * FROM s WHERE k <= 3) s ON s.day = r.day""",
+    W,
+)
+def _(spark, sf):
+    out = incidents.system_briefing(fx.events(spark, sf), _stretches(spark, sf), cell_seconds=86_400)
+    texts, numbers = ("section", "errorCode", "incidentId", "severity"), ("rank", "errors", "change")
+    filled = out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in numbers})
+    return filled.withColumns({"rateChange": F.coalesce("rateChange", F.lit(0.0)), "day": F.col("day").cast("string")}).toDF(
+        "day", "total", "failed", "error_rate", "rate_change", "section", "section_rank", "error_code", "incident_id", "severity", "errors", "change"
+    )
+
+
 @query(
     "i5_tumbling_metrics",
     """SELECT date_trunc('hour', event_ts) AS window_start, service, count(*) AS total, count(error_code) AS errors,
