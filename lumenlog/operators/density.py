@@ -5,10 +5,14 @@ A vector is a core when at least ``min_points`` vectors, itself included, are at
 the smallest-numbered cluster of the cores similar to it, or is noise.
 
 Pairs are found exactly without comparing all: unit vectors lie at Euclidean distance
-``sqrt(2 - 2 cos)``, each goes to the cell of its nearest pivot, and by the triangle inequality
+``sqrt(2 - 2 cos)``, each is at home in the cell of its nearest pivot, and by the triangle inequality
 every similar vector of its own is within twice the radius of being as near to that pivot. So a
-cell gets those as guests and each vector sees all its neighbours in its own cell. Groups hand on
-counts and star edges, never pairs.
+cell gets those as guests and each vector sees all its neighbours in its own cell.
+
+A cell is compared in tiles: its own vectors and its guests are cut into blocks of about ``block_rows``,
+and every own block meets every guest block in a group of its own. So no group holds more than two
+blocks, whatever the threshold, the number of guests or the share of the table in one cell. Tiles hand on
+counts, which are summed, and star edges, which are merged by components, never pairs.
 """
 
 from __future__ import annotations
@@ -24,16 +28,157 @@ from lumenlog.plans.graph import components
 from lumenlog.session import materialize
 
 MAX_PIVOTS = 1024
-CELL_ROWS = 256  # vectors per pivot aimed at
-BLOCK_ROWS = 2048  # members of a cell that one task has as its own
+BLOCK_ROWS = 2048  # own vectors, and guests, of a tile
+BATCH_ROWS = 2048  # vectors placed at once
 _SLACK = 1e-6
+TILE = "cell int, own_block int, guest_block int, own boolean, id long, core boolean, v array<double>"
+
+
+class Cells:
+    """Pivots and reach: where a unit vector is at home and where it is a guest."""
+
+    def __init__(self, pivots: np.ndarray, min_similarity: float):
+        self.pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+        self.reach = 2 * np.sqrt(max(0.0, 2 - 2 * min_similarity)) + _SLACK
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell of each row, rows and cells of all guests); a vector is a guest at home too."""
+        far = np.sqrt(np.maximum(0, 2 - 2 * x @ self.pivots.T))
+        row, cell = np.nonzero(far <= far.min(1, keepdims=True) + self.reach)
+        return far.argmin(1), row, cell
+
+
+def _unit(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
 
-def density_clusters(vectors: DataFrame, min_similarity: float, min_points: int, id_col: str = "eventId") -> DataFrame:
+
+def cell_sizes(vectors: DataFrame, cells) -> DataFrame:
+    """(cell, own, guests): one row per cell; ``cells`` is a broadcast :class:`Cells`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(cells.value.pivots)
+        own, guests = np.zeros(n, "int64"), np.zeros(n, "int64")
+        for batch in _slices(batches):
+            home, _, cell = cells.value.place(_unit(batch))
+            own += np.bincount(home, minlength=n)
+            guests += np.bincount(cell, minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype="int32")), pa.array(own), pa.array(guests)], ["cell", "own", "guests"])
+
+    counted = vectors.select("id", "v").mapInArrow(run, "cell int, own long, guests long")
+    return counted.groupBy("cell").agg(F.sum("own").alias("own"), F.sum("guests").alias("guests"))
+
+
+def tiles(vectors: DataFrame, cells, sizes: dict[int, tuple[int, int]], block_rows: int, cores_only: bool) -> DataFrame:
+    """The rows of all tiles of (id, core, v): an own row once per guest block of its cell, a guest once per own block.
+
+    With ``cores_only`` only cores are guests.
+    """
+    blocks = {c: (max(1, -(-own // block_rows)), max(1, -(-guests // block_rows))) for c, (own, guests) in sizes.items() if own}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(cells.value.pivots)
+        own_blocks, guest_blocks = np.ones(n, "int64"), np.ones(n, "int64")
+        for c, (o, g) in blocks.items():
+            own_blocks[c], guest_blocks[c] = o, g
+        held = np.array([c in blocks for c in range(n)])
+        for batch in _slices(batches):
+            x = _unit(batch)
+            ids = batch["id"].to_numpy()
+            core = batch["core"].to_numpy(zero_copy_only=False)
+            mix = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            home, row, cell = cells.value.place(x)
+            wanted = held[cell] & (core[row] | (not cores_only))
+            row, cell = row[wanted], cell[wanted]
+            parts = []
+            for own, r, c, times, mine in (
+                (True, np.arange(len(x)), home, guest_blocks, own_blocks),
+                (False, row, cell, own_blocks, guest_blocks),
+            ):
+                if not len(r):
+                    continue
+                block, copies = (mix[r] % mine[c].astype("uint64")).astype("int64"), times[c]
+                other = np.concatenate([np.arange(k) for k in copies])
+                r, c, block = np.repeat(r, copies), np.repeat(c, copies), np.repeat(block, copies)
+                parts.append((r, c, block, other, own) if own else (r, c, other, block, own))
+            for r, c, own_block, guest_block, own in parts:
+                for at in range(0, len(r), 4 * BATCH_ROWS):
+                    s = slice(at, at + 4 * BATCH_ROWS)
+                    v = pa.FixedSizeListArray.from_arrays(pa.array(x[r[s]].ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                    columns = [pa.array(a[s].astype("int32")) for a in (c, own_block, guest_block)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(np.full(len(r[s]), own)), pa.array(ids[r[s]]), pa.array(core[r[s]]), v],
+                        [f.split()[0] for f in TILE.split(", ")],
+                    )
+
+    return vectors.select("id", "core", "v").mapInArrow(run, TILE)
+
+
+def _similar(mine: np.ndarray, guests: np.ndarray, min_similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    for start in range(0, len(mine), 512):
+        yield start, np.round(mine[start : start + 512] @ guests.T, 12) >= min_similarity
+
+
+def _sides(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, cores, vectors) of the own side and the guests of a tile."""
+    own = table["own"].to_numpy(zero_copy_only=False)
+    out = []
+    for rows in (np.flatnonzero(own), np.flatnonzero(~own)):
+        part = table.take(pa.array(rows)).combine_chunks()
+        flat = part["v"].combine_chunks().flatten() if part.num_rows else pa.array([], pa.float64())
+        x = flat.to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 1))
+        out.append((part["id"].to_numpy(), part["core"].to_numpy(zero_copy_only=False), x))
+    return out
+
+
+def _count(table: pa.Table, min_similarity: float) -> pa.Table:
+    (ids, _, x), (_, _, guests) = _sides(table)
+    found = np.zeros(len(ids), "int64")
+    if len(guests):
+        for start, hit in _similar(x, guests, min_similarity):
+            found[start : start + 512] = hit.sum(1)
+    return pa.table({"id": pa.array(ids, pa.int64()), "neighbours": pa.array(found)})
+
+
+def _link(table: pa.Table, min_similarity: float) -> pa.Table:
+    """Stars over the linked cores of a tile, and of each own vector that is no core one row per star it touches."""
+    (ids, core, x), (guest_ids, _, guests) = _sides(table)
+    names, place = np.unique(np.r_[ids[core], guest_ids], return_inverse=True)  # of cores; a guest is one
+    label = np.arange(len(names))
+    mine, theirs = np.full(len(ids), -1), place[core.sum() :]
+    mine[core] = place[: core.sum()]
+    pairs = list(_similar(x, guests, min_similarity)) if len(ids) and len(guests) else []
+    for start, hit in pairs:
+        for i in np.flatnonzero(core[start : start + 512]).tolist():
+            touched = np.unique(np.r_[label[theirs[hit[i]]], label[mine[start + i]]])
+            if len(touched) > 1:
+                label[np.isin(label, touched)] = touched[0]
+    a, b, kind = [names[label]], [names], [np.ones(len(names), bool)]
+    for start, hit in pairs:
+        for i in np.flatnonzero(~core[start : start + 512]).tolist():
+            stars = names[np.unique(label[theirs[hit[i]]])]
+            a.append(stars)
+            b.append(np.full(len(stars), ids[start + i]))
+            kind.append(np.zeros(len(stars), bool))
+    columns = [np.concatenate(c) for c in (a, b, kind)]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "core": pa.array(columns[2], pa.bool_())})
+
+
+def density_clusters(
+    vectors: DataFrame, min_similarity: float, min_points: int, id_col: str = "eventId", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """(id, neighbours, kind, cluster) of every vector; kind is core, border or noise, cluster the smallest core id.
 
     Null and zero vectors, and those of another length than the commonest, have no neighbours and are noise.
-    Ids are expected to be unique. At most ``MAX_PIVOTS`` pivots are sent to the tasks.
+    Ids are expected to be unique. At most ``MAX_PIVOTS`` pivots are sent to the tasks, one per block of vectors; a
+    tile holds about ``block_rows`` vectors on either side. Where the threshold lets no cell be left out, this
+    compares all pairs, in equal tiles.
     """
     spark = vectors.sparkSession
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -42,69 +187,20 @@ def density_clusters(vectors: DataFrame, min_similarity: float, min_points: int,
     none = F.lit(None).cast("long")
     if width is None:
         return source.select("id", F.lit(0).cast("long").alias("neighbours"), F.lit("noise").alias("kind"), none.alias("cluster"))
-    fits = usable & (F.size("v") == width["n"])
-    pivots = min(MAX_PIVOTS, max(1, width["count"] // CELL_ROWS))
-    picked = source.where(fits).orderBy(F.xxhash64("id")).limit(pivots).collect()
-    unit = np.array([r["v"] for r in picked], dtype=float)
-    shared = spark.sparkContext.broadcast(unit / np.linalg.norm(unit, axis=1, keepdims=True))
-    reach = 2 * np.sqrt(max(0.0, 2 - 2 * min_similarity)) + _SLACK
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(start, BLOCK_ROWS)
-                x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                far = np.sqrt(np.maximum(0, 2 - 2 * x @ shared.value.T))
-                home = far.argmin(1)
-                row, cell = np.nonzero(far <= far.min(1, keepdims=True) + reach)
-                vectors = pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype("int32")), pa.array(home[row] == cell), batch["id"].take(pa.array(row)), vectors], ["cell", "own", "id", "v"]
-                )
-
-    placed = materialize(source.where(fits).mapInArrow(place, "cell int, own boolean, id long, v array<double>"), "density-cells")
-    # a cell with many members of its own is worked on in blocks of them, each with all the cell's vectors
-    blocks = placed.where("own").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = placed.join(materialize(blocks, "density-blocks"), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("own", F.col("own") & (F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block"))).drop("blocks")
-
-    def similar(mine: np.ndarray, every: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for start in range(0, len(mine), 512):
-            yield start, np.round(mine[start : start + 512] @ every.T, 12) >= min_similarity
-
-    def matrix(table: pa.Table) -> np.ndarray:
-        return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-
-    def count(table: pa.Table) -> pa.Table:
-        own = np.flatnonzero(table["own"].to_numpy(zero_copy_only=False))
-        x = matrix(table)
-        found = np.concatenate([hit.sum(1) for _, hit in similar(x[own], x)] or [np.zeros(0, "int64")])
-        return pa.table({"id": table["id"].take(pa.array(own)), "neighbours": pa.array(found.astype("int64"))})
-
-    counts = materialize(dealt.groupBy("cell", "block").applyInArrow(count, "id long, neighbours long"), "density-counts")
-    flagged = dealt.join(counts.select("id", (F.col("neighbours") >= min_points).alias("core")), "id")
-
-    def link(table: pa.Table) -> pa.Table:
-        """Stars over the cores of the group, and of each other member one row per star it touches."""
-        ids, core = table["id"].to_numpy(), table["core"].to_numpy(zero_copy_only=False)
-        own, x = np.flatnonzero(table["own"].to_numpy(zero_copy_only=False)), matrix(table)
-        label = np.where(core, ids, np.iinfo("int64").max)
-        edges, border = [], []
-        for start, hit in similar(x[own], x):
-            for i, near in zip(own[start : start + 512], hit & core, strict=True):
-                if core[i]:
-                    touched = np.unique(label[near])
-                    if len(touched) > 1:
-                        label[np.isin(label, touched)] = touched[0]
-        for start, hit in similar(x[own], x):
-            border += [(ids[i], c) for i, near in zip(own[start : start + 512], hit & core, strict=True) if not core[i] for c in np.unique(label[near])]
-        edges = [(a, b) for a, b in zip(label[core].tolist(), ids[core].tolist(), strict=True)]
-        rows = [(a, b, True) for a, b in edges] + [(int(c), int(i), False) for i, c in border]
-        a, b, kind = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "core": pa.array(kind, pa.bool_())})
-
-    links = materialize(flagged.groupBy("cell", "block").applyInArrow(link, "a long, b long, core boolean"), "density-links")
+    fits = source.where(usable & (F.size("v") == width["n"]) & F.col("id").isNotNull())
+    pivots = min(MAX_PIVOTS, max(1, width["count"] // block_rows))
+    picked = fits.orderBy(F.xxhash64("id")).limit(pivots).collect()
+    cells = spark.sparkContext.broadcast(Cells(np.array([r["v"] for r in picked], dtype=float), min_similarity))
+    sizes = {r["cell"]: (r["own"], r["guests"]) for r in cell_sizes(fits, cells).collect()}  # a row per pivot
+
+    key = ["cell", "own_block", "guest_block"]
+    dealt = tiles(fits.withColumn("core", F.lit(False)), cells, sizes, block_rows, False)
+    found = dealt.groupBy(*key).applyInArrow(lambda t: _count(t, min_similarity), "id long, neighbours long")
+    counts = materialize(found.groupBy("id").agg(F.sum("neighbours").alias("neighbours")), "density-counts")
+    flagged = fits.join(counts.select("id", (F.col("neighbours") >= min_points).alias("core")), "id")
+    dealt = tiles(flagged, cells, sizes, block_rows, True)
+    links = dealt.groupBy(*key).applyInArrow(lambda t: _link(t, min_similarity), "a long, b long, core boolean")
+    links = materialize(links.distinct(), "density-links")
     roots = components(links.where("core").select("a", "b"))
     alone = links.where("core AND a = b").select(F.col("a").alias("node")).distinct().join(roots.select("node"), "node", "left_anti")
     labels = roots.unionByName(alone.withColumn("root", F.col("node")))
