@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import slices, texts_of
+from lumenlog.plans.ranks import first_n_per_group
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,6 +40,8 @@ _IMPOSSIBLE = -1e4
 _TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _NAME = re.compile(r"""[A-Za-z_-]+["']?[:=]["']?(?=.)""")
 _WIDTH = 1 << 15
+TRAINED_TOKENS = 400
+_HASHES = 1 << 63
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -227,14 +230,17 @@ def train(examples: list[tuple[list[str], list[int], list[str]]], epochs: int =
 
 
 def _examples(text: str) -> Iterator[tuple[list[str], list[int], list[str]]]:
-    """Labelled lines: all with a match, half of those with long tokens that have digits, a few of the rest."""
+    """Labelled lines: all with a match, half of those with long tokens that have digits, a few of the rest.
+
+    A training line is its first ``TRAINED_TOKENS`` tokens; scanning takes lines whole.
+    """
     spans, at, doc = base_spans(text), 0, None
     for line in text.split("\n"):
         here = [(s[3] - at, s[2] - at) for s in spans if at <= s[3] < at + len(line)]
         pick = zlib.crc32(line.encode())
         if here or (pick % 2 == 0 and re.search(r"\S*\d\S{7}", line)) or pick % 150 == 0:
             tokens, tags = [], []
-            for m in list(_TOKEN.finditer(line))[:400]:
+            for m in list(_TOKEN.finditer(line))[:TRAINED_TOKENS]:
                 hit = [k for k, (s, e) in enumerate(here) if s < m.end() and e > m.start()]
                 begun = any(here[k][0] >= m.start() for k in hit)
                 tokens.append(m.group())
@@ -247,11 +253,20 @@ def _examples(text: str) -> Iterator[tuple[list[str], list[int], list[str]]]:
         at += len(line) + 1
 
 
-def learn_tagger(docs: DataFrame, sample_docs: int = 20_000, max_examples: int = 3_000) -> Tagger | None:
-    """Train on the lines of about ``sample_docs`` documents, picked by a hash of their text, at most ``max_examples`` lines."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(1, total))
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
+def sample_bound(total: int, sample_docs: int) -> int:
+    """The hash below which about ``sample_docs`` of ``total`` documents lie, of hashes from 0 to 2^63 - 1; at least one hash."""
+    return min(_HASHES - 1, max(1, _HASHES * sample_docs // max(1, total)))
+
+
+def learn_tagger(docs: DataFrame, sample_docs: int = 20_000, max_examples: int = 3_000, total: int | None = None) -> Tagger | None:
+    """Train on lines of about ``sample_docs`` documents, picked by a hash of their text out of ``total`` (counted if not given).
+
+    Taken are distinct examples, at most half of ``max_examples`` with a secret and as many without, those of the
+    smallest hashes: copies and a source full of secrets leave no class without examples. Null and empty texts give
+    none; without an example of a secret there is no tagger (None).
+    """
+    bound = sample_bound(docs.count() if total is None else total, sample_docs)
+    picked = docs.where(F.shiftrightunsigned(F.xxhash64("text"), 1) < F.lit(bound)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -262,9 +277,9 @@ def learn_tagger(docs: DataFrame, sample_docs: int = 20_000, max_examples: int =
             )
 
     found = picked.mapInArrow(run, "tokens array<string>, tags array<int>, doc array<string>")
-    # positives first, then by hash: the bound holds whatever the documents are
-    found = found.orderBy(F.array_max("tags").desc(), F.xxhash64("tokens"), F.xxhash64("doc")).limit(max_examples)
-    return train(sorted((list(r["tokens"]), list(r["tags"]), list(r["doc"])) for r in found.collect()))
+    found = found.distinct().withColumn("secret", F.array_max("tags") > 0)
+    best = first_n_per_group(found, ["secret"], [F.xxhash64("tokens", "doc"), F.col("tokens"), F.col("tags"), F.col("doc")], max_examples // 2)
+    return train(sorted((list(r["tokens"]), list(r["tags"]), list(r["doc"])) for r in best.collect()))
 
 
 def _tagged_lines(tagger: Tagger, texts: list[str]) -> dict[int, list[tuple[int, np.ndarray]]]:

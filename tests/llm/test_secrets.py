@@ -79,3 +79,16 @@ def test_edges(spark, docs_of):
     assert len(out) == 5
     assert {r.spans for r in out if r.doc_id in (1, 2)} == {""} and all(r.n_hex == 1 and r.n_assign == 1 for r in out if r.doc_id in (None, 3))
     assert S.learn_tagger(docs_of([])) is None and S.scan_secrets(docs_of([]), None).collect() == []
+
+
+def test_sample_of_any_size(spark, docs_of):
+    """The sample is never empty because the table is large, and copies crowd no class out."""
+    assert 0 < S.sample_bound(10**12, 20_000) and abs(S.sample_bound(10**12, 20_000) / 2**63 * 10**12 / 20_000 - 1) < 1e-3
+    assert S.sample_bound(10**30, 1) == 1 and S.sample_bound(5, 20_000) == S.sample_bound(0, 1) == 2**63 - 1
+    words = "the quick brown fox jumps over lazy dogs and other things".split()
+    secret = [(i, f"password = {hashlib.sha256(str(i % 40).encode()).hexdigest()[:24]}") for i in range(400)]
+    plain = [(1000 + i, " ".join(words[(i + j) % len(words)] for j in range(9)) + f" order{i}4711 x") for i in range(60)]
+    tagger = S.learn_tagger(docs_of(secret + plain), sample_docs=10**12, max_examples=100, total=10**12)
+    assert tagger is not None
+    texts = [t for _, t in plain] + [f"password == {hashlib.sha256(b'new').hexdigest()[:24]}"]
+    assert set(S._tagged_lines(tagger, texts)) == {len(plain)}
