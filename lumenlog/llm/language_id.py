@@ -10,20 +10,19 @@ Chunks keep the gap comparable: a long text would otherwise become its own dicti
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumenlog.llm.common import slices
+from lumenlog.plans.ranks import first_n_per_group
 
 UNDETERMINED = "und"
 FRAME_BYTES = 8  # of a compressed chunk, whatever it holds
 MAX_LANGUAGES = 512
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -38,26 +37,25 @@ def held_out(doc_id):
 def learn_dictionaries(rows: DataFrame, dictionary_bytes: int = 110 << 10, sample_rows: int = 192, max_chars: int = 4000) -> dict[str, bytes]:
     """Raw-content dictionary per language, the language with most rows first.
 
-    Bounded sample: of each language the ``sample_rows`` texts of at most ``max_chars`` code points (of any
-    length where a language has no shorter one) with the smallest text hash, cut to ``dictionary_bytes``. At
-    most ``MAX_LANGUAGES`` languages, so the driver holds some 32 MB at most.
+    Bounded sample: of each language the ``sample_rows`` distinct texts of at most ``max_chars`` code points (of any
+    length where a language has no shorter one) with the smallest text hash, cut to ``dictionary_bytes``. Of more
+    than ``MAX_LANGUAGES`` languages those with the most rows are learned (ties: the smaller name), so the driver
+    holds at most that many times ``sample_rows`` texts. No rows give no dictionary.
     """
-    order = Window.partitionBy("lang").orderBy(F.length("text") > max_chars, F.xxhash64("text"), "text")
-    # distinct before the rank: copies of one text must not fill a dictionary
-    picked = (
-        rows.select("lang", "text")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= sample_rows)
-        .select("lang", "rank", F.substring("text", 1, dictionary_bytes).alias("text"))
-        .toLocalIterator()
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    common = [r["lang"] for r in counted.collect()]
+    if not common:
+        return {}
+    keyed = rows.where(F.col("lang").isin(common)).select(
+        "lang", (F.length("text") > max_chars).alias("long"), F.xxhash64("text").alias("hash"), F.substring("text", 1, dictionary_bytes).alias("text")
     )
+    # copies of one text must not fill a dictionary: distinct hashes are ranked, then their texts fetched
+    ranked = first_n_per_group(keyed.select("lang", "long", "hash").distinct(), ["lang"], [F.col("long"), F.col("hash")], sample_rows)
+    picked = keyed.join(F.broadcast(ranked), ["lang", "long", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     found: dict[str, dict[str, None]] = {}
-    for row in sorted(picked, key=lambda r: (r["lang"], -r["rank"])):
+    for row in sorted(picked.toLocalIterator(), key=lambda r: (r["lang"], -r["rank"])):
         found.setdefault(row["lang"], {})[row["text"]] = None
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"{len(found)} languages; at most {MAX_LANGUAGES} dictionaries are kept")
-    common = rows.where(F.col("lang").isin(list(found))).groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    return {r["lang"]: "\n".join(found[r["lang"]]).lower().encode()[-dictionary_bytes:] for r in common}
+    return {lang: "\n".join(found[lang]).lower().encode()[-dictionary_bytes:] for lang in common}
 
 
 def chunks(text: str, size: int) -> list[bytes]:
@@ -94,7 +92,7 @@ class CompressionClassifier:
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Language and score; ``und`` without a letter or without a learned language."""
-        if not text or not LETTER.search(text) or not self.langs:
+        if not text or not any(map(str.isalpha, text)) or not self.langs:
             return UNDETERMINED, 0.0
         parts = chunks(text.lower(), self.chunk)
         lang, score = self._best(parts, self.first)

@@ -45,3 +45,38 @@ def test_no_training_rows(spark, docs_of):
 def test_chunks_are_whole():
     text = "word " * 1000 + "x" * 5000
     assert b"".join(L.chunks(text, 700)).decode() == text and max(map(len, L.chunks(text, 700))) <= 700
+
+
+def test_signs_that_are_no_letters():
+    model = L.CompressionClassifier(DICTIONARIES, 3, 1000)
+    assert all(model.classify(t) == ("und", 0.0) for t in ("½", "²", "①", "Ⅷ", "٣", "_", "½ 12 ²\n")) and model.classify("ª")[0] != "und"
+
+
+def test_copies_do_not_fill_a_dictionary(spark, docs_of, monkeypatch):
+    rows = [(3 * i + 1, f"text number {i % 3 if i < 500 else i} of the language") for i in range(600)]
+    docs = docs_of(rows).selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'aa' ELSE 'bb' END AS lang")
+    out = L.learn_dictionaries(docs, sample_rows=20)
+    assert {k: len(v.split(b"\n")) for k, v in out.items()} == {"aa": 20, "bb": 20}
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 1)
+    assert list(L.learn_dictionaries(docs.where("lang = 'aa' OR doc_id < 600"))) == ["aa"]
+
+
+def test_query_against_all_dictionaries_in_one_process(spark):
+    """The same texts, learned and compressed here, give every prediction and score."""
+    rows = table(spark, "/root/testdata/sf0.001", "documents").collect()
+    taught = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang and r.text and any(map(str.isalpha, r.text))]
+    model = L.CompressionClassifier(L.learn_dictionaries(L.training_rows(table(spark, "/root/testdata/sf0.001", "documents"))), 3, 1000)
+    counts = {x: sum(r.lang == x for r in taught) for x in {r.lang for r in taught}}
+    assert model.langs == sorted(counts, key=lambda x: (-counts[x], x))
+    out = {r.doc_id: r for r in L.identify(table(spark, "/root/testdata/sf0.001", "documents")).collect()}
+    for r in rows:
+        text = (r.text or "").lower()
+        if not any(map(str.isalpha, text)):
+            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0.0)
+            continue
+        for compressors in (model.first, model.close):
+            sizes = sorted((sum(len(c.compress(p)) - 8 for p in L.chunks(text, 1000)), i) for i, c in enumerate(compressors))
+            lang, score = model.langs[sizes[0][1]], (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
+            if score >= 0.03:
+                break
+        assert out[r.doc_id].lang_pred == lang and abs(out[r.doc_id].score - max(0.0, min(1.0, score))) < 1e-12
