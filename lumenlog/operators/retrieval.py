@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,13 @@ from lumenlog.plans.ranks import first_n_per_group
 BLOCK_QUERIES = 2048
 # Vectors scored at once: with a block of queries 32 MB of scores.
 SCORED_ROWS = 2048
+# Vectors of a tile: 65536 of 512 doubles are 256 MB.
+BLOCK_ROWS = 65536
 SCORE_DIGITS = 12
 
 HITS = "queryId bigint, tier int, eventId bigint, score double"
 HITS_ARROW = pa.schema([("queryId", pa.int64()), ("tier", pa.int32()), ("eventId", pa.int64()), ("score", pa.float64())])
+_NEAR = pa.schema([("queryId", pa.int64()), ("eventId", pa.int64()), ("far", pa.int64())])
 QUERIES_ARROW = pa.schema(
     [
         ("queryId", pa.int64()),
@@ -151,26 +153,35 @@ def top_k(
     With ``relax_service`` a query whose service filter leaves nothing is answered
     without it (its time range stays).
 
-    Queries are answered in blocks of about ``block_queries``. A block travels to the
-    tasks, the vectors are read once per block, unshuffled, and each task returns k
-    rows per query. A query's answer does not depend on the block it is in. The
-    blocks are read when the plan is built; streams ask through ``foreachBatch``.
+    Up to ``block_queries`` queries travel to the tasks: the vectors are read once, unshuffled, and each task returns
+    k rows per query. More queries meet the vectors in tiles, a block of queries and a block of vectors in a group of
+    their own, so neither the driver nor the plan grows with them. A query's answer does not depend on the way.
+    The queries are counted when the plan is built; streams ask through ``foreachBatch``.
     """
     tiers = 2 if relax_service else 1
     slim = vectors.select("eventId", "embedding", "service", "timestamp")
-    parts = [
-        slim.mapInArrow(_scan(_shared(vectors, block), tiers, k), HITS)
-        for block in _query_blocks(_query_frame(queries), block_queries)
-    ]
-    return _final(reduce(DataFrame.unionAll, parts), k)
+    asked = _query_frame(queries)
+    n = asked.count()
+    if n <= block_queries:
+        return _final(slim.mapInArrow(_scan(_shared(vectors, asked.collect()), tiers, k), HITS), k)
+
+    def answer(block: pa.Table, rows: pa.Table) -> pa.Table:
+        probe, kept = _Probe(block, tiers), HITS_ARROW.empty_table()
+        for start in range(0, rows.num_rows, SCORED_ROWS):
+            kept = _keep_best([kept, probe.top(rows.slice(start, SCORED_ROWS).combine_chunks(), k)], k)
+        return kept
 
+    return _final(_tiles(asked, slim, n, block_queries).applyInArrow(answer, HITS), k)
 
-def _query_blocks(queries: DataFrame, block_queries: int) -> Iterator[list]:
-    """Rows of the queries in blocks of about the given size, by a hash of their id."""
-    blocks = max(1, -(-queries.count() // block_queries))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("queryId"), F.lit(blocks)) == b)
-        yield part.collect()
+
+def _tiles(asked: DataFrame, rows: DataFrame, queries: int, block_queries: int):
+    """Blocks of queries, by a hash of their id, cogrouped with blocks of about ``BLOCK_ROWS`` rows, by one of the event id."""
+    own, other = -(-queries // block_queries), max(1, -(-rows.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    left = asked.withColumn("_q", block("queryId", own)).withColumn("_v", every(other))
+    right = rows.withColumn("_v", block("eventId", other)).withColumn("_q", every(own))
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v"))
 
 
 def _shared(vectors: DataFrame, block: list):
@@ -243,20 +254,32 @@ def ann_top_k(
     """Approximate top-k: ``factor * k`` candidates by signature distance, then exact scores.
 
     The first pass reads ids and signatures only; embeddings are fetched for the
-    candidates. Queries go in blocks as in :func:`top_k`. Vectors and queries that
+    candidates. Queries beyond ``block_queries`` go in tiles as in :func:`top_k`. Vectors and queries that
     are null or of another length than ``dim`` take no part.
     """
     wanted = factor * k
     planes = hyperplanes(dim, bits, seed)
     asked = queries.filter(F.size("embedding") == dim).select("queryId", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = signed.filter(F.col("signature").isNotNull()).select("eventId", "signature")
-    parts = []
-    for block in _query_blocks(asked, block_queries):
+    schema = "queryId bigint, eventId bigint, far bigint"
+
+    def packed(embeddings: list) -> np.ndarray:
+        return np.packbits(np.array(embeddings, dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
+
+    n = asked.count()
+    if n <= block_queries:
+        block = asked.collect()
         ids = np.array([r["queryId"] for r in block], dtype="int64")
-        packed = np.packbits(np.array([r["embedding"] for r in block], dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
-        shared = signed.sparkSession.sparkContext.broadcast((ids, packed))
-        parts.append(rows.mapInArrow(_near(shared, wanted), "queryId bigint, eventId bigint, far bigint"))
-    near = reduce(DataFrame.unionAll, parts)
+        shared = signed.sparkSession.sparkContext.broadcast((ids, packed([r["embedding"] for r in block])))
+        near = rows.mapInArrow(lambda batches: _nearest(*shared.value, batches, wanted), schema)
+    else:
+
+        def answer(block: pa.Table, part: pa.Table) -> pa.Table:
+            ids = block["queryId"].to_numpy().astype("int64")
+            found = list(_nearest(ids, packed(block["embedding"].to_pylist()), part.to_batches(), wanted))
+            return pa.Table.from_batches(found) if found else _NEAR.empty_table()
+
+        near = _tiles(asked, rows, n, block_queries).applyInArrow(answer, schema)
     candidates = first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted).select("queryId", "eventId")
     q = asked.select("queryId", F.col("embedding").alias("_q"))
     scored = (
@@ -268,32 +291,25 @@ def ann_top_k(
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _near(shared, wanted: int):
-    """Per task the ``wanted`` signatures nearest to each query of a block, distances of 32 queries at once."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qsigs = shared.value
-        best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
-        for whole in batches:
-            for start in range(0, whole.num_rows, SCORED_ROWS):
-                batch = whole.slice(start, SCORED_ROWS)
-                bits = pa.concat_arrays([batch["signature"]])
-                first, last = bits.offset, bits.offset + len(bits)
-                ends = np.frombuffer(bits.buffers()[1], dtype="int32")[first : last + 1]
-                rows = np.frombuffer(bits.buffers()[2], dtype="uint8")[ends[0] : ends[-1]].reshape(len(bits), -1)
-                event = batch["eventId"].to_numpy(zero_copy_only=False)
-                for q in range(0, len(qids), 32):
-                    far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
-                    for i, d in enumerate(far, q):
-                        d, ids = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], event])
-                        keep = _best(d, ids, wanted)
-                        best[i] = (d[keep], ids[keep])
-        for qid, (far, found) in zip(qids, best):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), qid)), pa.array(found), pa.array(far)], ["queryId", "eventId", "far"]
-            )
-
-    return scan
+def _nearest(qids: np.ndarray, qsigs: np.ndarray, batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
+    """The ``wanted`` signatures of the batches nearest to each query, distances of 32 queries at once."""
+    best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
+    for whole in batches:
+        for start in range(0, whole.num_rows, SCORED_ROWS):
+            batch = whole.slice(start, SCORED_ROWS)
+            bits = pa.concat_arrays([batch["signature"]])
+            first, last = bits.offset, bits.offset + len(bits)
+            ends = np.frombuffer(bits.buffers()[1], dtype="int32")[first : last + 1]
+            rows = np.frombuffer(bits.buffers()[2], dtype="uint8")[ends[0] : ends[-1]].reshape(len(bits), -1)
+            event = batch["eventId"].to_numpy(zero_copy_only=False)
+            for q in range(0, len(qids), 32):
+                far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
+                for i, d in enumerate(far, q):
+                    d, ids = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], event])
+                    keep = _best(d, ids, wanted)
+                    best[i] = (d[keep], ids[keep])
+    for qid, (far, found) in zip(qids, best):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), qid)), pa.array(found), pa.array(far)], schema=_NEAR)
 
 
 # --- rerank and grounding -----------------------------------------------------------

@@ -58,6 +58,7 @@ def test_service_filter_and_relaxation(spark, table):
 
 def test_blocks_of_queries_and_slices_of_vectors(spark, table, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORED_ROWS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 13)
     queries = [(i, table[i][1], None if i % 2 else "s0") for i in range(0, 20)]
     got = search(spark, table, queries, block_queries=3)
     for qid, vec, svc in queries:
@@ -80,6 +81,21 @@ def test_an_answer_does_not_depend_on_the_other_queries(spark, sf_dir):
     assert answers(retrieval.ann_top_k(many, signed, **ann)) == answers(retrieval.ann_top_k(one, signed, **ann))
 
 
+def test_many_queries_are_one_group_per_tile(spark, sf_dir):
+    """The plan is the same for any number of queries beyond a block, and none of them comes to the driver."""
+    vectors = fx.embedded(spark, sf_dir)
+    signed = retrieval.signatures(vectors, 64, bits=64)
+
+    def plans(copies):
+        queries = vectors.select(F.col("eventId").alias("queryId"), "embedding").crossJoin(spark.range(copies).withColumnRenamed("id", "n"))
+        queries = queries.select((F.col("queryId") * 100 + F.col("n")).alias("queryId"), "embedding")
+        found = retrieval.top_k(queries, vectors, 3, block_queries=50), retrieval.ann_top_k(queries, signed, 3, 64, bits=64, block_queries=50)
+        return [df._jdf.queryExecution().optimizedPlan().toString().count("\n") for df in found], found[0]
+
+    few, many = plans(1), plans(7)
+    assert few[0] == many[0] and many[1]._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroups") == 1
+
+
 def test_approximate_search_leaves_out_null_and_odd_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.9, 0.1, 0.0]), (5, [-1.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "eventId bigint, embedding array<double>")
