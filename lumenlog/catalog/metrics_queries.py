@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lumenlog.catalog import fixtures as fx
 from lumenlog.catalog.registry import query
-from lumenlog.operators import audits, filters, incidents, metrics, sampling
+from lumenlog.operators import audits, filters, incidents, metrics, sampling, sketches
 from lumenlog.operators.embedding import advance_mark
 from lumenlog.operators.filters import QueryMetadata
 from lumenlog.operators.metrics import MetricParams
-from lumenlog.session import materialize
+from lumenlog.session import fresh_path, materialize
 
 W = ("wide_events",)
 ROLE = "CASE WHEN user_id IS NULL THEN NULL WHEN user_role_raw IN ('admin','user','premium','guest') THEN user_role_raw ELSE 'guest' END"
@@ -340,6 +340,33 @@ def _(spark, sf):
     )
 
 
+# Days from stored minutes: counts are exact, and each percentile has its rank within the sketch's error.
+@query(
+    "e7_stored_sketches",
+    """SELECT CAST(event_ts AS DATE)::VARCHAR AS day, service, route, count(*) AS requests, count(error_code) AS errors, count(duration_ms) AS timed,
+      coalesce(max(duration_ms), -1) AS max_ms, TRUE AS ranks_ok FROM wide_events GROUP BY 1, 2, 3""",
+    W,
+)
+def _(spark, sf):
+    e, path = fx.events(spark, sf), fresh_path(spark, "minute-sketches")
+    sketches.append_sketches(sketches.minute_sketches(e), path)
+    shares = (0.5, 0.95, 0.99)
+    days = sketches.sketched_percentiles(sketches.rolled_up(spark.read.parquet(path), "day"), shares)
+    took, n = F.col("performance.durationMs"), F.col("timed")
+    keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("service", "route")] + [F.date_trunc("day", "timestamp") == F.col("start")]
+    ranks = [f(took, F.col(f"p{100 * p:g}")).alias(f"{name}{100 * p:g}") for p in shares for name, f in (("below", lambda d, v: F.count_if(d < v)), ("upto", lambda d, v: F.count_if(d <= v)))]
+    met = e.join(days.withColumnsRenamed({"service": "_service", "route": "_route"}), keys)
+    found = met.groupBy("start", "_service", "_route", "requests", "errors", "timed", "maxMs").agg(*ranks)
+    ok = F.lit(True)
+    for p in shares:
+        name = f"{100 * p:g}"
+        ok = ok & (F.col(f"below{name}") <= n * (p + sketches.RANK_ERROR) + 1) & (F.col(f"upto{name}") >= n * (p - sketches.RANK_ERROR) - 1)
+    return found.select(
+        F.to_date("start").cast("string").alias("day"), F.col("_service").alias("service"), F.col("_route").alias("route"),
+        "requests", "errors", "timed", F.coalesce("maxMs", F.lit(-1)).alias("max_ms"), ok.alias("ranks_ok"),
+    )
+
+
 @query("e8_error_rate_by_route", f"SELECT route, {RATE} GROUP BY route", W)
 def _(spark, sf):
     return metrics.error_rate(fx.events(spark, sf), by=("route",)).toDF("route", "total", "errors", "error_rate")

@@ -8,7 +8,7 @@ from lumenlog.catalog import fixtures as fx
 from lumenlog.catalog import sqltext as q
 from lumenlog.catalog.metrics_queries import POLICY, REASON
 from lumenlog.catalog.registry import query
-from lumenlog.operators import embedding, incidents, validation
+from lumenlog.operators import embedding, incidents, sketches, validation
 from lumenlog.schema import EMBEDDED_EVENT, EMBEDDING_PROGRESS, REQUIRED_EMBEDDED, WIDE_EVENT
 from lumenlog.session import fresh_path
 from lumenlog.sources import events as src
@@ -339,6 +339,27 @@ def _(spark, sf):
     )
 
 
+# Hourly sketches of a stream, stored as the watermark closes them, then merged to days.
+@query(
+    "i5_stream_sketches",
+    f"""SELECT CAST(event_ts AS DATE)::VARCHAR AS day, service, count(*) AS requests, count(error_code) AS errors, coalesce(max(duration_ms), -1) AS max_ms, coalesce(quantile_disc(duration_ms, 0), -1) AS least_ms
+    FROM wide_events WHERE date_trunc('hour', event_ts) + INTERVAL 1 HOUR <= {CLOSED.format('event_ts', 'wide_events')} GROUP BY 1, 2""",
+    W,
+)
+def _(spark, sf):
+    path = fresh_path(spark, "hour-sketches")
+
+    def start(stream, cp):
+        return pipelines.to_table(sketches.minute_sketches(stream.withWatermark("timestamp", "10 minutes"), ("service",), "1 hour"), path, cp)
+
+    _staged(spark, _in_time_order(fx.events(spark, sf), "timestamp"), start)
+    days = sketches.sketched_percentiles(sketches.rolled_up(spark.read.parquet(path), "day", ("service",)), (0.0,))
+    return days.select(
+        F.to_date("start").cast("string").alias("day"), "service", "requests", "errors",
+        F.coalesce("maxMs", F.lit(-1)).alias("max_ms"), F.coalesce("p0", F.lit(-1)).alias("least_ms"),
+    )
+
+
 SESSION_SQL = """WITH g AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER w {op} INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM chat_history
     WINDOW w AS (PARTITION BY session_id ORDER BY created_at)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY created_at) AS no FROM g)
