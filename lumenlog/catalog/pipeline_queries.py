@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lumenlog.catalog import fixtures as fx
@@ -12,6 +14,8 @@ from lumenlog.operators import embedding, incidents, sketches, validation
 from lumenlog.schema import EMBEDDED_EVENT, EMBEDDING_PROGRESS, REQUIRED_EMBEDDED, WIDE_EVENT
 from lumenlog.session import fresh_path
 from lumenlog.sources import events as src
+from lumenlog.sources import retention
+from lumenlog.sources.snapshots import SnapshotTable
 from lumenlog.streaming import pipelines, session_history
 
 W = ("wide_events",)
@@ -185,6 +189,44 @@ def _(spark, sf):
     return both.groupBy("kept").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
+# Marks of four quarters of the events, one upsert each, merged after the second and the fourth.
+@query(
+    "a8_snapshots",
+    """SELECT service AS source, max(event_id) AS last_event_id, max(event_id) FILTER (event_id % 4 < 3) AS earlier_event_id, 6::BIGINT AS versions FROM wide_events GROUP BY 1""",
+    W,
+)
+def _(spark, sf):
+    table = SnapshotTable(spark, fresh_path(spark, "snapshots"), EMBEDDING_PROGRESS, "source", "lastEmbeddedEventId", max_deltas=2, keep=3)
+    e = fx.events(spark, sf)
+    versions = []
+    for part in range(4):
+        marks = e.filter(F.col("eventId") % 4 == part).groupBy(F.col("service").alias("source")).agg(
+            F.max("eventId").alias("lastEmbeddedEventId"), F.max("timestamp").alias("lastEmbeddedEventTimestamp")
+        )
+        versions.append(table.upsert(marks.withColumn("lastUpdatedAt", _now())))
+    earlier = table.read(versions[2]).select("source", F.col("lastEmbeddedEventId").alias("earlier_event_id"))
+    last = table.read().select("source", F.col("lastEmbeddedEventId").alias("last_event_id"))
+    return last.join(earlier, "source").withColumn("versions", F.lit(max(table.versions())).cast("bigint"))
+
+
+@query(
+    "a10_retention_run",
+    f"""SELECT CAST(event_ts AS DATE)::VARCHAR AS day, CASE WHEN CAST(event_ts AS DATE) < DATE '2024-01-16' THEN 'archive' ELSE 'table' END AS place,
+      count(*) AS n, min(event_id) AS first_id FROM wide_events GROUP BY 1, 2""",
+    W,
+)
+def _(spark, sf):
+    table, archive = fresh_path(spark, "event-table"), fresh_path(spark, "event-archive")
+    src.append_events(fx.events(spark, sf), table)
+    today = dt.date(2024, 2, 15)
+    retention.expire_days(spark, table, archive, today)
+    retention.expire_days(spark, table, archive, today)  # finds nothing more
+    both = spark.read.parquet(table).withColumn("place", F.lit("table")).unionByName(
+        retention.read_archive(spark, archive).withColumn("place", F.lit("archive"))
+    )
+    return both.groupBy(F.col("event_date").cast("string").alias("day"), "place").agg(F.count("*").alias("n"), F.min("eventId").alias("first_id"))
+
+
 # --- streams ---------------------------------------------------------------------------
 def _stream(spark, df, batches=1):
     """``df`` written to files and read back as a stream of ``batches`` micro-batches.
