@@ -15,7 +15,7 @@ from lumenlog.functions import text as tx
 from lumenlog.functions import vectors as vx
 from lumenlog.operators import chunks, clusters, consistency, density, embedding, incidents, retrieval, vector_index
 from lumenlog.operators.filters import QueryMetadata, grounding_postfilter
-from lumenlog.session import fresh_path
+from lumenlog.session import fresh_path, materialize
 
 E = ("event_embeddings",)
 
@@ -244,6 +244,26 @@ def _(spark, sf):
     return mark.select("source", F.lit(n).cast("long").alias("appended"), F.col("m.lastEmbeddedEventId").alias("last_event_id"), F.col("m.lastEmbeddedEventTimestamp").alias("last_event_ts"))
 
 
+# The same by days: the table holds the events that have a vector, a second run adds nothing.
+@query(
+    "f9_append_by_day",
+    """SELECT CAST(event_ts AS DATE)::VARCHAR AS day, count(*) AS rows_of_day, count(*) FILTER (event_id IN (SELECT vec_id FROM embeddings)) AS before,
+      TRUE AS runs_ok, (SELECT max(event_id) FROM wide_events WHERE event_ts = (SELECT max(event_ts) FROM wide_events)) AS last_event_id FROM wide_events GROUP BY 1""",
+    ("wide_events",),
+)
+def _(spark, sf):
+    now = F.lit("2024-02-01").cast("timestamp")
+    batch = embedding.embed_events(fx.stored_events(spark, sf), now)
+    table, progress = fresh_path(spark, "embeddings"), fresh_path(spark, "progress")
+    before = batch.join(fx.embedded(spark, sf).select("eventId"), "eventId", "left_semi")
+    runs = [embedding.append_by_day(rows, table, progress, "wide_events", now) for rows in (before, batch, batch)]
+    ok = F.lit(all(r.error is None and r.done == r.groups for r in runs))
+    held = spark.read.parquet(table).join(before.select("eventId", F.lit(True).alias("_old")), "eventId", "left")
+    mark = spark.read.parquet(progress).agg(F.max(F.struct("lastEmbeddedEventTimestamp", "lastEmbeddedEventId")).alias("m"))
+    days = held.groupBy(F.col("event_date").cast("string").alias("day")).agg(F.count("*").alias("rows_of_day"), F.count("_old").alias("before"))
+    return days.withColumns({"runs_ok": ok, "last_event_id": mark.select("m.lastEmbeddedEventId").scalar()})
+
+
 @query("f8_token_usage", f"WITH {q.DUAL_VIEW} SELECT event_id, len({TOK.format('dual_text')}) AS tokens FROM dual", ("wide_events",))
 def _(spark, sf):
     return embedding.token_usage(fx.events(spark, sf)).select(F.col("eventId").alias("event_id"), "tokens")
@@ -425,6 +445,27 @@ def _(spark, sf):
     )
 
 
+# Every vector is nearest to its own centre, or nearly every one, and the clusters hold together better than a Lloyd run would by chance.
+@query(
+    "f18_cluster_quality",
+    "SELECT count(*) AS events, TRUE AS nearest_ok, TRUE AS tighter_than_dealt, TRUE AS silhouette_ok FROM event_embeddings",
+    E,
+)
+def _(spark, sf):
+    found = materialize(clusters.assign_clusters(fx.embedded(spark, sf), k=8).select("eventId", "embedding", "cluster"), "clusters")
+    total = lambda q: q.agg(
+        F.sum("members").alias("events"), (F.sum(F.col("nearestShare") * F.col("members")) / F.sum("members")).alias("nearest"),
+        (F.sum(F.col("cohesion") * F.col("members")) / F.sum("members")).alias("cohesion"),
+        (F.sum(F.col("silhouette") * F.col("members")) / F.sum("members")).alias("silhouette"),
+    )
+    dealt = found.withColumn("cluster", F.pmod(F.xxhash64("eventId"), F.lit(8)).cast("int"))
+    random = total(clusters.cluster_quality(dealt)).select("cohesion").scalar()
+    return total(clusters.cluster_quality(found)).select(
+        "events", (F.col("nearest") >= 0.95).alias("nearest_ok"), (F.col("cohesion") > 1.5 * random).alias("tighter_than_dealt"),
+        (F.col("silhouette") > 0).alias("silhouette_ok"),
+    )
+
+
 # Every request of the clustered events is traced, in one incident each.
 @query("f18_related_traces", "SELECT request_id, 1::BIGINT AS incidents FROM event_embeddings", E)
 def _(spark, sf):

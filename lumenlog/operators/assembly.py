@@ -75,10 +75,15 @@ def exclude_routes(df: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def finalize_once(df: DataFrame, order: Sequence[str], key: str = "requestId") -> DataFrame:
-    """First row per request, whole row kept; copies fold inside the map tasks. Rows without a key are no copies: all stay."""
-    keyed = df.filter(F.col(key).isNotNull())
-    first = keyed.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return first.select("_row.*").unionByName(df.filter(F.col(key).isNull()))
+    """First row per request, whole row kept; copies fold inside the map tasks.
+
+    Rows without a key are no copies: all stay. They are grouped by all their columns and counted, so that the input
+    is read once and a repeated row costs one row per task.
+    """
+    row, keyless = F.struct(*df.columns), F.col(key).isNull()
+    first = df.groupBy(key, F.when(keyless, row).alias("_same")).agg(F.min_by(row, F.struct(*order)).alias("_row"), F.count("*").alias("_n"))
+    rows = F.when(keyless, F.array_repeat("_row", F.col("_n").cast("int"))).otherwise(F.array("_row"))
+    return first.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
 def duration_ms(started: Column, ended: Column) -> Column:

@@ -128,8 +128,8 @@ def concurrency(requests: DataFrame, started: str, ended: str, max_pending: int
         "at",
         [F.col("at"), F.col("kind"), F.col("requestId")],
         "delta",
-        # 50 ms, minutes, then days: a level holds few buckets per parent, and a spike is spread
-        [50_000, 60_000_000, 1440 * 60_000_000],
+        # tenths of a second, so that a spike is spread, then hours: 36 000 buckets each, and 8 760 hours a year
+        [100_000, 3_600_000_000],
         "inFlight",
     )
     placed = total.filter("kind = 1").select("requestId", F.timestamp_micros("at").alias("startedAt"), "inFlight")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -129,6 +131,52 @@ def append_embeddings(rows: DataFrame, table: str, progress: str, source: str, n
     return len(bounds) - 1
 
 
+@dataclass(frozen=True)
+class AppendRun:
+    """How far an append came: groups done of all, and what the one after them failed with."""
+
+    done: int
+    groups: int
+    error: str | None = None
+
+
+def append_by_day(rows: DataFrame, table: str, progress: str, source: str, now: Column, groups: int = 4) -> AppendRun:
+    """Append embedded rows to ``table``, partitioned by ``event_date``, in ranges of days, marking ``progress`` after each.
+
+    A copy of an event has the event's time, so a range is compared with its own days of the table only: the
+    filter is on the partition column and prunes the scan before anything is read. Rows without a time form a day of
+    their own, in the first range. Rows that are in the table already add nothing. The first range that fails ends the
+    run; what came before stays appended and marked, and its error is in the result.
+    """
+    spark = rows.sparkSession
+    dated = rows.withColumn("event_date", F.to_date("timestamp"))
+    number = F.unix_date("event_date")
+    days = dated.where(F.col("event_date").isNotNull()).select(number.alias("d"))
+    cuts = sorted({int(d) for d in days.approxQuantile("d", [i / groups for i in range(1, groups)], 0.01)})
+    bounds = [None, *cuts, None]
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        part, seen = dated, stored_days(spark, table, dated)
+        date = lambda d: F.lit(dt.date(1970, 1, 1) + dt.timedelta(days=d))
+        within = F.lit(True) if low is None else F.col("event_date") > date(low)
+        if high is not None:
+            within = within & (F.col("event_date") <= date(high))
+        if low is None:
+            within = within | F.col("event_date").isNull()
+        try:
+            part = part.where(within)
+            fresh = part if seen is None else new_rows(part, seen.where(within))
+            fresh.write.mode("append").partitionBy("event_date").parquet(table)
+            advance_mark(part.drop("event_date"), source, now).write.mode("append").parquet(progress)
+        except PySparkException as e:
+            return AppendRun(n, len(bounds) - 1, str(e))
+    return AppendRun(len(bounds) - 1, len(bounds) - 1)
+
+
+def stored_days(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None:
+    """The stored table as it is now, with the columns of ``like``; None where there is none yet."""
+    return spark.read.schema(like.schema).parquet(table) if _exists(spark, table) else None
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -150,13 +198,10 @@ def advance_mark(embedded: DataFrame, source: str, now: Column) -> DataFrame:
 
 
 def read_mark(progress: DataFrame, source: str) -> tuple:
-    """(timestamp, eventId) of a source's mark: one row by construction."""
-    row = (
-        progress.filter(F.col("source") == source)
-        .agg(F.max_by(F.struct("lastEmbeddedEventTimestamp", "lastEmbeddedEventId"), "lastUpdatedAt").alias("m"))
-        .first()
-    )
-    return (row["m"][0], row["m"][1]) if row and row["m"] else (None, None)
+    """(timestamp, eventId) of a source's mark: of rows of one instant, as the groups of a run write them, the greatest."""
+    latest = F.max(F.struct("lastUpdatedAt", "lastEmbeddedEventTimestamp", "lastEmbeddedEventId"))
+    row = progress.filter(F.col("source") == source).agg(latest.alias("m")).first()
+    return (row["m"][1], row["m"][2]) if row and row["m"] else (None, None)
 
 
 def new_rows(batch: DataFrame, embedded: DataFrame, lateness_from: Column | None = None) -> DataFrame:
