@@ -93,6 +93,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest_runs(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op13_word_runs"] = word_runs.ORACLE
 ORACLES["op9_line_dedup"] = line_dedup.ORACLE.strip()
 
 

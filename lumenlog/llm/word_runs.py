@@ -204,3 +204,30 @@ def _searched(batches: Iterator[pa.RecordBatch], prepare) -> Iterator[tuple[list
         if prepare:
             texts = [prepare(w, i) for w, i in zip(texts, ids, strict=True)]
         yield ids, texts, find_runs(texts)
+
+
+# Diagonals of all pairs of equal sixteen words, which every run has; a stretch belongs to its smallest period.
+ORACLE = r"""WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, x:
+      list_reduce(list_prepend(xor(c, x), range(8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384::BIGINT) ELSE d >> 1 END)), 4294967295::BIGINT) AS h FROM documents
+), tail AS (
+  SELECT doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, 3 + (h // 10) % 8 AS d FROM doc
+), placed AS (
+  SELECT doc_id, CASE WHEN a = len(w) THEN w ELSE list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // d) + 1] END) END AS w FROM tail
+), gram AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 15)) AS i FROM placed WHERE len(w) >= 24)
+), near AS (
+  SELECT b.doc_id, b.i, b.i - a.i AS q, b.i - row_number() OVER (PARTITION BY b.doc_id, b.i - a.i ORDER BY b.i) AS isle FROM gram a JOIN gram b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i
+), stretch AS (
+  SELECT doc_id, q, min(i) - q AS s, count(*) + 15 + q AS n FROM near GROUP BY doc_id, q, isle HAVING count(*) + 15 + q >= greatest(24, 3 * q)
+), run AS (
+  SELECT doc_id, s, n, min(q) AS q FROM stretch GROUP BY doc_id, s, n
+), best AS (
+  SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n::DOUBLE / q DESC, s, q) = 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS t, list({'b': s + q, 'e': s + n}) AS gone FROM run GROUP BY doc_id
+)
+SELECT p.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN l.gone IS NULL THEN w ELSE list_transform(list_filter(range(0, len(w)), lambda i: NOT list_bool_or(list_transform(gone, lambda r: i >= r.b AND i < r.e))), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM placed p LEFT JOIN listed l ON l.doc_id = p.doc_id LEFT JOIN best b ON b.doc_id = p.doc_id"""
