@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.llm.common import slices, texts_of
 
-KNOWN = 512  # answers a part remembers; passages and phrases come again and again
+KNOWN = 20_000  # answers a block remembers, for passages and phrases that come again and again: some 10 MB
 SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
 
 
@@ -38,12 +38,11 @@ def normalise(text: str | None) -> str:
 class Part:
     """A part of an item: its place, the edits it may have, and the part it was cut from."""
 
-    __slots__ = ("start", "end", "errors", "above", "masks", "known")
+    __slots__ = ("start", "end", "errors", "above", "masks")
 
     def __init__(self, start: int, end: int, errors: int, above: Part | None):
         self.start, self.end, self.errors, self.above = start, end, errors, above
         self.masks: dict[str, int] | None = None
-        self.known: dict[str, bool] = {}
 
     def halves(self) -> tuple[Part, Part]:
         left = (self.errors - 1) // 2
@@ -51,17 +50,14 @@ class Part:
         cut = self.start + (self.end - self.start) * (left + 1) // (self.errors + 1)
         return Part(self.start, cut, left, self), Part(cut, self.end, right, self)
 
-    def holds(self, item: str, text: str, start: int) -> bool:
-        """Whether the part lies, within its edits, where an item starting at about ``start`` would have it."""
-        window = text[max(0, start + self.start - self.errors) : start + self.end + self.errors]
-        if (answer := self.known.get(window)) is None:
-            if self.masks is None:
-                self.masks = pattern_masks(item[self.start : self.end])
-            answer = myers_search(self.masks, self.end - self.start, window, self.errors, first=True) is not None
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[window] = answer
-        return answer
+    def window(self, text: str, start: int) -> str:
+        """Where this part of an item that starts at about ``start`` could lie."""
+        return text[max(0, start + self.start - self.errors) : start + self.end + self.errors]
+
+    def holds(self, item: str, window: str) -> bool:
+        if self.masks is None:
+            self.masks = pattern_masks(item[self.start : self.end])
+        return myers_search(self.masks, self.end - self.start, window, self.errors, first=True) is not None
 
 
 def pieces(item: str, errors: int) -> list[tuple[Part, str]]:
@@ -117,6 +113,7 @@ class ItemBlock:
     def __init__(self, items: list[tuple[int, str]], error_rate: float, min_piece: int = 1):
         import ahocorasick
 
+        self.known: dict[tuple[Part, str], bool] = {}
         self.by_text: dict[str, list[int]] = {}
         for item_id, text in items:
             if clean := normalise(text):
@@ -179,7 +176,12 @@ class ItemBlock:
         """Whether every part above a piece, but for the item itself, holds around its hit."""
         part = piece.above
         while part is not None and part.above is not None:
-            if not part.holds(self.texts[i], text, start):
+            window = part.window(text, start)
+            if (holds := self.known.get((part, window))) is None:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                holds = self.known[part, window] = part.holds(self.texts[i], window)
+            if not holds:
                 return False
             part = part.above
         return True
