@@ -36,7 +36,8 @@ def build_tokenizer(model: pm.PieceModel):
         merges = []
         for p, score, kind in model.pieces:
             if kind == pm.NORMAL:
-                merges += [(-score, vocab[p[:i]], vocab[p[i:]], p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in plain and p[i:] in plain]
+                # of equal scores (runs of spaces share one) the library takes the leftmost pair: there the left part has grown longest
+                merges += [(-score, -i, vocab[p], p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in plain and p[i:] in plain]
         merges.sort()
         core = models.BPE(
             vocab=vocab, merges=[m[3:] for m in merges], unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback

@@ -64,6 +64,16 @@ def test_encoding_equals_the_library(spark, docs_of, library, texts):
     assert all(r.token_ids == want[r.doc_id] and r.n_tokens == len(want[r.doc_id]) for r in out) and len(out) == len(texts)
 
 
+def test_runs_of_spaces_are_at_parity(library):
+    """The rebuilt tokenizer itself, without the library's ids to fall back on."""
+    codec = piece_codec.BatchCodec(pm.default_path(), 1)
+    runs = [" " * n for n in [*range(1, 140), 500, 999, 3000]]
+    texts = [t for r in runs for t in (r, "a" + r + "b", r + "x", "x" + r, "if y:\n" + r + "return  z\n" + r[1:] + "w")]
+    ids, same, back = codec.encode(texts)
+    assert same.all() and back.all() and ids.to_pylist() == library.encode(texts)
+    assert all(codec.whole(texts)[1])
+
+
 def test_encode_and_decode_rows(spark, docs_of):
     encoded = piece_codec.encode_documents(docs_of([(1, None), (2, "a  b\n"), (None, "é"), (2, "a  b\n")]))
     back = {(r.doc_id, r.text) for r in piece_codec.decode_documents(encoded).collect()}
