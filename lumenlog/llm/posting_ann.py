@@ -124,6 +124,7 @@ def nearest_neighbours(
     replicas: int = 3,
     replica_ratio: float = 1.1,
     part_rows: int = 16_384,
+    asked_rows: int = 65_536,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` largest inner products of every row whose id ``query_every`` divides.
 
@@ -132,7 +133,8 @@ def nearest_neighbours(
     themselves. Fewer candidates than ``k`` give fewer rows. Ties go to the smaller id. A repeated id counts once,
     with its best vector; each of its vectors asks.
     Bounds: centroids are learned on about ``sample_rows`` distinct vectors and number at most ``max_lists``;
-    they are all that is sent to every task.
+    they are all that is sent to every task. A group of lists holds about ``part_rows`` vectors and meets about
+    ``asked_rows`` queries; further queries meet a copy of it in a group of their own.
     """
     spark = vectors.sparkSession
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
@@ -145,11 +147,13 @@ def nearest_neighbours(
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = ranked.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    # counted over the ids alone, so at least as many as ask
+    blocks = max(1, -(-vectors.where(F.col(id_col).cast("long") % query_every == 0).count() // asked_rows))
     found = None
     for w in widths:  # one kind of vector has one length; others are rare
         own = _search(
             index.where(F.col("width") == w["width"]), queries.where(F.size("v") == w["width"]), w["width"], w["n"], float(w["square"]), k,
-            list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows,
+            list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks,
         )
         found = own if found is None else found.unionAll(own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -163,7 +167,7 @@ def nearest_neighbours(
     )
 
 
-def _search(index, queries, width, total, square, k, list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows) -> DataFrame:
+def _search(index, queries, width, total, square, k, list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks) -> DataFrame:
     spark = index.sparkSession
     share = min(1.0, sample_rows / max(1, total))
     picked = index.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
@@ -230,6 +234,9 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
         counted[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(counted)
     asked = queries.mapInArrow(route, "grp int, lists array<int>, query_id long, v array<double>")
+    # both sides of a group are bounded: queries part by a hash into blocks, each of which meets a copy of the lists
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)))
+    copies = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
@@ -263,4 +270,4 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
                 out.append(got.groupby("query_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    return asked.groupBy("grp").cogroup(postings.groupBy("grp")).applyInPandas(search, RESULT)
+    return asked.groupBy("grp", "block").cogroup(copies.groupBy("grp", "block")).applyInPandas(search, RESULT)

@@ -39,6 +39,15 @@ def test_recall_on_embeddings(spark):
             assert s == pytest.approx(float(np.dot(np.array(exact[q], float), np.array(exact[i], float))), abs=1e-12)
 
 
+def test_blocks_of_queries_change_nothing(spark):
+    """Many blocks of queries give the rows of one block."""
+    df = table(spark, "/root/testdata/sf0.01", "embeddings")
+    whole = A.nearest_neighbours(df, query_every=3).collect()
+    cut = A.nearest_neighbours(df, query_every=3, asked_rows=40)
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole}
+    assert len({r.query_id for r in whole}) > 4 * 40  # five blocks
+
+
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(0)
     c = rng.normal(size=(600, 12))
