@@ -7,9 +7,14 @@ distance ratio. Lists are cut into parts of bounded size, all of
 which are searched. A query finds its centroids by beam search in a neighbour graph held in memory and
 searches the lists whose centroids are within a distance ratio of the nearest.
 
-Largest inner product is nearest distance once every vector carries ``sqrt(max_norm^2 - |x|^2)`` as
-one more component and every query 0. Equal vectors are indexed once, with their k + 1 smallest ids, so
-a vector held by a third of all rows is one entry.
+Largest inner product is nearest distance once every vector, divided by the largest norm, carries
+``sqrt(1 - |x|^2)`` as one more component and every query, brought to length 1, carries 0. A query's length
+changes no order, so it must not weigh in which lists are near either. Equal vectors are indexed once, with
+their k + 1 smallest ids, so a vector held by a third of all rows is one entry.
+
+How far a query must search differs from table to table. So the lists are asked once by a sample of the
+queries, against every vector: ratio and number of lists are raised to what finds the wanted share of their
+true neighbours, up to all lists.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ class CentroidGraph:
     """Centroids with links to their nearest ones; beam search finds the nearest to each of many points at once."""
 
     def __init__(self, centroids: np.ndarray, degree: int = 24):
-        self.centroids = centroids.astype(np.float32)
+        self.centroids = centroids.astype(np.float64)
         self.square = (self.centroids**2).sum(1)
         n = len(centroids)
         degree = min(degree, n - 1)
@@ -46,7 +51,6 @@ class CentroidGraph:
     def nearest(self, points: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of about the ``k`` nearest centroids of each point, nearest first."""
         n, beam = len(self.centroids), max(beam, k)
-        points = points.astype(np.float32)
         base = (points**2).sum(1)[:, None]
         if n <= beam:
             d = self.square - 2 * points @ self.centroids.T + base
@@ -54,7 +58,7 @@ class CentroidGraph:
             return order, np.take_along_axis(d, order, 1)
         rows = np.arange(len(points))[:, None]
         seen = np.zeros((len(points), n), dtype=bool)
-        dist = np.full((len(points), n), np.inf, dtype=np.float32)
+        dist = np.full((len(points), n), np.inf, dtype=np.float64)
         seen[:, self.entries] = False
         dist[:, self.entries] = self.square[self.entries] - 2 * points @ self.centroids[self.entries].T + base
         top = self.entries[np.argsort(dist[:, self.entries], axis=1)[:, :beam]]
@@ -103,6 +107,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, whatever their scale."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Rows with an id and a vector of finite numbers that isn't zero."""
     v = F.col(vec_col).cast("array<double>")
@@ -125,6 +135,8 @@ def nearest_neighbours(
     replica_ratio: float = 1.1,
     part_rows: int = 16_384,
     asked_rows: int = 65_536,
+    recall: float = 0.97,
+    sample_queries: int = 256,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` largest inner products of every row whose id ``query_every`` divides.
 
@@ -135,6 +147,8 @@ def nearest_neighbours(
     Bounds: centroids are learned on about ``sample_rows`` distinct vectors and number at most ``max_lists``;
     they are all that is sent to every task. A group of lists holds about ``part_rows`` vectors and meets about
     ``asked_rows`` queries; further queries meet a copy of it in a group of their own.
+    Lists within ``search_ratio`` are searched, the share ``probe_share`` of all at most; either is raised where
+    ``sample_queries`` of the queries, by a hash, need more to find the share ``recall`` of their true neighbours.
     """
     spark = vectors.sparkSession
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
@@ -143,7 +157,9 @@ def nearest_neighbours(
     order = Window.partitionBy("v").orderBy("vec_id")
     members = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     index = stored(members.groupBy("v").agg(ids.alias("ids")).withColumn("width", F.size("v")), "ann-vectors")
-    widths = index.groupBy("width").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).collect()
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = peak * F.sqrt(F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x))
+    widths = index.groupBy("width").agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = ranked.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "v")
@@ -152,8 +168,8 @@ def nearest_neighbours(
     found = None
     for w in widths:  # one kind of vector has one length; others are rare
         own = _search(
-            index.where(F.col("width") == w["width"]), queries.where(F.size("v") == w["width"]), w["width"], w["n"], float(w["square"]), k,
-            list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks,
+            index.where(F.col("width") == w["width"]), queries.where(F.size("v") == w["width"]), w["width"], w["n"], float(w["norm"]), k,
+            list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks, recall, sample_queries,
         )
         found = own if found is None else found.unionAll(own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -167,7 +183,61 @@ def nearest_neighbours(
     )
 
 
-def _search(index, queries, width, total, square, k, list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks) -> DataFrame:
+def _searched(asked: list, postings: DataFrame, graph: CentroidGraph, sizes: np.ndarray, width: int, k: int, replicas: int, recall: float) -> tuple[int, float]:
+    """(lists, ratio) within which the queries ``asked`` find the share ``recall`` of their true neighbours.
+
+    Every task keeps the best rows of the vectors it reads; the best of all are a few for each of the queries.
+    """
+    if not asked:
+        return 1, 0.0
+    lengths = _unit(np.array([r["v"] for r in asked], dtype=np.float64).reshape(-1, width))
+    shared = postings.sparkSession.sparkContext.broadcast(lengths)
+    kept = replicas * (k + 1)  # the query's own vector and k others, each in as many lists as it may have
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        score, lists, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=np.int32), np.zeros((len(q), 0), dtype=object)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                s = q @ _matrix(batch.column("v"), width).T
+                top = np.argpartition(-s, min(kept, s.shape[1]) - 1, axis=1)[:, :kept]
+                named = np.empty(batch.num_rows, dtype=object)
+                used = np.unique(top)
+                for i, one in zip(used, batch.column("ids").take(pa.array(used)).to_pylist(), strict=True):
+                    named[i] = one
+                score = np.concatenate([score, np.take_along_axis(s, top, 1)], axis=1)
+                lists = np.concatenate([lists, batch.column("list").to_numpy()[top]], axis=1)
+                ids = np.concatenate([ids, named[top]], axis=1)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :kept]
+                score, lists, ids = (np.take_along_axis(a, order, 1) for a in (score, lists, ids))
+        if score.size:
+            who = np.repeat(np.arange(len(q), dtype=np.int32), score.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(who), pa.array(lists.ravel()), pa.array(score.ravel()), pa.array(ids.ravel().tolist(), pa.list_(pa.int64()))], names=["who", "list", "score", "ids"]
+            )
+
+    found = postings.mapInArrow(best, "who int, list int, score double, ids array<long>")
+    found = found.withColumn("no", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("score"), "ids"))).where(F.col("no") <= kept)
+    near, d = graph.nearest(np.c_[lengths, np.zeros(len(lengths))], len(graph.centroids), len(graph.centroids))
+    place, free = np.argsort(near, axis=1), np.cumsum(sizes[near], axis=1) - sizes[near] < 32 * k
+    ratio = np.where(free, 0.0, np.sqrt(np.maximum(0.0, d) / np.maximum(d[:, :1], 1e-12)))
+    needed: list[tuple[int, float]] = []
+    left, vectors = dict.fromkeys(range(len(asked)), k), {}
+    for r in found.orderBy("who", "no").collect():
+        vectors.setdefault((r["who"], tuple(r["ids"])), []).append(place[r["who"], r["list"]])
+    for (who, ids), places in vectors.items():  # best first; a vector counts as often as it has ids in the answer
+        times = min(left[who], sum(i != asked[who]["query_id"] for i in ids))
+        left[who] -= times
+        needed += [(min(places) + 1, ratio[who, min(places)])] * times
+    if not needed:
+        return 1, 0.0
+    at = min(len(needed) - 1, int(np.ceil((1 + recall) / 2 * len(needed))) - 1)  # either loses half of what may be lost
+    lists, ratios = (np.sort(np.array(c)) for c in zip(*needed, strict=True))
+    return int(lists[at]), float(ratios[at])
+
+
+def _search(index, queries, width, total, norm, k, list_size, sample_rows, max_lists, probe_share, search_ratio, replicas, replica_ratio, part_rows, blocks, recall, sample_queries) -> DataFrame:
     spark = index.sparkSession
     share = min(1.0, sample_rows / max(1, total))
     picked = index.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(max(1, int(share * (1 << 20)))))
@@ -175,12 +245,11 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
     sample = np.array([r["v"] for r in picked.select("v").limit(4 * sample_rows).collect()], dtype=np.float64).reshape(-1, width)
     if not len(sample):
         sample = np.array([r["v"] for r in index.select("v").limit(1).collect()], dtype=np.float64)
-    lift = lambda x: np.c_[x, np.sqrt(np.maximum(0.0, square - (x * x).sum(1)))]
+    lift = lambda x: np.c_[x / norm, np.sqrt(np.maximum(0.0, 1 - ((x / norm) ** 2).sum(1)))]
     lists = int(min(max_lists, max(1, total // list_size)))
     graph = CentroidGraph(balanced_centroids(lift(sample), lists))
     shared = spark.sparkContext.broadcast(graph)
     n_lists = len(graph.centroids)
-    probes = min(n_lists, max(128, int(np.ceil(probe_share * n_lists))))
     # lists are searched in groups of about part_rows vectors, each of which gives k rows a query; a list of more is cut
     groups = int(max(16, -(-total * replicas // part_rows)))
     parts = int(max(1, -(-total * replicas // (n_lists * part_rows))))
@@ -188,8 +257,8 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
                 x = lift(_matrix(batch.column("v"), width))
                 near, d = g.nearest(x, replicas, 64)
                 keep = np.zeros(near.shape, dtype=bool)
@@ -208,11 +277,11 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                x = np.c_[_matrix(batch.column("v"), width), np.zeros(batch.num_rows)]
+                x = np.c_[_unit(_matrix(batch.column("v"), width)), np.zeros(batch.num_rows)]
                 near, d = g.nearest(x, probes, 2 * probes)
                 # a query on a centroid makes every ratio large: the first lists that hold enough are searched anyhow
                 held = np.cumsum(sizes.value[near], axis=1) - sizes.value[near]
-                row, col = np.nonzero((d <= search_ratio**2 * np.maximum(d[:, :1], 1e-12)) | (held < 32 * k))
+                row, col = np.nonzero((d <= ratio**2 * np.maximum(d[:, :1], 1e-12)) | (held < 32 * k))
                 place = near[row, col].astype(np.int64)
                 # every part of a list is searched; a query goes to a group once, with the lists it asks there
                 group = ((np.repeat(place, parts) * parts + np.tile(np.arange(parts), len(place))) % groups).astype(np.int64)
@@ -233,9 +302,13 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
     for r in postings.groupBy("list").count().collect():  # max_lists rows at most
         counted[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(counted)
+    asking = queries.orderBy(F.xxhash64("query_id", "v")).limit(sample_queries).collect()
+    needed, ratio = _searched(asking, postings, graph, counted, width, k, replicas, recall)
+    probes, ratio = min(n_lists, max(128, int(np.ceil(probe_share * n_lists)), needed)), max(search_ratio, ratio * (1 + 1e-9))
     asked = queries.mapInArrow(route, "grp int, lists array<int>, query_id long, v array<double>")
     # both sides of a group are bounded: queries part by a hash into blocks, each of which meets a copy of the lists
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)))
+    # of one type on both sides: cogroup does not cast, and equal numbers of different types hash to different partitions
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)).cast("int"))
     copies = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +331,8 @@ def _search(index, queries, width, total, square, k, list_size, sample_rows, max
                     n = min(k + 1, s.shape[1])
                     bar = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
                     # all that could tie with the last one stay: the product is then computed in one fixed order
-                    row, col = np.nonzero(s >= bar[:, None] - 1e-9 * np.maximum(1.0, np.abs(bar[:, None])))
+                    slack = 1e-12 * np.linalg.norm(q[rows], axis=1) * np.linalg.norm(x[start:end], axis=1).max()
+                    row, col = np.nonzero(s >= (bar - slack)[:, None])
                     row, col = rows[row], col + start
                     found.append((row, col, (q[row] * x[col]).sum(1)))
             if found:

@@ -80,3 +80,28 @@ def test_ties_hot_vectors_and_edges(spark):
     few = spark.createDataFrame([(0, hot), (5, hot), (7, [3.0, 0.0, 0.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert lists(A.nearest_neighbours(few).collect()) == {0: [(5, 21.0), (7, 12.0)]}
     assert A.nearest_neighbours(few.limit(0)).collect() == []
+
+
+def test_groups_meet_in_every_partition(spark):
+    """Both sides of a group lie in one partition, also where no small partitions are merged."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lists(A.nearest_neighbours(df).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()])
+    assert got.keys() == want.keys()
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_short_queries_find_their_neighbours(spark):
+    """A query's length changes neither its neighbours nor the lists that are searched for it."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::20] *= 0.01
+    rows = list(enumerate(x.tolist()))
+    want, got = brute(rows), lists(A.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_size=5).collect())
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
