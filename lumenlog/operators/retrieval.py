@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lumenlog.functions import vectors as vx
 from lumenlog.operators.embedding import tokens
 from lumenlog.plans.ranks import first_n_per_group
+from lumenlog.session import materialize
 
 # Query vectors of a block, which travels to every task: 2048 vectors of 512 doubles are 8 MB.
 BLOCK_QUERIES = 2048
@@ -22,6 +23,8 @@ SCORED_ROWS = 2048
 # Vectors of a tile: 65536 of 512 doubles are 256 MB.
 BLOCK_ROWS = 65536
 SCORE_DIGITS = 12
+# Standard deviations of a binomial number of differing bits that a search by signatures allows for.
+SURE = 3.0
 
 HITS = "queryId bigint, tier int, eventId bigint, score double"
 HITS_ARROW = pa.schema([("queryId", pa.int64()), ("tier", pa.int32()), ("eventId", pa.int64()), ("score", pa.float64())])
@@ -251,9 +254,14 @@ def ann_top_k(
     factor: int = 10,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """Approximate top-k: ``factor * k`` candidates by signature distance, then exact scores.
+    """Approximate top-k: candidates by signature distance, then exact scores.
 
-    The first pass reads ids and signatures only; embeddings are fetched for the
+    A fixed number of candidates finds ever less as the table grows, so ``factor * k`` of them only tell how near a
+    query's k-th nearest is at least. Whatever is as near differs in a binomial number of bits; all rows
+    within ``SURE`` deviations of its mean are the candidates that count, and each of the true k is among them
+    with probability 0.998 and more, however many rows or copies there are.
+
+    Both passes read ids and signatures only; embeddings are fetched for the
     candidates. Queries beyond ``block_queries`` go in tiles as in :func:`top_k`. Vectors and queries that
     are null or of another length than ``dim`` take no part.
     """
@@ -267,33 +275,44 @@ def ann_top_k(
         return np.packbits(np.array(embeddings, dtype="float64").reshape(-1, dim) @ planes > 0, axis=1)
 
     n = asked.count()
-    if n <= block_queries:
-        block = asked.collect()
-        ids = np.array([r["queryId"] for r in block], dtype="int64")
-        shared = signed.sparkSession.sparkContext.broadcast((ids, packed([r["embedding"] for r in block])))
-        near = rows.mapInArrow(lambda batches: _nearest(*shared.value, batches, wanted), schema)
-    else:
+
+    def compared(asked: DataFrame, find: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+        """What ``find`` of (ids, signatures, limits, batches) gives for all queries (queryId, embedding, limit) and rows."""
+        if n <= block_queries:
+            block = asked.collect()
+            ids, limits = (np.array([r[name] for r in block], dtype="int64") for name in ("queryId", "limit"))
+            shared = signed.sparkSession.sparkContext.broadcast((ids, packed([r["embedding"] for r in block]), limits))
+            return rows.mapInArrow(lambda batches: find(*shared.value, batches), schema)
 
         def answer(block: pa.Table, part: pa.Table) -> pa.Table:
-            ids = block["queryId"].to_numpy().astype("int64")
-            found = list(_nearest(ids, packed(block["embedding"].to_pylist()), part.to_batches(), wanted))
+            ids, limits = (block[name].to_numpy().astype("int64") for name in ("queryId", "limit"))
+            found = list(find(ids, packed(block["embedding"].to_pylist()), limits, part.to_batches()))
             return pa.Table.from_batches(found) if found else _NEAR.empty_table()
 
-        near = _tiles(asked, rows, n, block_queries).applyInArrow(answer, schema)
-    candidates = first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted).select("queryId", "eventId")
-    q = asked.select("queryId", F.col("embedding").alias("_q"))
-    scored = (
-        candidates.join(signed.select("eventId", "embedding"), "eventId")
-        .join(q, "queryId")
-        .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("embedding")), SCORE_DIGITS).alias("score"))
-    )
-    out = first_n_per_group(scored, ["queryId"], [F.desc("score"), F.col("eventId")], k)
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
-
-
-def _nearest(qids: np.ndarray, qsigs: np.ndarray, batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
-    """The ``wanted`` signatures of the batches nearest to each query, distances of 32 queries at once."""
-    best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
+        return _tiles(asked, rows, n, block_queries).applyInArrow(answer, schema)
+
+    def best(candidates: DataFrame) -> DataFrame:
+        scored = (
+            candidates.select("queryId", "eventId")
+            .join(signed.select("eventId", "embedding"), "eventId")
+            .join(asked.select("queryId", F.col("embedding").alias("_q")), "queryId")
+            .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("embedding")), SCORE_DIGITS).alias("score"))
+        )
+        return first_n_per_group(scored, ["queryId"], [F.desc("score"), F.col("eventId")], k)
+
+    every = asked.withColumn("limit", F.lit(bits).cast("bigint"))
+    near = compared(every, lambda ids, signs, _, batches: _nearest(ids, signs, batches, wanted))
+    first = best(first_n_per_group(near, ["queryId"], [F.col("far"), F.col("eventId")], wanted))
+    reached = first.groupBy("queryId").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
+    share = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_least")))) / F.lit(np.pi)
+    within = F.ceil(bits * share + SURE * F.sqrt(bits * share * (1 - share)))
+    # fewer than k rows to choose from: nothing is left out
+    reached = reached.select("queryId", F.when(F.col("_n") < k, F.lit(bits)).otherwise(within).cast("bigint").alias("limit"))
+    return best(compared(materialize(asked.join(reached, "queryId"), "ann-limits"), _within)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(event ids, signatures as bytes) of slices of the batches."""
     for whole in batches:
         for start in range(0, whole.num_rows, SCORED_ROWS):
             batch = whole.slice(start, SCORED_ROWS)
@@ -301,13 +320,28 @@ def _nearest(qids: np.ndarray, qsigs: np.ndarray, batches: Iterator[pa.RecordBat
             first, last = bits.offset, bits.offset + len(bits)
             ends = np.frombuffer(bits.buffers()[1], dtype="int32")[first : last + 1]
             rows = np.frombuffer(bits.buffers()[2], dtype="uint8")[ends[0] : ends[-1]].reshape(len(bits), -1)
-            event = batch["eventId"].to_numpy(zero_copy_only=False)
-            for q in range(0, len(qids), 32):
-                far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
-                for i, d in enumerate(far, q):
-                    d, ids = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], event])
-                    keep = _best(d, ids, wanted)
-                    best[i] = (d[keep], ids[keep])
+            yield batch["eventId"].to_numpy(zero_copy_only=False), rows
+
+
+def _within(qids: np.ndarray, qsigs: np.ndarray, limits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every signature of the batches within the limit of a query, distances of 32 queries at once."""
+    for event, rows in _signature_rows(batches):
+        for q in range(0, len(qids), 32):
+            far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
+            who, at = np.nonzero(far <= limits[q : q + 32, None])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q + who]), pa.array(event[at]), pa.array(far[who, at])], schema=_NEAR)
+
+
+def _nearest(qids: np.ndarray, qsigs: np.ndarray, batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
+    """The ``wanted`` signatures of the batches nearest to each query, distances of 32 queries at once."""
+    best = [(np.zeros(0, "int64"), np.zeros(0, "int64")) for _ in qids]
+    for event, rows in _signature_rows(batches):
+        for q in range(0, len(qids), 32):
+            far = np.bitwise_count(qsigs[q : q + 32, None] ^ rows).sum(axis=2, dtype="int64")
+            for i, d in enumerate(far, q):
+                d, ids = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], event])
+                keep = _best(d, ids, wanted)
+                best[i] = (d[keep], ids[keep])
     for qid, (far, found) in zip(qids, best):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), qid)), pa.array(found), pa.array(far)], schema=_NEAR)
 

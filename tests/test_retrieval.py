@@ -167,3 +167,20 @@ def test_clusters_group_like_with_like(spark):
     by = {r.eventId: r.cluster for r in got.collect()}
     assert len({by[i] for i in range(1, 40, 2)}) == 1 and by[1] != by[0] and 99 not in by
     assert related_traces(got).count() == 40
+
+
+def test_signature_candidates_of_near_vectors_in_numbers(spark):
+    """Two thousand vectors, four copies each, hardly nearer than others: factor * k candidates don't hold the nearest."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((2000, 64)), 4, axis=0)
+    vectors = spark.createDataFrame([(i, v, "s", None) for i, v in enumerate(x.tolist())], "eventId long, embedding array<double>, service string, timestamp timestamp")
+    q = 0.5 * x[::400] + 0.9 * rng.standard_normal((20, 64))
+    queries = spark.createDataFrame(list(enumerate(q.tolist())), "queryId long, embedding array<double>")
+    signed = retrieval.signatures(vectors, 64)
+    exact = {(r.queryId, r.eventId): r.score for r in retrieval.top_k(queries, vectors, 8).collect()}
+    for block in (2048, 7):
+        got = {(r.queryId, r.eventId): r.score for r in retrieval.ann_top_k(queries, signed, 8, 64, factor=2, block_queries=block).collect()}
+        assert len(got) == len(exact) == 160 and len(got.keys() & exact.keys()) >= 152
+        assert all(abs(s - exact[p]) < 1e-9 for p, s in got.items() if p in exact)
