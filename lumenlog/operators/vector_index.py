@@ -4,8 +4,8 @@ Every vector has a key in each of ``BANDS`` bands: the signs of its products wit
 Vectors of one key lie together, so a query reads the keys it probes and nothing else: in every band its
 own key, then those that differ from it in the signs it is least sure of. Keys get longer as the table
 grows, so that a key keeps about ``KEY_ROWS`` vectors, and what a query reads grows more slowly than the
-table. How many keys are probed is measured while the index is built: as many as a bounded sample of
-vectors needs to find the wanted share of its own exact neighbours.
+table. How many keys are probed, and how many of what they hold is scored, is measured while the index is built:
+as many as a bounded sample of vectors needs to find the wanted share of its own exact neighbours.
 
 The index is a Parquet table by slots of keys, so that a few queries read few slots. A key of more than
 ``HOT_ROWS`` vectors (copies, or a dense place) is split over parts and probed in each.
@@ -17,11 +17,11 @@ import heapq
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import vectors as vx
@@ -37,6 +37,7 @@ HOT_ROWS = 50_000
 SLOTS = 16  # of a band
 MAX_PROBES = 2048  # keys of a band
 SAMPLED = 64  # vectors whose neighbours the probes are measured on
+MEASURED = 10  # of them, nearest
 ENTRY = "slot int, band int, key long, eventId long, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS))
 PROBE = "queryId long, slot int, band int, key long, " + ", ".join(f"q{i} long" for i in range(SIGN_WORDS))
 
@@ -52,6 +53,7 @@ class IndexPlan:
     recall: float
     rows: int
     seed: int
+    candidates: int = 0  # by signature, of a query, that hold what the sample's probes found of its ten nearest
 
     def planes(self) -> np.ndarray:
         """Hyperplanes of the bands, then those of the signature."""
@@ -90,17 +92,20 @@ def flips(margins: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _measured(vectors: DataFrame, plan: IndexPlan, recall: float, k: int = 10) -> tuple[int, float]:
-    """(probes, recall) on the sample: as few keys of each band as find the share of the exact ``k`` nearest others."""
+def _measured(vectors: DataFrame, plan: IndexPlan, recall: float, k: int = MEASURED) -> tuple[int, float, int]:
+    """(probes, recall, candidates) on the sample: as few keys of each band as find the share of the exact ``k`` nearest others.
+
+    ``candidates`` is the place by signature, among all that these keys hold, up to which all but 1 % of what they find lies.
+    """
     sample = materialize(vectors.orderBy(F.xxhash64("eventId"), "eventId").limit(SAMPLED).select("eventId", "embedding"), "index-sample")
     near = top_k(sample.select(F.col("eventId").alias("queryId"), "embedding"), vectors, k + 1)
-    near = near.where("queryId <> eventId AND rank <= 11").select("queryId", "eventId")
+    near = materialize(near.where("queryId <> eventId").select("queryId", "eventId"), "index-near")
     pairs = near.join(vectors.select("eventId", F.col("embedding").alias("v")), "eventId").join(
         sample.select(F.col("eventId").alias("queryId"), F.col("embedding").alias("q")), "queryId"
     )
     found = pairs.select("queryId", "q", "v").collect()  # at most k + 1 rows for each of the sample
     if not found:
-        return 1, 1.0
+        return 1, 1.0, 0
     planes, needed, probed = plan.planes(), [], {}
     for row in found:
         if row["queryId"] not in probed:
@@ -114,7 +119,11 @@ def _measured(vectors: DataFrame, plan: IndexPlan, recall: float, k: int = 10) -
     needed.sort()
     wanted = needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)] + 1
     probes = min(MAX_PROBES, wanted)
-    return probes, sum(n < probes for n in needed) / len(needed)
+    asked = sample.select(F.col("eventId").alias("queryId"), "embedding")
+    held = probed_entries(asked, replace(plan, probes=probes)).distinct()
+    order = Window.partitionBy("queryId").orderBy("far", "eventId")
+    places = held.withColumn("_no", F.row_number().over(order)).join(near, ["queryId", "eventId"]).agg(F.percentile("_no", 0.99)).first()[0]
+    return probes, sum(n < probes for n in needed) / len(needed), math.ceil(places or 0)
 
 
 def build_index(vectors: DataFrame, path: str, dim: int, recall: float = 0.95, seed: int = 7) -> IndexPlan:
@@ -147,8 +156,8 @@ def build_index(vectors: DataFrame, path: str, dim: int, recall: float = 0.95, s
     split = split.withColumn("part", F.pmod(F.xxhash64("eventId"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     split = split.repartitionByRange("slot", "key", "part").sortWithinPartitions("slot", "key", "part")
     split.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/entries")
-    probes, found = _measured(used, plan, recall)
-    plan = IndexPlan(path, dim, plan.bits, probes, found, rows, seed)
+    probes, found, candidates = _measured(used, plan, recall)
+    plan = IndexPlan(path, dim, plan.bits, probes, found, rows, seed, candidates)
     spark.createDataFrame([(json.dumps(asdict(plan)),)], "plan string").coalesce(1).write.mode("overwrite").text(f"{path}/plan")
     return plan
 
@@ -189,10 +198,10 @@ def probed_entries(queries: DataFrame, plan: IndexPlan) -> DataFrame:
 def indexed_top_k(queries: DataFrame, vectors: DataFrame, plan: IndexPlan, k: int, factor: int = 20) -> DataFrame:
     """Approximate cosine top-k: queryId, eventId, score (exact), rank.
 
-    ``factor * k`` candidates of a query, nearest by signature, are fetched from ``vectors`` and scored. Queries that
-    are null, zero or of another length get no answer; their ids are expected to be unique.
+    ``factor * k`` candidates of a query, nearest by signature, or as many as the index was measured to need, are
+    fetched from ``vectors`` and scored. Queries that are null, zero or of another length get no answer; their ids are expected to be unique.
     """
-    wanted = factor * k
+    wanted = max(factor * k, plan.candidates * -(-k // MEASURED))
     # an event comes from at most BANDS bands, so so many rows hold the wanted number of events
     near = first_n_per_group(probed_entries(queries, plan), ["queryId"], [F.col("far"), F.col("eventId")], wanted * BANDS, "_no")
     near = first_n_per_group(near.select("queryId", "eventId", "far").distinct(), ["queryId"], [F.col("far"), F.col("eventId")], wanted, "_no")

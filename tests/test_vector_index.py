@@ -76,3 +76,15 @@ def test_odd_vectors_and_empty_tables(spark):
     assert sorted((r.queryId, r.eventId) for r in vi.indexed_top_k(q, v, plan, 2).collect() if r["rank"] == 1) == [(1, 1), (5, 5)]
     empty = vi.build_index(v.limit(0), folder(), 2)
     assert vi.indexed_top_k(q, v, empty, 2).collect() == [] == vi.indexed_top_k(q.limit(0), v, plan, 2).collect()
+
+
+def test_recall_where_signatures_hardly_tell(spark):
+    """Vectors without structure: as many candidates are scored as the sample needs, not a fixed number."""
+    x = np.random.default_rng(8).standard_normal((10_000, 64))
+    v = frame(spark, x)
+    plan = vi.build_index(v, folder(), 64)
+    q = v.where("eventId % 100 = 0").select(F.col("eventId").alias("queryId"), "embedding")
+    got = {(r.queryId, r.eventId) for r in vi.indexed_top_k(q, v, plan, 5).collect()}
+    exact = {(r.queryId, r.eventId) for r in retrieval.top_k(q, v, 5).collect()}
+    assert len(got) == len(exact) == 500 and len(got & exact) >= 450
+    assert plan.candidates > 100
