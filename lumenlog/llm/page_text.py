@@ -7,7 +7,9 @@ then concatenated and sorted as a suffix array (prefix doubling); substrings of
 more that stand on a large share of the pages are boilerplate. Covered tokens go, unique runs stay.
 
 A host with more than ``shard_pages`` pages is split by a hash of the page into shards of about that
-size; boilerplate by its share of pages shows in each, so no host is gathered in one task.
+size, so no host is gathered in one task. What stands on a large share of all its pages does so on those of one
+shard at least: such runs are looked for by a suffix array per shard, counted in every shard, and judged by
+their pages on the whole host. So the size of the shards changes no text.
 """
 
 from __future__ import annotations
@@ -139,8 +141,8 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def covered_tokens(streams: list[list[str]], min_tokens: int, share: float, least_pages: int) -> list[np.ndarray]:
-    """Which tokens of each stream stand in a substring of ``min_tokens`` or more that enough streams have.
+def common_starts(streams: list[list[str]], min_tokens: int, needed: int) -> list[np.ndarray]:
+    """Where in each stream a substring of ``min_tokens`` starts that ``needed`` streams have.
 
     The streams are concatenated with a sentinel of its own after each; prefix doubling ranks the suffixes by their
     first ``min_tokens`` tokens; suffixes of equal rank are an interval of longest common prefix ``min_tokens`` or more.
@@ -148,8 +150,7 @@ def covered_tokens(streams: list[list[str]], min_tokens: int, share: float, leas
     sizes = np.array([len(s) for s in streams])
     ends = np.cumsum(sizes + 1)
     page = np.repeat(np.arange(len(streams)), sizes + 1)
-    needed = max(least_pages, int(np.ceil(share * len(streams))))
-    marks = np.zeros(ends[-1] if len(ends) else 0, dtype=bool)
+    common = np.zeros(ends[-1] if len(ends) else 0, dtype=bool)
     if len(streams) >= needed and sizes.sum() >= min_tokens:
         ids, _ = pd.factorize(np.array([t for s in streams for t in [*s, ""]], dtype=object))
         rank = ids.astype(np.int64) + len(streams)
@@ -164,12 +165,32 @@ def covered_tokens(streams: list[list[str]], min_tokens: int, share: float, leas
         key = np.unique(rank[order] * len(streams) + page[order])
         pages = np.bincount(key // len(streams), minlength=rank.max() + 1)
         starts = np.flatnonzero(pages[rank] >= needed)
-        whole = starts[ends[page[starts]] - 1 - starts >= min_tokens]  # not over a page's end
-        edge = np.zeros(len(rank) + 1, dtype=np.int64)
-        np.add.at(edge, whole, 1)
-        np.add.at(edge, whole + min_tokens, -1)
-        marks = np.cumsum(edge)[:-1] > 0
-    return [marks[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
+        common[starts[ends[page[starts]] - 1 - starts >= min_tokens]] = True  # not over a page's end
+    return [common[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
+
+
+def covered(starts: np.ndarray, min_tokens: int) -> np.ndarray:
+    """The tokens within ``min_tokens`` from a start on."""
+    edge = np.zeros(len(starts) + min_tokens + 1, dtype=np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + min_tokens, -1)
+    return np.cumsum(edge)[: len(starts)] > 0
+
+
+def needed_pages(pages: int, share: float, least_pages: int) -> int:
+    return max(least_pages, int(np.ceil(share * pages)))
+
+
+def covered_tokens(streams: list[list[str]], min_tokens: int, share: float, least_pages: int) -> list[np.ndarray]:
+    """Which tokens of each stream stand in a substring of ``min_tokens`` or more that enough streams have."""
+    starts = common_starts(streams, min_tokens, needed_pages(len(streams), share, least_pages))
+    return [covered(s, min_tokens) for s in starts]
+
+
+def runs_of(tokens: list[str], min_tokens: int) -> list[str]:
+    """The substring of ``min_tokens`` from each token on, as far as there is one; tokens hold no space."""
+    return [" ".join(tokens[i : i + min_tokens]) for i in range(len(tokens) - min_tokens + 1)]
 
 
 def unique_runs(blocks: list[list[str]], inside: list[bool], marks: np.ndarray) -> list[str]:
@@ -201,7 +222,7 @@ def extract_main_text(
     host. Repeated rows are pages of their own. Broken and unclosed markup ends where its parent ends.
     """
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("host"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -210,25 +231,72 @@ def extract_main_text(
                 [
                     batch.column("page_id"),
                     batch.column("url"),
+                    batch.column("host"),
+                    batch.column("shards"),
                     pa.array([[t for t, _ in b] for b in found], pa.list_(pa.string())),
                     pa.array([[m for _, m in b] for b in found], pa.list_(pa.bool_())),
                 ],
-                names=["page_id", "url", "blocks", "inside"],
+                names=["page_id", "url", "host", "shards", "blocks", "inside"],
             )
 
     # only hosts of several shards are looked up: a small stored table, so that pages are dealt by host and shard at once
-    counts = source.select(host.alias("host")).groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
-    shards = stored(counts.where("shards > 1"), "host-shards")
-    parsed = source.mapInArrow(parse, "page_id long, url string, blocks array<string>, inside array<boolean>").withColumn("host", host)
-    dealt = parsed.join(shards, "host", "left").withColumn(
-        "shard", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.coalesce("shards", F.lit(1)))
-    )
+    counts = source.groupBy("host").agg(F.count("*").alias("pages"))
+    shards = stored(counts.select("host", "pages", F.ceil(F.col("pages") / shard_pages).cast("int").alias("shards")).where("shards > 1"), "host-shards")
+    sized = source.join(F.broadcast(shards.select("host", "shards")), "host", "left").select("page_id", "url", "host", "shards", "html")
 
-    def clean(group: pd.DataFrame) -> pd.DataFrame:
+    def dealt(pages: DataFrame) -> DataFrame:
+        parsed = pages.mapInArrow(parse, "page_id long, url string, host string, shards int, blocks array<string>, inside array<boolean>")
+        parts = F.coalesce("shards", F.lit(1))
+        placed = parsed.withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "blocks"), parts).cast("int")).drop("shards")
+        # by both keys: a shuffle by host alone would do for the groups but not for a hot host
+        return placed.repartition(*key)
+
+    key = ["host", "shard"]
+    result = "page_id long, url string, text string, n_chars long"
+
+    def streams_of(group: pd.DataFrame) -> list[list[str]]:
+        return [[t for b in blocks for t in b.split(" ")] for blocks in group["blocks"]]
+
+    def cleaned(group: pd.DataFrame, marks: list[np.ndarray]) -> pd.DataFrame:
         tokens = [[b.split(" ") for b in blocks] for blocks in group["blocks"]]
-        marks = covered_tokens([[t for b in page for t in b] for page in tokens], min_tokens, share, least_pages)
         text = ["\n\n".join(unique_runs(b, list(i), m)) for b, i, m in zip(tokens, group["inside"], marks, strict=True)]
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": text, "n_chars": [len(t) for t in text]})
+        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"].astype(object), "text": text, "n_chars": [len(t) for t in text]})
+
+    def clean(group: pd.DataFrame) -> pd.DataFrame:
+        return cleaned(group, covered_tokens(streams_of(group), min_tokens, share, least_pages))
+
+    few = dealt(sized.where("shards IS NULL")).groupBy(*key).applyInPandas(clean, result)
+    if shards.isEmpty():
+        return few
+    many = dealt(sized.where("shards IS NOT NULL"))  # three times in one plan, whose shuffle Spark writes once
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        streams = streams_of(group)
+        starts = common_starts(streams, min_tokens, needed_pages(len(streams), share, 1))
+        runs = {" ".join(t[i : i + min_tokens]) for t, own in zip(streams, starts, strict=True) for i in np.flatnonzero(own)}
+        return pd.DataFrame([(group["host"].iloc[0], run) for run in sorted(runs)], columns=["host", "run"], dtype=object)
+
+    def count(pages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        found = dict.fromkeys(runs["run"], 0)
+        for tokens in streams_of(pages) if found else ():
+            for run in found.keys() & set(runs_of(tokens, min_tokens)):
+                found[run] += 1
+        host = pages["host"].iloc[0] if found and len(pages) else None
+        kept = [(host, run, n) for run, n in found.items() if n]
+        return pd.DataFrame(kept, columns=["host", "run", "n"], dtype=object)
+
+    def judge(pages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        common = set(runs["run"])
+        starts = [np.array([r in common for r in runs_of(t, min_tokens)] + [False] * min(len(t), min_tokens - 1), dtype=bool) for t in streams_of(pages)]
+        return cleaned(pages, [covered(s, min_tokens) for s in starts])
+
+    def everywhere(runs: DataFrame):
+        """The runs of a host in each of its shards; the key has the types it has there, since cogroup does not cast."""
+        sent = runs.join(shards, "host").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        return sent.select("host", F.col("shard").cast("int").alias("shard"), "run").groupBy(*key)
 
-    # dealt by both: a shuffle by host alone, which the join may bring, would do for the groups but not for a hot host
-    return dealt.repartition("host", "shard").groupBy("host", "shard").applyInPandas(clean, "page_id long, url string, text string, n_chars long")
+    runs = many.groupBy(*key).applyInPandas(local, "host string, run string").distinct()
+    counted = many.groupBy(*key).cogroup(everywhere(runs)).applyInPandas(count, "host string, run string, n long")
+    least = F.greatest(F.lit(least_pages), F.ceil(F.lit(float(share)) * F.col("pages")))
+    common = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).join(shards.select("host", "pages"), "host").where(F.col("n") >= least)
+    return few.unionAll(many.groupBy(*key).cogroup(everywhere(common)).applyInPandas(judge, result))

@@ -95,3 +95,18 @@ def test_short_story_among_menus(spark):
     same = [(i, "http://s.example/", f"<div>{menu}</div>") for i in range(20)]
     out = P.extract_main_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()
     assert all(r.text == menu for r in out)
+
+
+def test_shards_change_no_text(spark):
+    """Runs on just about half of a host's pages: each is judged by the host, whatever its share of a shard."""
+    notes = [" ".join(f"n{k}w{i}" for i in range(10)) for k in range(9)]
+    rows = []
+    for i in range(120):
+        held = [n for k, n in enumerate(notes) if (i * 7 + k * 13) % 120 < 56 + k]
+        rows.append((i, "http://big.example/", "".join(f"<div>{n}</div>" for n in held) + f"<div>{' '.join(f'p{i}t{j}' for j in range(80))}</div>"))
+    rows += [(200 + i, "http://small.example/", f"<div>{notes[0]}</div><div>page {i} here</div>") for i in range(8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in P.extract_main_text(frame).collect()}
+    assert len(whole) == 128 and 0 < sum(notes[3] in t for t in whole.values()) and not any(notes[4] in t for t in whole.values())
+    for size in (9, 40):
+        assert {r.page_id: r.text for r in P.extract_main_text(frame, shard_pages=size).collect()} == whole
