@@ -13,6 +13,10 @@ A cell is compared in tiles: its own vectors and its guests are cut into blocks
 and every own block meets every guest block in a group of its own. So no group holds more than two
 blocks, whatever the threshold, the number of guests or the share of the table in one cell. Tiles hand on
 counts, which are summed, and star edges, which are merged by components, never pairs.
+
+What is sent grows with the blocks that a vector meets, so a block holds an eighth of the table, up to
+``BLOCK_ROWS``: a vector is sent some sixteen times, until the table has more than eight of the largest blocks. Where
+the cells leave too little out, many cells send more than one that holds all; the cheaper of both is taken.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from lumenlog.plans.graph import components
 from lumenlog.session import materialize
 
 MAX_PIVOTS = 1024
-BLOCK_ROWS = 2048  # own vectors, and guests, of a tile
+CELL_ROWS = 2048  # own vectors of a cell, while there are few enough cells
+BLOCK_ROWS = 65536  # own vectors, and guests, of a tile: 32 MB of 64 doubles on either side
+PAIRS = 1 << 22  # similarities held at once: 32 MB
 BATCH_ROWS = 2048  # vectors placed at once
 _SLACK = 1e-6
 TILE = "cell int, own_block int, guest_block int, own boolean, id long, core boolean, v array<double>"
@@ -121,8 +127,10 @@ def tiles(vectors: DataFrame, cells, sizes: dict[int, tuple[int, int]], block_ro
 
 
 def _similar(mine: np.ndarray, guests: np.ndarray, min_similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    for start in range(0, len(mine), 512):
-        yield start, np.round(mine[start : start + 512] @ guests.T, 12) >= min_similarity
+    step = max(1, PAIRS // max(1, len(guests)))
+    for start in range(0, len(mine), step):
+        s = mine[start : start + step] @ guests.T
+        yield start, np.round(s, 12, out=s) >= min_similarity
 
 
 def _sides(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,7 +150,7 @@ def _count(table: pa.Table, min_similarity: float) -> pa.Table:
     found = np.zeros(len(ids), "int64")
     if len(guests):
         for start, hit in _similar(x, guests, min_similarity):
-            found[start : start + 512] = hit.sum(1)
+            found[start : start + len(hit)] = hit.sum(1)
     return pa.table({"id": pa.array(ids, pa.int64()), "neighbours": pa.array(found)})
 
 
@@ -153,31 +161,37 @@ def _link(table: pa.Table, min_similarity: float) -> pa.Table:
     label = np.arange(len(names))
     mine, theirs = np.full(len(ids), -1), place[core.sum() :]
     mine[core] = place[: core.sum()]
-    pairs = list(_similar(x, guests, min_similarity)) if len(ids) and len(guests) else []
-    for start, hit in pairs:
-        for i in np.flatnonzero(core[start : start + 512]).tolist():
-            touched = np.unique(np.r_[label[theirs[hit[i]]], label[mine[start + i]]])
-            if len(touched) > 1:
+    rows, others = (np.flatnonzero(c) if len(guests) else np.zeros(0, "int64") for c in (core, ~core))
+    for start, hit in _similar(x[rows], guests, min_similarity):
+        for i, own in enumerate(mine[rows[start : start + len(hit)]].tolist()):
+            met = label[theirs[hit[i]]]
+            if (met != label[own]).any():
+                touched = np.unique(np.r_[met, label[own]])
                 label[np.isin(label, touched)] = touched[0]
     a, b, kind = [names[label]], [names], [np.ones(len(names), bool)]
-    for start, hit in pairs:
-        for i in np.flatnonzero(~core[start : start + 512]).tolist():
+    for start, hit in _similar(x[others], guests, min_similarity):
+        for i, own in enumerate(ids[others[start : start + len(hit)]].tolist()):
             stars = names[np.unique(label[theirs[hit[i]]])]
             a.append(stars)
-            b.append(np.full(len(stars), ids[start + i]))
+            b.append(np.full(len(stars), own))
             kind.append(np.zeros(len(stars), bool))
     columns = [np.concatenate(c) for c in (a, b, kind)]
     return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "core": pa.array(columns[2], pa.bool_())})
 
 
+def _sent(sizes: dict[int, tuple[int, int]], block_rows: int) -> int:
+    """Rows that all tiles hold."""
+    return sum(own * -(-guests // block_rows) + guests * -(-own // block_rows) for own, guests in sizes.values() if own)
+
+
 def density_clusters(
-    vectors: DataFrame, min_similarity: float, min_points: int, id_col: str = "eventId", block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, min_similarity: float, min_points: int, id_col: str = "eventId", block_rows: int | None = None
 ) -> DataFrame:
     """(id, neighbours, kind, cluster) of every vector; kind is core, border or noise, cluster the smallest core id.
 
     Null and zero vectors, and those of another length than the commonest, have no neighbours and are noise.
-    Ids are expected to be unique. At most ``MAX_PIVOTS`` pivots are sent to the tasks, one per block of vectors; a
-    tile holds about ``block_rows`` vectors on either side. Where the threshold lets no cell be left out, this
+    Ids are expected to be unique. At most ``MAX_PIVOTS`` pivots are sent to the tasks, one per ``CELL_ROWS`` vectors; a
+    tile holds about ``block_rows`` vectors on either side (default: an eighth of the table, from ``CELL_ROWS`` to ``BLOCK_ROWS``). Where the threshold lets no cell be left out, this
     compares all pairs, in equal tiles.
     """
     spark = vectors.sparkSession
@@ -188,10 +202,14 @@ def density_clusters(
     if width is None:
         return source.select("id", F.lit(0).cast("long").alias("neighbours"), F.lit("noise").alias("kind"), none.alias("cluster"))
     fits = source.where(usable & (F.size("v") == width["n"]) & F.col("id").isNotNull())
-    pivots = min(MAX_PIVOTS, max(1, width["count"] // block_rows))
-    picked = fits.orderBy(F.xxhash64("id")).limit(pivots).collect()
-    cells = spark.sparkContext.broadcast(Cells(np.array([r["v"] for r in picked], dtype=float), min_similarity))
+    pivots = min(MAX_PIVOTS, max(1, width["count"] // min(CELL_ROWS, block_rows or CELL_ROWS)))
+    block_rows = block_rows or min(BLOCK_ROWS, max(CELL_ROWS, -(-width["count"] // 8)))
+    picked = np.array([r["v"] for r in fits.orderBy(F.xxhash64("id")).limit(pivots).collect()], dtype=float)
+    cells = spark.sparkContext.broadcast(Cells(picked, min_similarity))
     sizes = {r["cell"]: (r["own"], r["guests"]) for r in cell_sizes(fits, cells).collect()}  # a row per pivot
+    one = {0: (width["count"], width["count"])}
+    if _sent(one, block_rows) < _sent(sizes, block_rows):
+        cells, sizes = spark.sparkContext.broadcast(Cells(picked[:1], -1.0)), one
 
     key = ["cell", "own_block", "guest_block"]
     dealt = tiles(fits.withColumn("core", F.lit(False)), cells, sizes, block_rows, False)

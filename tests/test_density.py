@@ -69,3 +69,19 @@ def test_odd_vectors(spark):
     out = {r.id: (r.neighbours, r.kind, r.cluster) for r in density.density_clusters(df, 0.9, 3).collect()}
     assert out == {i: (3, "core", 1) if i in (1, 2, 8) else (0, "noise", None) for i in range(1, 9)}
     assert density.density_clusters(df.limit(0), 0.9, 3).collect() == []
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Where cells leave nothing out, what the tiles hold grows with the table, not with its square."""
+    sent, real = [], density.tiles
+
+    def watched(*args):
+        out = real(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(density, "tiles", watched)
+    n = 32_768
+    x = np.random.default_rng(n).standard_normal((n, 16))
+    assert density.density_clusters(frame(spark, list(range(n)), x), 0.7, 4).count() == n
+    assert len(sent) == 2 and all(s <= 17 * n for s in sent)
