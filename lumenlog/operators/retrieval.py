@@ -22,6 +22,8 @@ BLOCK_QUERIES = 2048
 SCORED_ROWS = 2048
 # Vectors of a tile: 65536 of 512 doubles are 256 MB.
 BLOCK_ROWS = 65536
+# Queries of a tile at most (a sixteenth of them, if fewer), scored BLOCK_QUERIES at once: every block sends all vectors once more.
+TILE_QUERIES = 16384
 SCORE_DIGITS = 12
 # Standard deviations of a binomial number of differing bits that a search by signatures allows for.
 SURE = 3.0
@@ -83,8 +85,8 @@ class _Probe:
             rows = np.flatnonzero(lengths == dim)
             self.groups[dim] = (rows, _unit_rows(offsets[rows], dim, flat))
 
-    def top(self, batch: pa.Table | pa.RecordBatch, k: int) -> pa.Table:
-        """Best ``k`` rows of the batch per query and tier."""
+    def top(self, batch: pa.Table | pa.RecordBatch, k: int, least: np.ndarray | None = None) -> pa.Table:
+        """Best ``k`` rows of the batch per query and tier; of a query without filters, those that score ``least`` or more."""
         lengths, offsets, flat = _vectors(_one(batch["embedding"]))
         ids = _one(batch["eventId"]).to_numpy(zero_copy_only=False)
         at = _one(batch["timestamp"]).cast(pa.int64()).fill_null(-(2**62)).to_numpy(zero_copy_only=False)
@@ -98,7 +100,24 @@ class _Probe:
         wanted = {s for s in self.service if s is not None}
         by_service = {s: pc.equal(names, s).fill_null(False).to_numpy(zero_copy_only=False) for s in wanted}
         found: list[tuple] = []
+        free = np.array([f == (None, None, None) for f in zip(self.service, self.start, self.end, strict=True)], dtype=bool)
+        if free.any() and (lengths >= 0).any():
+            # no filter: one threshold per query leaves few rows to sort, ties included
+            rows, cols = np.flatnonzero(free), np.flatnonzero(lengths >= 0)
+            keys = scores[np.ix_(rows, cols)]
+            bar = np.partition(keys, k - 1, axis=1)[:, k - 1] if keys.shape[1] > k else np.full(len(rows), np.inf)
+            if least is not None:
+                bar = np.minimum(bar, -least[rows])
+            q, c = np.nonzero(keys <= bar[:, None])
+            order = np.lexsort((ids[cols[c]], keys[q, c], q))
+            q, c = q[order], c[order]
+            first = np.searchsorted(q, q)
+            kept = np.arange(len(q)) - first < k
+            q, c = q[kept], c[kept]
+            found.append((self.ids[rows[q]], np.zeros(len(q), "int32"), ids[cols[c]], -keys[q, c]))
         for q, qid in enumerate(self.ids):
+            if free[q]:
+                continue
             mask = lengths >= 0
             if self.start[q] is not None:
                 mask = mask & (at >= self.start[q])
@@ -169,12 +188,28 @@ def top_k(
         return _final(slim.mapInArrow(_scan(_shared(vectors, asked.collect()), tiers, k), HITS), k)
 
     def answer(block: pa.Table, rows: pa.Table) -> pa.Table:
-        probe, kept = _Probe(block, tiers), HITS_ARROW.empty_table()
-        for start in range(0, rows.num_rows, SCORED_ROWS):
-            kept = _keep_best([kept, probe.top(rows.slice(start, SCORED_ROWS).combine_chunks(), k)], k)
-        return kept
-
-    return _final(_tiles(asked, slim, n, block_queries).applyInArrow(answer, HITS), k)
+        parts = [rows.slice(start, SCORED_ROWS).combine_chunks() for start in range(0, rows.num_rows, SCORED_ROWS)]
+        found = [HITS_ARROW.empty_table()]
+        for first in range(0, block.num_rows, BLOCK_QUERIES):
+            probe, kept = _Probe(block.slice(first, BLOCK_QUERIES).combine_chunks(), tiers), HITS_ARROW.empty_table()
+            for part in parts:
+                kept = _keep_best([kept, probe.top(part, k, _least(kept, probe.ids, k))], k)
+            found.append(kept)
+        return pa.concat_tables(found)
+
+    return _final(_tiles(asked, slim, n, max(block_queries, min(TILE_QUERIES, -(-n // 16)))).applyInArrow(answer, HITS), k)
+
+
+def _least(kept: pa.Table, ids: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th score that each query has so far; without one, or where an id asks more than once, below all."""
+    least = np.full(len(ids), -np.inf)
+    names, at, times = np.unique(ids, return_index=True, return_counts=True)
+    q = kept["queryId"].to_numpy()
+    if len(q):
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        full = np.searchsorted(names, q[place == k - 1])
+        least[at[full]] = np.where(times[full] == 1, kept["score"].to_numpy()[place == k - 1], -np.inf)
+    return least
 
 
 def _tiles(asked: DataFrame, rows: DataFrame, queries: int, block_queries: int):

@@ -184,3 +184,22 @@ def test_signature_candidates_of_near_vectors_in_numbers(spark):
         got = {(r.queryId, r.eventId): r.score for r in retrieval.ann_top_k(queries, signed, 8, 64, factor=2, block_queries=block).collect()}
         assert len(got) == len(exact) == 160 and len(got.keys() & exact.keys()) >= 152
         assert all(abs(s - exact[p]) < 1e-9 for p, s in got.items() if p in exact)
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """The blocks that the vectors are sent to don't grow with the queries, and answers stay those of one block."""
+    import numpy as np
+
+    blocks, real = [], retrieval._tiles
+
+    def watched(asked, rows, queries, block_queries):
+        blocks.append(-(-queries // block_queries))
+        return real(asked, rows, queries, block_queries)
+
+    monkeypatch.setattr(retrieval, "_tiles", watched)
+    x = np.round(np.random.default_rng(4).standard_normal((1500, 6)), 0)  # ties in numbers
+    vectors = spark.createDataFrame([(i, v, "s", None) for i, v in enumerate(x.tolist())], "eventId long, embedding array<double>, service string, timestamp timestamp")
+    queries = vectors.select(F.col("eventId").alias("queryId"), "embedding")
+    cut = {tuple(r) for r in retrieval.top_k(queries, vectors, 5, block_queries=20).collect()}
+    assert cut == {tuple(r) for r in retrieval.top_k(queries, vectors, 5).collect()} and len(cut) == 7500
+    assert blocks == [16]
