@@ -96,3 +96,27 @@ def test_finalize_reads_its_input_once(spark):
     out = assembly.finalize_once(df, ["at", "v"])
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("a", 1, "y"), (None, 1, "n"), (None, 1, "n"), (None, 2, "n"), ("b", None, "w")]))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1 and out.columns == df.columns
+
+
+def test_the_append_queries_embed_once(spark, sf_dir, monkeypatch):
+    """No range of a run computes vectors again: what is appended is read, not embedded."""
+    from lumenlog.catalog import load
+    from lumenlog.session import ship_package
+
+    plans = []
+
+    def watch(name):
+        real = getattr(embedding, name)
+
+        def watched(rows, *args, **how):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return real(rows, *args, **how)
+
+        monkeypatch.setattr(embedding, name, watched)
+
+    watch("append_by_day")
+    watch("append_embeddings")
+    ship_package(spark)
+    for name in ("f9_append_by_day", "f9_append_and_mark"):
+        load()[0][name](spark, sf_dir)
+    assert len(plans) == 5 and not any("EvalPython" in p for p in plans)
