@@ -121,17 +121,19 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
     Records without a value are skipped. Unreadable ones stay, with their raw
     ``value`` and a reason, so that they can be routed to a dead-letter sink.
+
+    Each value is read in a generator of one row: a filter on ``reasons`` would be
+    pushed below a projection and repeat the parser for every field it tests.
     """
     schema = T.StructType([*QUEUE_VALUE.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    parsed = messages.filter(F.col("value").isNotNull()).withColumn(
-        "m", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    )
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = messages.filter(F.col("value").isNotNull()).select("value", F.inline(F.array(read)))
     flat = parsed.select(
         "value",
-        *[F.col(f"m.event.{f.name}").alias(f.name) for f in WIDE_EVENT.fields],
-        F.col("m._metadata").alias("_metadata"),
-        F.col("m.summary").alias("_summary"),
-        F.col(f"m.{CORRUPT}").alias(CORRUPT),
+        *[F.col(f"event.{f.name}").alias(f.name) for f in WIDE_EVENT.fields],
+        "_metadata",
+        F.col("summary").alias("_summary"),
+        CORRUPT,
     )
     unreadable = F.col(CORRUPT).isNotNull()
     return flat.withColumn(

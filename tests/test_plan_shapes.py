@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenlog.catalog import fixtures as fx
 from lumenlog.operators import audits, filters, metrics, sessions
 from lumenlog.operators.filters import QueryMetadata
+from lumenlog.sources import events as src
 
 
 def plan(df):
@@ -58,3 +59,18 @@ def test_concurrency_windows_are_bucketed(spark, sf_dir):
     single = [line for line in p.splitlines() if "Exchange SinglePartition" in line]
     # one single-partition step: the window over days
     assert len(single) == 1
+
+
+def test_messages_are_read_once_whatever_is_filtered(spark, tmp_path):
+    good = '{"event":{"requestId":"r","timestamp":"2024-01-01T00:00:00Z","service":"s","route":"GET /"},"summary":"x"}'
+    rows = [(good,), ("{oops",), ("",), ("[]",), ('{"event":null}',), (good.replace('"s"', '""'),), (None,)]
+    spark.createDataFrame(rows, "value string").write.parquet(str(tmp_path / "m"))
+    parsed = src.parse_messages(spark.read.schema("value string").parquet(str(tmp_path / "m")))
+    valid, rejected = parsed.filter(F.size("reasons") == 0), parsed.filter(F.size("reasons") > 0)
+    for df in (parsed, valid, rejected, valid.drop("reasons", "value")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [r.requestId for r in valid.collect()] == ["r"]
+    reasons = {r.value: r.reasons for r in rejected.collect()}
+    empty = [f"{name} is empty" for name in ("requestId", "timestamp", "service", "route")]
+    unreadable = ["unreadable message"]
+    assert reasons == {"{oops": unreadable, "[]": unreadable, "": empty, '{"event":null}': empty, rows[5][0]: ["service is empty"]}
