@@ -34,9 +34,14 @@ def _batch_dir(root: str, batch_id: int) -> str:
 
 # --- ingest --------------------------------------------------------------------------
 def ingest(messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Queue records to the event table through the exactly-once file sink; invalid rows are left out."""
+    """Queue records to the event table through the exactly-once file sink; invalid rows are left out.
+
+    Rows are dealt in ranges as in ``append_events``: a batch makes at most as many files as it has days and
+    partitions together, and a busy day is spread over tasks.
+    """
     events = parse_messages(messages).filter(F.size("reasons") == 0).drop("reasons", "value")
     events = events.withColumn("event_date", F.to_date("timestamp"))
+    events = events.repartitionByRange("event_date", "service", "timestamp")
     return _writer(events, checkpoint, trigger).format("parquet").partitionBy("event_date").start(path)
 
 

@@ -94,3 +94,26 @@ def test_json_lines_keep_corrupt_text(spark):
     spark.createDataFrame([('{"requestId":"a","service":"s"}',), ("{bad",)], "value string").write.text(path)
     rows = {r.requestId: r for r in src.read_json_lines(spark, path).collect()}
     assert rows["a"]._corrupt_record is None and rows[None]._corrupt_record == "{bad"
+
+
+def test_ingested_days_are_not_written_by_every_task(spark):
+    """Files grow with days plus partitions, not their product; a single day is still spread over tasks."""
+
+    def ingested(days):
+        inp, out, cp = paths()
+        message = '{{"event":{{"requestId":"r{0}","timestamp":"{1}Z","service":"s","route":"GET /"}}}}'
+        times = [T0 + dt.timedelta(days=i % days, seconds=i) for i in range(400)]
+        rows = [(f"r{i}", message.format(i, t.isoformat())) for i, t in enumerate(times)]
+        spark.createDataFrame(rows, "key string, value string").repartition(8).write.parquet(inp)
+        pipelines.ingest(stream(spark, inp, "key string, value string"), out, cp).awaitTermination()
+        got = spark.read.parquet(out)
+        assert {(r.requestId, r.timestamp, r.event_date) for r in got.collect()} == {(f"r{i}", t, t.date()) for i, t in enumerate(times)}
+        assert got.count() == 400
+        return got.select(F.input_file_name()).distinct().count()
+
+    assert ingested(20) <= 20 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ingested(1) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
