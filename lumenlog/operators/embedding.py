@@ -105,11 +105,11 @@ def token_usage(events: DataFrame, embedder: Embedder | None = None, model: str
 
 
 def append_embeddings(rows: DataFrame, table: str, progress: str, source: str, now: Column, groups: int = 4) -> int:
-    """Append embedded rows to ``table`` in time order, marking ``progress`` after each group; the number of groups done.
+    """Append embedded rows to ``table`` in time order, marking ``progress`` after each group; the number of groups.
 
-    A group is a range of the time. The first group that fails ends the run with its
-    error logged by Spark: what came before stays appended and marked, so that the
-    next run goes on behind the mark. Rows that are in the table already add nothing.
+    A group is a range of the time. The first group that fails ends the run and its error
+    is raised: what came before stays appended and marked, so that the next run
+    adds the rest. Rows that are in the table already add nothing.
     """
     spark = rows.sparkSession
     at = F.unix_micros("timestamp")
@@ -121,13 +121,10 @@ def append_embeddings(rows: DataFrame, table: str, progress: str, source: str, n
             part = part.filter(at > low)
         if high is not None:
             part = part.filter(at.isNull() | (at <= high)) if low is None else part.filter(at <= high)
-        try:
-            seen = spark.read.schema(rows.schema).parquet(table) if n or _exists(spark, table) else None
-            fresh = part if seen is None else new_rows(part, seen)
-            fresh.write.mode("append").parquet(table)
-            advance_mark(part, source, now).write.mode("append").parquet(progress)
-        except PySparkException:
-            return n
+        seen = spark.read.schema(rows.schema).parquet(table) if n or _exists(spark, table) else None
+        fresh = part if seen is None else new_rows(part, seen)
+        fresh.write.mode("append").parquet(table)
+        advance_mark(part, source, now).write.mode("append").parquet(progress)
     return len(bounds) - 1
 
 

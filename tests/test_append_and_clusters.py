@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lumenlog.operators import assembly, clusters, embedding
@@ -65,6 +66,22 @@ def test_the_error_of_a_range_is_returned(spark):
     assert sorted(r.eventId for r in spark.read.parquet(table).collect()) == list(range(200))
 
 
+def test_a_failed_append_is_no_result(spark):
+    """The error of a group is raised, and the next run adds what the failed one left out."""
+    table, progress = folders()
+    bad = F.when(F.col("eventId") == 199, F.array(F.raise_error(F.lit("no vector")).cast("double"))).otherwise(F.col("embedding"))
+    every = rows(spark, range(200)).withColumn("timestamp", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("eventId")))
+    go = lambda df: embedding.append_embeddings(df, table, progress, "events", F.lit(NOW).cast("timestamp"))
+    with pytest.raises(PySparkException, match="no vector"):
+        go(every.withColumn("embedding", bad))
+    kept = sorted(r.eventId for r in spark.read.parquet(table).collect())
+    assert kept == list(range(len(kept))) and 0 < len(kept) < 199
+    assert embedding.read_mark(spark.read.parquet(progress), "events")[1] == kept[-1]
+    assert go(every) > 1
+    assert sorted(r.eventId for r in spark.read.parquet(table).collect()) == list(range(200))
+    assert embedding.read_mark(spark.read.parquet(progress), "events")[1] == 199
+
+
 def test_quality_tells_clusters_from_dealt_labels(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((6, 12))
