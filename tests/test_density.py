@@ -85,3 +85,48 @@ def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
     x = np.random.default_rng(n).standard_normal((n, 16))
     assert density.density_clusters(frame(spark, list(range(n)), x), 0.7, 4).count() == n
     assert len(sent) == 2 and all(s <= 17 * n for s in sent)
+
+
+def test_two_blocks_meet_once_and_one_cluster_not_again(spark, monkeypatch):
+    """Where one cell holds all, every pair of blocks meets once, and what already is one cluster is not compared again."""
+    n = 9000
+    x = 1 + 0.3 * np.random.default_rng(4).standard_normal((n, 16))
+    rows = frame(spark, list(range(n)), x).select(F.col("eventId").alias("id"), F.col("embedding").alias("v"))
+    cells = spark.sparkContext.broadcast(density.Cells(x[:1], -1.0))
+    met = density.tiles(rows, cells, {0: (n, n)}, 2048, True).groupBy("own_block", "guest_block").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("guests")).collect()
+    assert sorted((r.own_block, r.guest_block) for r in met) == [(a, b) for a in range(5) for b in range(a, 5)]
+    assert sum(r.own * r.guests for r in met) + sum(r.own * (r.own - 1) // 2 for r in met if r.own_block == r.guest_block) == n * (n - 1) // 2
+
+    sent, real = [], density.tiles
+
+    def watched(*args):
+        out = real(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(density, "tiles", watched)
+    out = density.density_clusters(frame(spark, list(range(n)), x), 0.3, 4)
+    assert out.groupBy("kind", "cluster").count().collect() == [("core", 0, n)]
+    assert sent[0] <= 8 * n and sent[1:] == [0]
+
+
+def test_parts_of_a_cluster_that_only_one_pair_links(spark):
+    """The link is neither the first nor the last neighbour of its two cores, so only the second comparison meets it."""
+    angle = {i: 0.0 for i in [*range(50), *range(200, 250)]} | {i: 60.0 for i in [*range(50, 100), *range(150, 200)]} | {100: 20.0, 120: 40.0}
+    ids = sorted(angle)
+    rad = np.radians([angle[i] + 0.01 * (i % 7) for i in ids])
+    x = np.column_stack([np.cos(rad), np.sin(rad)])
+    least = float(np.cos(np.radians(25)))
+    for block_rows in (None, 16):
+        out = density.density_clusters(frame(spark, ids, x), least, 3, block_rows=block_rows).collect()
+        assert {r.id: (r.neighbours, r.kind, r.cluster) for r in out} == brute(ids, x, least, 3) and {r.cluster for r in out} == {0}
+
+
+def test_similarities_at_the_threshold_are_taken_in_double():
+    """Single floats are off by more than what parts these pairs from the threshold."""
+    x = np.random.default_rng(9).standard_normal((300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = np.round(x @ x.T, 12)
+    for least in (float(exact[3, 7]), float(exact[3, 7]) + 1e-9, float(exact[5, 5]), -1.0):
+        assert (density._Near(x, x, least).hits(0, 300) == (exact >= least)).all()
+        assert (density._Near(x, x, least).hits(10, 200, 5) == (exact >= least)[10:200, 5:]).all()
