@@ -120,7 +120,7 @@ def _(spark, sf):
     E,
 )
 def _(spark, sf):
-    e = fx.embedded(spark, sf)
+    e = materialize(fx.embedded(spark, sf).select("eventId", "embedding", "service", "timestamp"), "vectors")  # joined once
     plan = vector_index.build_index(e, fresh_path(spark, "vector-index"), 64)
     asked = e.select(F.col("eventId").alias("queryId"), "embedding")
     found = vector_index.indexed_top_k(asked, e, plan, 5)

@@ -9,6 +9,11 @@ as many as a bounded sample of vectors needs to find the wanted share of its own
 
 The index is a Parquet table by slots of keys, so that a few queries read few slots. A key of more than
 ``HOT_ROWS`` vectors (copies, or a dense place) is split over parts and probed in each.
+
+A query of a large table reads thousands of entries, so the entries that many queries read are never rows of a table:
+beyond ``FEW_QUERIES`` a block of queries meets a block of events in a group of its own, with the keys and
+signatures of the events, which the index also holds by event. There the keys are probed, and
+candidates picked and scored; only the best of each block are handed on.
 """
 
 from __future__ import annotations
@@ -18,14 +23,16 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions import vectors as vx
-from lumenlog.operators.retrieval import SCORE_DIGITS, _unit_rows, _vectors, top_k
+from lumenlog.operators.retrieval import BLOCK_ROWS, SCORE_DIGITS, TILE_QUERIES, _best, _one, _unit_rows, _vectors, top_k
 from lumenlog.plans.ranks import first_n_per_group
 from lumenlog.session import materialize
 
@@ -38,8 +45,15 @@ SLOTS = 16  # of a band
 MAX_PROBES = 2048  # keys of a band
 SAMPLED = 64  # vectors whose neighbours the probes are measured on
 MEASURED = 10  # of them, nearest
-ENTRY = "slot int, band int, key long, eventId long, " + ", ".join(f"s{i} long" for i in range(SIGN_WORDS))
+FEW_QUERIES = 256  # whose probed entries may be rows of a table
+TILES = 16  # of many queries and events, at least
+TABLE_BITS = 20  # of a key, up to which a tile finds keys by a table of all
+ASKED = 32  # queries of a tile whose probes are chosen at once
+_SIGNS = ", ".join(f"s{i} long" for i in range(SIGN_WORDS))
+ENTRY = f"slot int, band int, key long, eventId long, {_SIGNS}"
+EVENT = f"eventId long, keys array<long>, {_SIGNS}"
 PROBE = "queryId long, slot int, band int, key long, " + ", ".join(f"q{i} long" for i in range(SIGN_WORDS))
+SCORED = "queryId long, eventId long, score double"
 
 
 @dataclass(frozen=True)
@@ -92,6 +106,52 @@ def flips(margins: np.ndarray, n: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=8)
+def _places(bits: int, n: int) -> np.ndarray:
+    """The sets of places, one per row, that can be among the ``n`` cheapest where places ascend by cost.
+
+    A set costs no less than every set whose places, from the last on, are no greater; one with ``n`` such before it is out.
+    """
+
+    def below(places: list[int]) -> int:
+        # sets of which the i-th greatest place is at most the i-th greatest of these, itself included
+        ways, total = [1] * (places[-1] + 1), 1  # ways[p]: sets of so many places whose last is p
+        for i, most in enumerate(reversed(places)):
+            if i:
+                after = [0] * (most + 1)
+                run = 0
+                for p in range(len(ways) - 1, -1, -1):
+                    if p <= most:
+                        after[p] = run
+                    run += ways[p]
+                ways = after
+            total += sum(ways)
+        return total
+
+    found, todo = [[]], [[0]] if bits else []
+    while todo:
+        places = todo.pop()
+        if below(places) <= n:
+            found.append(places)
+            if places[-1] + 1 < bits:
+                todo += [[*places, places[-1] + 1], [*places[:-1], places[-1] + 1]]
+    out = np.zeros((len(found), bits))
+    for i, places in enumerate(found):
+        out[i, places] = 1
+    return out
+
+
+def cheapest(margins: np.ndarray, n: int) -> np.ndarray:
+    """:func:`flips` of every row, in no order."""
+    sets = _places(margins.shape[1], n)
+    order = np.argsort(margins, axis=1, kind="stable")
+    masks = np.ldexp(1.0, order) @ sets.T  # whole numbers below 2^40
+    if len(sets) > n:
+        cost = np.take_along_axis(margins, order, axis=1) ** 2 @ sets.T
+        masks = np.take_along_axis(masks, np.argpartition(cost, n - 1, axis=1)[:, :n], axis=1)
+    return masks.astype("int64")
+
+
 def _measured(vectors: DataFrame, plan: IndexPlan, recall: float, k: int = MEASURED) -> tuple[int, float, int]:
     """(probes, recall, candidates) on the sample: as few keys of each band as find the share of the exact ``k`` nearest others.
 
@@ -133,7 +193,7 @@ def build_index(vectors: DataFrame, path: str, dim: int, recall: float = 0.95, s
     rows = used.count()
     plan = IndexPlan(path, dim, key_bits(rows), 1, 1.0, rows, seed)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = plan.planes()
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
@@ -142,13 +202,17 @@ def build_index(vectors: DataFrame, path: str, dim: int, recall: float = 0.95, s
                 if not len(lengths):
                     continue
                 product = _unit_rows(offsets, dim, flat) @ planes
-                key, sign = _keys(product, plan.bits).ravel(), np.repeat(_signature(product, plan.bits), BANDS, axis=0)
-                band = np.tile(np.arange(BANDS, dtype="int32"), len(product))
-                columns = [_slot(band, key, plan.bits), band, key, np.repeat(batch["eventId"].to_numpy(), BANDS), *sign.T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split()[0] for f in ENTRY.split(", ")])
+                keys, sign = pa.array(_keys(product, plan.bits).ravel()), _signature(product, plan.bits)
+                keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype="int32"), keys)
+                columns = [batch["eventId"], keys, *(pa.array(np.ascontiguousarray(c)) for c in sign.T)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in EVENT.split(", ")])
 
     source = used.select(F.col("eventId").cast("long").alias("eventId"), F.col("embedding").cast("array<double>").alias("embedding"))
-    placed = materialize(source.mapInArrow(entries, ENTRY), "index-entries")
+    source.mapInArrow(placed_events, EVENT).write.mode("overwrite").parquet(f"{path}/events")
+    events = spark.read.schema(EVENT).parquet(f"{path}/events")
+    placed = events.select(F.posexplode("keys").alias("band", "key"), *[c for c in events.columns if c != "keys"])
+    slot = F.col("band") * SLOTS + F.shiftright("key", max(0, plan.bits - int(math.log2(SLOTS)))).cast("int")
+    placed = placed.withColumn("slot", slot).select(*[f.split()[0] for f in ENTRY.split(", ")])
     hot = placed.groupBy("band", "key").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("parts")).where("parts > 1")
     hot.write.mode("overwrite").parquet(f"{path}/hot")
     parts = spark.read.schema("band int, key long, parts int").parquet(f"{path}/hot")
@@ -202,15 +266,120 @@ def indexed_top_k(queries: DataFrame, vectors: DataFrame, plan: IndexPlan, k: in
     fetched from ``vectors`` and scored. Queries that are null, zero or of another length get no answer; their ids are expected to be unique.
     """
     wanted = max(factor * k, plan.candidates * -(-k // MEASURED))
-    # an event comes from at most BANDS bands, so so many rows hold the wanted number of events
-    near = first_n_per_group(probed_entries(queries, plan), ["queryId"], [F.col("far"), F.col("eventId")], wanted * BANDS, "_no")
-    near = first_n_per_group(near.select("queryId", "eventId", "far").distinct(), ["queryId"], [F.col("far"), F.col("eventId")], wanted, "_no")
-    asked = queries.select(F.col("queryId").cast("long").alias("queryId"), F.col("embedding").cast("array<double>").alias("_q"))
-    scored = (
-        near.select("queryId", "eventId")
-        .join(vectors.select("eventId", F.col("embedding").cast("array<double>").alias("_v")), "eventId")
-        .join(asked, "queryId")
-        .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("_v")), SCORE_DIGITS).alias("score"))
-    )
+    usable = queries.where((F.size("embedding") == plan.dim) & F.exists("embedding", lambda x: x != 0) & F.col("queryId").isNotNull())
+    asked = usable.select(F.col("queryId").cast("long").alias("queryId"), F.col("embedding").cast("array<double>").alias("_q"))
+    n = asked.count()
+    if n > FEW_QUERIES:
+        scored = _scored_in_tiles(asked, n, vectors, plan, k, wanted)
+    else:
+        # an event comes from at most BANDS bands, so so many rows hold the wanted number of events
+        near = first_n_per_group(probed_entries(queries, plan), ["queryId"], [F.col("far"), F.col("eventId")], wanted * BANDS, "_no")
+        near = first_n_per_group(near.select("queryId", "eventId", "far").distinct(), ["queryId"], [F.col("far"), F.col("eventId")], wanted, "_no")
+        scored = (
+            near.select("queryId", "eventId")
+            .join(vectors.select("eventId", F.col("embedding").cast("array<double>").alias("_v")), "eventId")
+            .join(asked, "queryId")
+            .select("queryId", "eventId", F.round(vx.cosine(F.col("_q"), F.col("_v")), SCORE_DIGITS).alias("score"))
+        )
     best = first_n_per_group(scored, ["queryId"], [F.desc("score"), F.col("eventId")], k)
     return best.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _scored_in_tiles(asked: DataFrame, n: int, vectors: DataFrame, plan: IndexPlan, k: int, wanted: int) -> DataFrame:
+    """(queryId, eventId, score): the ``k`` best of each of the ``n`` queries (queryId, _q) in every block of events, of the ``wanted`` nearest there."""
+    rows = vectors.sparkSession.read.schema(EVENT).parquet(f"{plan.path}/events").withColumn("embedding", F.lit(None).cast(vectors.schema["embedding"].dataType))
+    fetched = vectors.where(F.col("eventId").isNotNull()).select(F.col("eventId").cast("long").alias("eventId"), "embedding")
+    rows = rows.unionByName(fetched.withColumn("_vector", F.lit(True)), allowMissingColumns=True)
+    events = max(1, -(-plan.rows // BLOCK_ROWS))
+    blocks = max(-(-n // TILE_QUERIES), -(-TILES // events))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    left = asked.withColumn("_a", block("queryId", blocks)).withColumn("_e", every(events))
+    right = rows.withColumn("_e", block("eventId", events)).withColumn("_a", every(blocks))
+
+    def answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            tile = _Tile(rows, plan)
+            for start in range(0, asked.num_rows, ASKED):
+                out += tile.best(asked.slice(start, ASKED), k, wanted)
+        columns = [np.concatenate(c) for c in zip(*out)]
+        score = pa.array(columns[2], mask=np.isnan(columns[2]))  # a vector with a null has no score
+        return pa.table([pa.array(columns[0]), pa.array(columns[1]), score], [f.split()[0] for f in SCORED.split(", ")])
+
+    partitions = 2 * blocks * events
+    left, right = (side.repartition(partitions, "_a", "_e").groupBy("_a", "_e") for side in (left, right))
+    return left.cogroup(right).applyInArrow(answer, SCORED)
+
+
+class _Tile:
+    """The index rows of a block of events, by band and key, and their vectors."""
+
+    def __init__(self, rows: pa.Table, plan: IndexPlan):
+        self.plan, self.planes = plan, plan.planes()
+        is_vector = rows["_vector"].fill_null(False)
+        vectors, index = rows.filter(is_vector), rows.filter(pc.invert(is_vector))
+        vectors, index = (t.take(pa.array(np.argsort(t["eventId"].to_numpy(), kind="stable"))) for t in (vectors, index))
+        self.ids = vectors["eventId"].to_numpy()
+        lengths, offsets, flat = _vectors(_one(vectors["embedding"]))
+        self.unit = np.zeros((len(self.ids), plan.dim))
+        fits = np.flatnonzero(lengths == plan.dim)
+        self.unit[fits] = _unit_rows(offsets[fits], plan.dim, flat)
+
+        events = index["eventId"].to_numpy()
+        keys = _one(index["keys"]).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        signs = np.ascontiguousarray(np.column_stack([index[f"s{i}"].to_numpy() for i in range(SIGN_WORDS)]))
+        if (events[1:] == events[:-1]).any():
+            whole = np.unique(np.column_stack([events, keys, signs]), axis=0)  # in the order of the events
+            events, keys, signs = whole[:, 0], whole[:, 1 : BANDS + 1], np.ascontiguousarray(whole[:, BANDS + 1 :])
+        self.signs, self.seen = signs.view("uint64"), np.zeros(len(events), bool)
+        self.first, self.end = np.searchsorted(self.ids, events), np.searchsorted(self.ids, events, "right")
+        order = np.argsort(keys, axis=0, kind="stable")
+        self.order = order.T.ravel()  # index rows, band after band, by key
+        self.keys = np.take_along_axis(keys, order, axis=0).T
+        self.table = None
+        if plan.bits <= TABLE_BITS:
+            every = np.arange((1 << plan.bits) + 1)
+            self.table = np.vstack([np.searchsorted(band, every) for band in self.keys]) + np.arange(BANDS)[:, None] * len(events)
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys (a row per band) begin and end in ``order``."""
+        if self.table is not None:
+            return np.take_along_axis(self.table, keys, axis=1).ravel(), np.take_along_axis(self.table, keys + 1, axis=1).ravel()
+        sides = [
+            np.concatenate([np.searchsorted(band, k, side) + b * len(band) for b, (band, k) in enumerate(zip(self.keys, keys, strict=True))])
+            for side in ("left", "right")
+        ]
+        return sides[0], sides[1]
+
+    def best(self, asked: pa.Table, k: int, wanted: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        plan, qids = self.plan, asked["queryId"].to_numpy()
+        _, offsets, flat = _vectors(_one(asked["_q"]))
+        unit = _unit_rows(offsets, plan.dim, flat)
+        product = unit @ self.planes
+        own, signs = _keys(product, plan.bits), _signature(product, plan.bits).view("uint64")
+        masks = cheapest(np.abs(product[:, : BANDS * plan.bits]).reshape(-1, plan.bits), plan.probes).reshape(len(own), BANDS, -1)
+        out = []
+        for q, qid in enumerate(qids):
+            start, end = self._found(own[q][:, None] ^ masks[q])
+            size = end - start
+            held = size.nonzero()[0]
+            start, size = start[held], size[held]
+            at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+            self.seen[self.order[at]] = True
+            rows = np.flatnonzero(self.seen)
+            self.seen[rows] = False
+            if len(rows) > wanted:
+                far = np.bitwise_count(self.signs[rows] ^ signs[q]).sum(axis=1, dtype="int64")
+                upto = np.cumsum(np.bincount(far))
+                cut = int(np.searchsorted(upto, wanted))
+                tied = np.flatnonzero(far == cut)[: wanted - (upto[cut - 1] if cut else 0)]  # rows ascend by event
+                rows = rows[np.sort(np.r_[np.flatnonzero(far < cut), tied])]
+            first, times = self.first[rows], self.end[rows] - self.first[rows]
+            if (times != 1).any():
+                first = np.unique(np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum()))
+            score = np.round(self.unit[first] @ unit[q], SCORE_DIGITS)
+            ids = self.ids[first]
+            best = _best(np.where(np.isnan(score), np.inf, -score), ids, k)
+            out.append((np.full(len(best), qid), ids[best], score[best]))
+        return out

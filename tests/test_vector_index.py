@@ -5,6 +5,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenlog.operators import retrieval
@@ -88,3 +89,50 @@ def test_recall_where_signatures_hardly_tell(spark):
     exact = {(r.queryId, r.eventId) for r in retrieval.top_k(q, v, 5).collect()}
     assert len(got) == len(exact) == 500 and len(got & exact) >= 450
     assert plan.candidates > 100
+
+
+def test_all_cheapest_flips_at_once():
+    for bits, n in ((1, 1), (3, 5), (7, 40), (12, 200), (5, 100)):
+        margins = np.random.default_rng(bits).random((20, bits))
+        assert [sorted(m) for m in vi.cheapest(margins, n).tolist()] == [sorted(vi.flips(m, n)) for m in margins]
+
+
+def test_many_queries_get_the_answers_of_few(spark, monkeypatch):
+    """Queries in blocks find what each finds alone, also by keys too long for a table, and no probed entry becomes a row."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 24))
+    x[100:160] = x[100]  # copies
+    v = frame(spark, x).unionByName(frame(spark, x[:5])).unionByName(frame(spark, np.zeros((2, 24)), first=3000))
+    v = v.unionByName(spark.createDataFrame([(3002, None, None, None), (3003, [1.0], None, None)], v.schema))
+    plan = vi.build_index(v, folder(), 24)
+    q = v.where("eventId % 5 = 0 OR eventId < 200 OR eventId >= 3000").select(F.col("eventId").alias("queryId"), "embedding")
+    rows = lambda df: sorted((r.queryId, r.eventId, round(r.score, 9), r["rank"]) for r in df.collect())
+    alone = [part for a in range(4) for part in rows(vi.indexed_top_k(q.where(F.pmod(F.xxhash64("queryId"), F.lit(4)) == a), v, plan, 5))]
+    assert q.count() > vi.FEW_QUERIES
+    monkeypatch.setattr(vi, "probed_entries", None)
+    together = rows(vi.indexed_top_k(q, v, plan, 5))
+    assert together == sorted(alone) and len(together) > 3500
+    monkeypatch.setattr(vi, "BLOCK_ROWS", 700)  # a block's nearest by signature are more than those of all
+    exact = {(r.queryId, r.eventId) for r in retrieval.top_k(q.where("queryId < 3000"), v, 5).collect()}
+    hits = lambda found: len({f[:2] for f in found} & exact)
+    assert hits(rows(vi.indexed_top_k(q, v, plan, 5))) >= hits(together) >= 0.9 * len(exact)
+
+
+def test_keys_without_a_table():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 16))
+    plan = vi.IndexPlan("", 16, 6, 9, 1.0, 400, 7)
+    product = x / np.linalg.norm(x, axis=1, keepdims=True) @ plan.planes()
+    keys, signs = vi._keys(product, 6), vi._signature(product, 6)
+    index = {"eventId": np.arange(400), "keys": keys.tolist(), **{f"s{i}": signs[:, i] for i in range(4)}}
+    table = pa.concat_tables([pa.table({**index, "_vector": [False] * 400}), pa.table({"eventId": np.arange(400), "embedding": x.tolist(), "_vector": [True] * 400})], promote_options="default")
+    asked = pa.table({"queryId": np.arange(50), "_q": x[:50].tolist()})
+    tile = vi._Tile(table, plan)
+    by_table = tile.best(asked, 5, 60)
+    tile.table = None
+    assert all((a == b).all() for one, two in zip(by_table, tile.best(asked, 5, 60), strict=True) for a, b in zip(one, two, strict=True))
+    for q, ids, _ in by_table:
+        near = {i for i in range(400) if any(keys[i][b] ^ keys[q[0]][b] in vi.flips(np.abs(product[q[0], b * 6 : b * 6 + 6]), 9) for b in range(vi.BANDS))}
+        far = sorted(near, key=lambda i: (int(sum(bin(int(w) & (1 << 64) - 1).count("1") for w in signs[i] ^ signs[q[0]])), i))[:60]
+        score = {i: round(float(x[i] @ x[q[0]] / np.linalg.norm(x[i]) / np.linalg.norm(x[q[0]])), 12) for i in far}
+        assert ids.tolist() == sorted(score, key=lambda i: (-score[i], i))[:5]
